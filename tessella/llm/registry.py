@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe
+from tessella.llm import bpe, chat, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op8_chat": chat.op8_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_warc": warc.OP1_SQL,
+    "op8_chat": chat.OP8_SQL,
+}
