@@ -2,7 +2,7 @@
 
 Text is cut by the vocabulary's pattern into pre-tokens. A pre-token that is a vocabulary entry is its own id;
 any other is merged by a rank queue: a bucket for each merge rank holds positions of a linked list of parts, a
-hierarchical bitmap over the ranks gives the lowest rank in use by find-first-set, and entries whose pair has
+two-level bitmap over the ranks gives the lowest rank in use by find-first-set, and entries whose pair has
 changed meanwhile are skipped. A merge costs a few word operations whatever the pre-token's length.
 
 Edge cases: null text counts as empty and has no ids; control strings such as ``<|endoftext|>`` are ordinary
@@ -25,55 +25,43 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A Python worker keeps up to twice so many pre-tokens of up to so many characters with their ids; the rest are merged anew.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 
 
 class RankQueue:
-    """Positions by merge rank; level 0 has a bit for each rank, each level above a bit for each word below."""
+    """Positions by merge rank, in buckets under a two-level bitmap: ``words`` has a bit for each rank in use, WORD bits
+    to a word, and ``top`` a bit for each word in use; the lowest bit set in each gives the lowest rank."""
 
-    def __init__(self, n_ranks: int):
-        self.levels = []
-        while True:
-            n_ranks = (n_ranks + 63) // 64
-            self.levels.append([0] * n_ranks)
-            if n_ranks == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
+    WORD = 8  # bits of a rank that a word spans: 2**8
+
+    def __init__(self):
+        self.top, self.words, self.buckets = 0, {}, {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is not None:
             heapq.heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            word, was = at >> 6, words[at >> 6]
-            words[word] = was | 1 << (at & 63)
-            if was:
-                return
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """Lowest rank, then leftmost position."""
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            if not word:
-                return None
-            at = at << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            below = at
-            for words in self.levels:
-                word = below >> 6
-                words[word] &= ~(1 << (below & 63))
-                if words[word]:
-                    break
-                below = word
-        return at, position
+        word, bit = rank >> self.WORD, 1 << (rank & 255)
+        was = self.words.get(word, 0)
+        self.words[word] = was | bit
+        if not was:
+            self.top |= 1 << word
+
+    def pop_rank(self) -> tuple[int, list[int]] | None:
+        """The lowest rank in use and its positions as a heap; they leave the queue."""
+        top = self.top
+        if not top:
+            return None
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        low = bits & -bits
+        self.words[word] = bits ^ low
+        if bits == low:
+            self.top = top & (top - 1)
+        rank = word << self.WORD | low.bit_length() - 1
+        return rank, self.buckets.pop(rank)
 
 
 class Vocabulary(dict):
@@ -88,7 +76,7 @@ class Vocabulary(dict):
         self.bytes_of = {b: a for a, b in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(self.bytes_of) + 1)  # empty again after each merge
+        self.queue = RankQueue()  # empty again after each merge
         self.aged: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -107,31 +95,43 @@ class Vocabulary(dict):
         whole = ranks.get(piece)
         if whole is not None:
             return (whole,)
-        rank_of, push, pop = ranks.get, self.queue.push, self.queue.pop
+        rank_of, queue = ranks.get, self.queue
+        push = queue.push
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
         for i, rank in enumerate(pair):
             if rank >= 0:
                 push(rank, i)
-        while (head := pop()) is not None:
-            rank, i = head
-            if pair[i] != rank:
-                continue  # stale: the pair was merged or has changed
-            j = end[i]
-            last = end[i] = end[j]
-            pair[j] = -1
-            if last < n:
-                before[last] = i
-                stop = end[last]
-                pair[i] = rank = rank_of(piece[i:stop], -1) if stop - i <= longest else -1
-                if rank >= 0:
-                    push(rank, i)
-            else:
-                pair[i] = -1
-            if (h := before[i]) >= 0:
-                pair[h] = rank = rank_of(piece[h:last], -1) if last - h <= longest else -1
-                if rank >= 0:
-                    push(rank, h)
+        while (head := queue.pop_rank()) is not None:
+            now, bucket = head
+            while bucket:
+                i = bucket[0] if len(bucket) == 1 else heapq.heappop(bucket)
+                if len(bucket) == 1 and bucket[0] == i:
+                    bucket = ()
+                if pair[i] != now:
+                    continue  # stale: the pair was merged or has changed
+                j = end[i]
+                last = end[i] = end[j]
+                pair[j] = -1
+                lowest = now + 1
+                if last < n:
+                    before[last] = i
+                    stop = end[last]
+                    pair[i] = rank = rank_of(piece[i:stop], -1) if stop - i <= longest else -1
+                    if rank >= 0:
+                        push(rank, i)
+                        lowest = rank
+                else:
+                    pair[i] = -1
+                if (h := before[i]) >= 0:
+                    pair[h] = rank = rank_of(piece[h:last], -1) if last - h <= longest else -1
+                    if rank >= 0:
+                        push(rank, h)
+                        lowest = min(lowest, rank)
+                if lowest <= now and bucket:  # a lower or equal rank came up: it goes first
+                    for k in bucket:
+                        push(now, k)
+                    break
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
