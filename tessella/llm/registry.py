@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, url_filter, warc
+from tessella.llm import bpe, chat, html_extract, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_url_filter": url_filter.op4_url_filter,
     "op8_chat": chat.op8_chat,
+    "op10_main_text": html_extract.op10_main_text,
 }
 
 ORACLE_SQL = {
