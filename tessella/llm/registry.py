@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, html_extract, url_filter, warc
+from tessella.llm import bpe, chat, html_extract, quality, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_quality": quality.op2_quality,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_url_filter": url_filter.op4_url_filter,
     "op8_chat": chat.op8_chat,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op2_quality": quality.OP2_SQL,
     "op8_chat": chat.OP8_SQL,
 }
