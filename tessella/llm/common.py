@@ -38,3 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+#: Rows of up to a few numbers each that may be sent whole to every executor (at most some 64 MB there).
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of a few numbers a row, marked for broadcast if it has at most so many rows; else it is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
