@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, html_extract, jaccard, quality, secret_scan, url_filter, warc
+from tessella.llm import bpe, chat, decontam, html_extract, jaccard, quality, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_near_components": jaccard.op5_near_components,
     "op6_secrets": secret_scan.op6_secrets,
+    "op7_decontam": decontam.op7_decontam,
     "op8_chat": chat.op8_chat,
     "op10_main_text": html_extract.op10_main_text,
 }
