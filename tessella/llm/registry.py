@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, decontam, html_extract, jaccard, quality, secret_scan, url_filter, warc
+from tessella.llm import bpe, chat, decontam, html_extract, jaccard, pii, quality, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secrets": secret_scan.op6_secrets,
     "op7_decontam": decontam.op7_decontam,
     "op8_chat": chat.op8_chat,
+    "op9_pii": pii.op9_pii,
     "op10_main_text": html_extract.op10_main_text,
 }
 
