@@ -325,5 +325,5 @@ def span_string(spans: Column) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mark(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["base"])
-    n = [F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *n, F.sha2(span_string(base).cast("binary"), 256).alias("base_sha256"), span_string(F.col("pii")).alias("spans"))
+    n = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(n, KINDS), F.sha2(span_string(base).cast("binary"), 256).alias("base_sha256"), span_string(F.col("pii")).alias("spans"))
