@@ -189,6 +189,23 @@ def digests_of(ids: Column, name: str = VOCABULARY) -> Column:
     return digests(ids)
 
 
+def encoded_of(text: Column, name: str = VOCABULARY) -> Column:
+    """struct<ids, n_tokens, ids_sha256, decoded_sha256> of a text column, encoded and decoded in one go."""
+
+    @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def encoded(texts: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        v, rows = vocabulary(name), []
+        for t in texts:
+            ids = v.encode(t or "")
+            x = np.asarray(ids, "<u4")
+            rows.append((x.astype(np.int32), len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest()))
+        return pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded(text)
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", name: str = VOCABULARY) -> DataFrame:
     return df.withColumn(out, ids_of(F.col(text), name))
 

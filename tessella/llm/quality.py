@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, table, text_or_empty
+from tessella.llm.common import SPACE, small_or_shuffled, table, text_or_empty, written
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 LINE_DOCUMENTS, LINE_SHARE, LEAST_SHARE = 20, 0.005, 0.2
@@ -98,10 +98,10 @@ def judge(documents: DataFrame, doc_id: str = "doc_id", host: str = "source", te
 
 
 def keep_good(documents: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of documents that the rules keep, unchanged."""
-    kept = judge(documents, doc_id, host, text).filter("kept").select(F.col("id").alias("_id"), F.col("doc").alias("_doc")).distinct()
+    """The rows of documents that the rules keep, unchanged. Rows of equal host and text have the same verdict."""
+    gone = written(judge(documents, doc_id, host, text).filter(~F.col("kept")).select(F.col("doc").alias("_doc")).distinct(), "rejected")
     doc = F.xxhash64(F.col(host).cast("string"), text_or_empty(text))
-    return documents.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (doc == F.col("_doc")), "left_semi")
+    return documents.join(small_or_shuffled(gone), doc == F.col("_doc"), "left_anti")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
