@@ -20,9 +20,11 @@ from array import array
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.common import ship_package, table
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A Python worker keeps up to twice so many pre-tokens of up to so many characters with their ids; the rest are merged anew.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
@@ -156,6 +158,8 @@ def vocabulary(name: str = VOCABULARY, pattern: str | None = None) -> Vocabulary
 def ids_of(text: Column, name: str = VOCABULARY) -> Column:
     """Ids of a text column as array<int>."""
 
+    ship_package(SparkSession.active())
+
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         v = vocabulary(name)
@@ -167,6 +171,8 @@ def ids_of(text: Column, name: str = VOCABULARY) -> Column:
 def bytes_of(ids: Column, name: str = VOCABULARY) -> Column:
     """Bytes that an array<int> of ids stands for."""
 
+    ship_package(SparkSession.active())
+
     @F.pandas_udf("binary")
     def decode(column: pd.Series) -> pd.Series:
         v = vocabulary(name)
@@ -178,6 +184,8 @@ def bytes_of(ids: Column, name: str = VOCABULARY) -> Column:
 def digests_of(ids: Column, name: str = VOCABULARY) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256> of an array<int> of ids; the ids are decoded for it."""
 
+    ship_package(SparkSession.active())
+
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(column: pd.Series) -> pd.DataFrame:
         import numpy as np
@@ -192,6 +200,8 @@ def digests_of(ids: Column, name: str = VOCABULARY) -> Column:
 def encoded_of(text: Column, name: str = VOCABULARY) -> Column:
     """struct<ids, n_tokens, ids_sha256, decoded_sha256> of a text column, encoded and decoded in one go."""
 
+    ship_package(SparkSession.active())
+
     @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
     def encoded(texts: pd.Series) -> pd.DataFrame:
         import numpy as np
@@ -216,8 +226,6 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", name: str = VO
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    from tessella.llm.common import table
-
     return digest_rows(table(spark, sf_dir, "documents"))
 
 

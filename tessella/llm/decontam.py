@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_or_shuffled, table, text_or_empty, written
+from tessella.llm.common import ship_package, small_or_shuffled, table, text_or_empty, written
 from tessella.llm.shingles import U, mix, pieces, windows, words
 
 SIZE, LEAST_LITERAL, LEAST_WORDS, COVERAGE = 8, 4, 5, 0.5
@@ -99,7 +99,7 @@ class Forms:
 def window_rows(texts: DataFrame, sizes: list[int], least_literal: int, known: np.ndarray | None) -> DataFrame:
     """texts (id, text) -> (id, form, size, pos, hash, slots, tokens), of all windows or of those in known; tokens is the text's number of tokens in the form."""
     id_field = texts.schema[0]
-    spark = texts.sparkSession
+    spark = ship_package(texts.sparkSession)
     shared = spark.sparkContext.broadcast(known)
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_field.dataType.simpleString()]
     arrow = pa.schema([("id", id_type), ("form", pa.int32()), ("size", pa.int32()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("tokens", pa.int64())])

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tessella.llm.common import table
+from tessella.llm.common import ship_package, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -352,7 +352,7 @@ def trained(training_pages: int = 1500, rounds: int = 60, depth: int = 4, seed:
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """pages without the html column, with the main text and its length in code points."""
-    shared = pages.sparkSession.sparkContext.broadcast(trained())
+    shared = ship_package(pages.sparkSession).sparkContext.broadcast(trained())
     keep = [f for f in pages.schema.fields if f.name not in (html, text, n_chars)]
     schema = T.StructType([*keep, T.StructField(text, T.StringType()), T.StructField(n_chars, T.LongType())])
 

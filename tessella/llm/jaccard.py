@@ -5,8 +5,9 @@ Documents with equal sets are one node. Tokens (shingle hashes) have three globa
 weight that is gathered over the corpus, then by hash; B, ascending hash; C, descending hash. Two sets that are
 similar enough share a token in the first ``n - ceil(0.8 n) + 1`` of each under every order, so a candidate must
 share such a prefix token under A (the join), under B and under C (checked before the sets are compared).
-Two further exact bounds drop candidates early: sizes, and the parity bitmaps of the sets, which differ in no more
-bits than the sets differ in tokens.
+Further exact bounds drop candidates early: sizes; the parity bitmaps of the sets, which differ in no more bits than
+the sets differ in tokens; and the number of prefix tokens shared under A, as a prefix token below the other
+prefix's last one that isn't shared is in no part of the other set.
 
 Only components are asked for, so not all pairs of a group are looked at. First each node is compared with one
 leader, of those that lead a list of equal prefix tokens the one with the most shared tokens; then nodes outside
@@ -30,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import Window
 
-from tessella.llm.common import small_or_shuffled, table, text_or_empty, written
+from tessella.llm.common import ship_package, small_or_shuffled, table, text_or_empty, written
 from tessella.llm.components import components
 from tessella.llm.shingles import U, mix, set_hash, shingle_sets
 
@@ -104,14 +105,17 @@ def profiles(docs: DataFrame, id_type: str, size: int) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, weights: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, node): the prefix of each set under order A; equal sets of one task give one."""
+    """(token, node, n): the prefix of each set of n tokens under order A; equal sets of one task give one."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    arrow = pa.schema([("token", pa.int64()), ("node", pa.int64())])
+    arrow = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+
+    def batch_of(*columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, seen = shared.value, set()
         for batch in batches:
-            tokens, nodes, held = [], [], 0
+            tokens, nodes, sizes, held = [], [], [], 0
             for _, found in shingle_sets(batch.column(0), size):
                 n = len(found)
                 if not n or (node := set_hash(found)) in seen:
@@ -121,14 +125,15 @@ def prefix_rows(docs: DataFrame, weights: np.ndarray, size: int, percent: int) -
                 first = found[np.argsort(weight[bucket_of(found)], kind="stable")[:p]]
                 tokens.append(first.view(np.int64))
                 nodes.append(np.full(p, node))
+                sizes.append(np.full(p, n))
                 held += p
                 if held >= 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], schema=arrow)
-                    tokens, nodes, held = [], [], 0
+                    yield batch_of(tokens, nodes, sizes)
+                    tokens, nodes, sizes, held = [], [], [], 0
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], schema=arrow)
+                yield batch_of(tokens, nodes, sizes)
 
-    return docs.select("text").mapInArrow(run, "token long, node long")
+    return docs.select("text").mapInArrow(run, "token long, node long, n long")
 
 
 def gathered_weights(rows: DataFrame) -> np.ndarray:
@@ -193,6 +198,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
 
 def near_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id (the smallest id of its component) for each document."""
+    ship_package(documents.sparkSession)
     docs = documents.select(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("th"), text_or_empty(text).alias("text"))
     profile = written(profiles(docs, dict(docs.dtypes)["id"], size), "profiles")
     rows = profile.filter("bucket is null").drop("bucket", "weight")
@@ -200,9 +206,12 @@ def near_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     nodes = written(nodes, "nodes")
     weights = gathered_weights(profile.filter("bucket is not null").select("bucket", "weight"))
 
-    by_token = Window.partitionBy("token").orderBy("node")
-    lists = prefix_rows(docs, weights, size, percent).withColumns({"before": F.lag("node").over(by_token), "after": F.lead("node").over(by_token)})
-    lists = written(lists.filter("before <> node or after <> node").select("token", "node").distinct(), "lists")
+    # in order of size, a node of a list without a neighbour of fitting size has no partner in it
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    near = {f"{name}_{c}": f(c).over(by_size) for name, f in (("before", F.lag), ("after", F.lead)) for c in ("n", "node")}
+    lists = prefix_rows(docs, weights, size, percent).withColumns(near)
+    fit = lambda name: (F.col(f"{name}_node") != F.col("node")) & sizes_fit(F.col(f"{name}_n"), F.col("n"), percent)
+    lists = written(lists.filter(fit("before") | fit("after")).select("token", "node").distinct(), "lists")
 
     # how many of its prefix tokens a node shares ranks it as a leader
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -231,8 +240,11 @@ def near_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     fits = (F.col("xroot") != F.col("yroot")) & sizes_fit(F.col("xn"), F.col("yn"), percent) & bits_fit(bits, F.col("xn"), F.col("yn"), percent)
     fits = fits & (F.col("loose") | (F.col("xnode") < F.col("ynode")))
     others = others.join(leading, "token").withColumn("loose", F.col("yroot") == F.col("main")).drop("main")
-    pairs = loose.join(others, ["token", "class"]).filter(fits).select(F.least("xnode", "ynode").alias("x"), F.greatest("xnode", "ynode").alias("y")).distinct()
-    pairs = written(plausible(pairs, listed, percent), "pairs")
+    pairs = loose.join(others, ["token", "class"]).filter(fits)
+    # a row for each prefix token that two nodes share: similar sets share at least so many
+    pairs = pairs.groupBy(F.least("xnode", "ynode").alias("x"), F.greatest("xnode", "ynode").alias("y")).agg(F.count("*").alias("shared"), F.min(F.least("xn", "yn")).alias("a"), F.max(F.greatest("xn", "yn")).alias("b"))
+    needed = F.ceil(F.lit(percent) * (F.col("a") + F.col("b")) / (100 + percent) - 1e-6) - F.ceil(F.lit(percent) * F.col("b") / 100 - 1e-6) + 1
+    pairs = written(plausible(pairs.filter(F.col("shared") >= needed).select("x", "y"), listed, percent), "pairs")
     more = verified(pairs, nodes, docs, size, percent)
     roots = components(written(links.union(more), "all"))
 

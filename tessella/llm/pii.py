@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import ship_package, table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_TEXTS, ROUNDS, LEAST_MARGINAL = 4000, 6, 0.9
@@ -299,7 +299,7 @@ def find(text: str, weights: Weights) -> tuple[list[tuple[int, int, int]], list[
 
 def spans_of(df: DataFrame, text: Column) -> Column:
     """array<struct<kind, start, end, base>> by kind, then start."""
-    shared = df.sparkSession.sparkContext.broadcast(trained())
+    shared = ship_package(df.sparkSession).sparkContext.broadcast(trained())
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,base:boolean>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

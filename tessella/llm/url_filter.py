@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import ship_package, table
 
 ORDER, LEAST_SHARE, FOLDS, FALSE_BLOCKS = 4, 5e-5, 5, 0.01
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,7 +115,7 @@ def scorer(spark: SparkSession, models: dict[str, MarkovModel], accepted: str =
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", order: int = ORDER, least_share: float = LEAST_SHARE, folds: int = FOLDS, false_blocks: float = FALSE_BLOCKS) -> DataFrame:
     """pages with host, path, rule, verdict and score (null where a rule decides)."""
-    spark = pages.sparkSession
+    spark = ship_package(pages.sparkSession)
     host, path = host_and_path(F.col(url))
     judged = pages.withColumns({"host": host, "path": path})
     rule, verdict = deciding_rule(F.col("host"), F.col("path"), rules)
