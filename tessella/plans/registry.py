@@ -1,6 +1,420 @@
-"""Registered queries and their SQL."""
+"""Registered queries on the provided tables, each with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import documents, text, values
+from tessella.operators import reconcile, retrieval, review, vector
+from tessella.sources.tables import table
+from tessella.streaming import progress
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: DuckDB's strip_accents as a name key; the sharp s and a few letters without a decomposition stay out of both.
+KEY = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- projections and filters
+
+
+@query("SELECT o_orderkey, c_name, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(regexp_replace(c_name, '[^0-9]', '', 'g'), '42') AND o_orderstatus = 'F'")
+def scan_project_filter(spark: SparkSession, d: str) -> DataFrame:
+    customers = review.search_results(table(spark, d, "customer").select("c_custkey", "c_name"), "c_name", "c_name", "no. 42")
+    orders = review.search_results(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderstatus", "o_orderstatus", wanted="F")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_orderstatus")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') AND p_size >= 10 AND p_size <= 20")
+def text_and_range_filter(spark, d):
+    return table(spark, d, "part").filter(review.text_filter("p_name", "RING") & review.range_filter("p_size", 10, 20)).select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderkey, coalesce(o_orderstatus, 'x') AS status, {'a': o_totalprice, 'b': o_orderpriority}.a AS price FROM orders")
+def result_rows(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.coalesce("o_orderstatus", F.lit("x")).alias("status"), F.struct(F.col("o_totalprice").alias("a"), F.col("o_orderpriority").alias("b")).alias("s"))
+    return rows.select("o_orderkey", "status", F.col("s.a").alias("price"))
+
+
+# --- text
+
+
+@query("SELECT doc_id, md5(trim(upper(replace(strip_accents(text), 'ß', 'ss')))) AS digest FROM documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_upper(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5({KEY.format('text')}) AS digest FROM documents")
+def normalize_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_key(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("""WITH t AS (SELECT c_custkey, 'x CE/' || lpad(CAST(c_custkey AS VARCHAR), 11, '0') || ' y ' || lpad(CAST(c_custkey * 7 AS VARCHAR), 11, '0') AS t FROM customer)
+SELECT c_custkey, regexp_extract(t, '[A-Z]{2}/([0-9]{11})', 1) AS first_id, lpad(CAST(c_custkey * 7 AS VARCHAR), 11, '0') AS other_ids FROM t WHERE c_custkey > 0""")
+def extract_ids(spark, d):
+    key = lambda c: F.lpad(c.cast("string"), 11, "0")
+    rows = table(spark, d, "customer").filter("c_custkey > 0").select("c_custkey", F.concat(F.lit("x CE/"), key(F.col("c_custkey")), F.lit(" y "), key(F.col("c_custkey") * 7)).alias("t"))
+    first = text.first_identifier(F.col("t"))
+    return rows.select("c_custkey", first.alias("first_id"), F.array_join(text.all_identifiers(F.col("t"), first), ",").alias("other_ids"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'), ',') AS emails, array_to_string(regexp_extract_all(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+'), ',') AS ips FROM documents")
+def extract_emails_ips(spark, d):
+    every = lambda p: F.array_join(F.regexp_extract_all("text", F.lit(p), 0), ",")
+    return table(spark, d, "documents").select("doc_id", every(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").alias("emails"), every(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+").alias("ips"))
+
+
+@query("""WITH t AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS t FROM customer)
+SELECT c_custkey, regexp_replace(t, '([0-9]{3})([0-9]{3})([0-9]{3})([0-9]{2})', '\\1.\\2.\\3-\\4') AS shown, left(t, 3) || '***' AS masked FROM t""")
+def format_mask_id(spark, d):
+    t = F.lpad(F.col("c_custkey").cast("string"), 11, "0")
+    return table(spark, d, "customer").select("c_custkey", text.format_identifier(t).alias("shown"), text.mask_identifier(t).alias("masked"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, md5(regexp_extract(html, '(?s)<article>.*')) AS section FROM pages")
+def page_title_section(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.md5(F.regexp_extract("html", "(?s)<article>.*", 0).cast("binary")).alias("section"))
+
+
+@query("SELECT c_custkey, c_name AS name, 'A ' || c_mktsegment || ',GLICEMIA' AS items FROM customer")
+def guide_pages(spark, d):
+    page = F.concat(
+        F.lit("Nome / Name: "), "c_name", F.lit("\tIdentidade / ID Number: 1\n4. Exames / Exams:\n4.1 Realizados / Performed:\nA "), "c_mktsegment",
+        F.lit(" * / X *\tGLICEMIA * / GLUCOSE *\nObrigatório * / Mandatory *\n5. Observações / Notice:\nRealizar higienização / Clean\n"),
+    )
+    rows = table(spark, d, "customer").select("c_custkey", page.alias("page"))
+    return rows.select("c_custkey", text.person_name(F.col("page")).alias("name"), F.array_join(text.item_names(F.col("page")), ",").alias("items"))
+
+
+@query("SELECT p_partkey, upper(p_name) || ',' || upper(p_type) AS items FROM part")
+def heading_items(spark, d):
+    markdown = F.concat(F.lit("## "), "p_name", F.lit("\ntext\n"), "p_type", F.lit(" - 01/02/2025\n## "), "p_name")
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.heading_items(markdown), ",").alias("items"))
+
+
+@query("""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS a FROM documents)
+SELECT doc_id, CAST(i AS INTEGER) AS line_no, md5(line) AS line FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM a)""")
+def chunk_lines(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(text.nonblank_lines(F.col("text"))).alias("line_no", "line"))
+    return rows.select("doc_id", "line_no", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
+# --- vectors
+
+_KNN = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT query_id, vec_id, label, pow(list_distance(qe, embedding::DOUBLE[]), 2) AS x FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9), vec_id) AS rank FROM d)"""
+
+
+def _knn(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector.nearest(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 64)
+
+
+@query(f"{_KNN} SELECT query_id, vec_id, round(x, 6) AS dist2, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def knn_top5(spark, d):
+    return _knn(spark, d).select("query_id", "vec_id", F.round("dist2", 6).alias("dist2"), "rank")
+
+
+@query(f"{_KNN} SELECT query_id, vec_id, label FROM r WHERE rank <= 5 AND x < 1.35")
+def knn_threshold(spark, d):
+    return vector.with_metadata(vector.within(_knn(spark, d), 1.35), table(spark, d, "embeddings").select("vec_id", "label")).select("query_id", "vec_id", "label")
+
+
+@query(f"{_KNN} SELECT query_id, string_agg(DISTINCT s, ', ' ORDER BY s) AS expanded FROM (SELECT query_id, 'label ' || label AS s FROM r WHERE rank <= 5 UNION ALL SELECT query_id, 'query ' || query_id FROM q) GROUP BY query_id")
+def synonym_expand(spark, d):
+    e = table(spark, d, "embeddings")
+    names = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("query "), "vec_id").alias("name"))
+    return vector.expand(names, _knn(spark, d), e.select("vec_id", F.concat(F.lit("label "), "label").alias("synonym")))
+
+
+@query("SELECT count(*) AS n_rows, CAST(min(len(embedding)) AS INTEGER) AS least_dimension, CAST(max(len(embedding)) AS INTEGER) AS most_dimension FROM embeddings")
+def inspect_index(spark, d):
+    return vector.describe_index(table(spark, d, "embeddings"))
+
+
+# --- reconciliation: parts of odd lines of an order are required, those of even lines received
+
+_ALIASES = {"ring": ["small ring", "red ring"], "round": ["red ring", "blue anvil", "small widget"], "tools": ["blue anvil", "red widget"]}
+_ALIAS_ROWS = ", ".join(f"({g}, {m}, '{n}')" for g, (k, a) in enumerate(_ALIASES.items()) for m, n in enumerate([k, *a]))
+_RULES = [("ECONOMY", "STANDARD"), ("ECONOMY", "PROMO"), ("SMALL", "LARGE")]
+_RULE_ROWS = ", ".join(f"('{g}', '{s}')" for g, s in _RULES)
+
+
+def _lines(spark, d, column: str):
+    """Required and received (doc_id, pos, name) of orders."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(table(spark, d, "part").select("p_partkey", column), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos")).agg(F.min(column).alias("name"))
+    return rows.filter("pos % 2 = 1"), rows.filter("pos % 2 = 0")
+
+
+_LINES = "l AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, min({0}) AS name, lower(min({0})) AS key FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), rq AS (SELECT * FROM l WHERE pos % 2 = 1), rc AS (SELECT * FROM l WHERE pos % 2 = 0)"
+_FULL = f"WITH {_LINES.format('p_type')}, f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'faltante' WHEN a.key IS NULL THEN 'extra_no_ocr' ELSE 'encontrado' END AS status FROM (SELECT DISTINCT doc_id, key FROM rq) a FULL OUTER JOIN (SELECT DISTINCT doc_id, key FROM rc) b ON a.doc_id = b.doc_id AND a.key = b.key)"
+
+
+@query(f"{_FULL} SELECT doc_id, key, status FROM f")
+def reconcile_status(spark, d):
+    return reconcile.full_outer(*_lines(spark, d, "p_type"))
+
+
+@query(f"""{_FULL}, v AS (SELECT doc_id, count(*) FILTER (status = 'encontrado') AS found, count(*) FILTER (status = 'faltante') AS missing, count(*) FILTER (status = 'extra_no_ocr') AS extra FROM f GROUP BY doc_id)
+SELECT o_orderkey AS doc_id, coalesce(found, 0) + coalesce(missing, 0) AS required, coalesce(found, 0) AS found, coalesce(missing, 0) AS missing, coalesce(extra, 0) AS extra, coalesce(missing, 0) = 0 AS released,
+CASE WHEN coalesce(found + missing, 0) > 0 THEN found * 100.0::DOUBLE / (found + missing) END AS percent FROM orders LEFT JOIN v ON o_orderkey = doc_id""")
+def verdict_per_doc(spark, d):
+    """Orders without lines stay: nothing required, so released."""
+    return reconcile.verdicts(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), reconcile.full_outer(*_lines(spark, d, "p_type")))
+
+
+@query(f"""WITH {_LINES.format('p_name')}, g(group_ord, member_ord, name) AS (VALUES {_ALIAS_ROWS}),
+m AS (SELECT a.doc_id, a.pos, a.name, b.pos AS match_pos, b.name AS match, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY ga.group_ord, b.pos) AS n
+FROM rq a JOIN g ga ON a.key = ga.name JOIN g gb ON ga.group_ord = gb.group_ord JOIN rc b ON b.doc_id = a.doc_id AND b.key = gb.name)
+SELECT doc_id, pos, name, match_pos, match FROM m WHERE n = 1""")
+def alias_match(spark, d):
+    required, received = map(reconcile.keyed, _lines(spark, d, "p_name"))
+    return reconcile.alias_match(required, received, reconcile.alias_table(spark, _ALIASES)).drop("key")
+
+
+@query(f"""WITH {_LINES.format('p_name')}, t AS (SELECT doc_id, pos, string_split(name, ' ')[2] AS name FROM rq)
+SELECT t.doc_id, t.pos, t.name, min(rc.pos) AS match_pos, arg_min(rc.name, rc.pos) AS match FROM t JOIN rc ON t.doc_id = rc.doc_id AND (contains(rc.key, t.name) OR contains(t.name, rc.key)) GROUP BY 1, 2, 3""")
+def containment_join(spark, d):
+    required, received = _lines(spark, d, "p_name")
+    required = required.withColumn("name", F.split("name", " ").getItem(1))
+    return reconcile.containment_match(reconcile.keyed(required), reconcile.keyed(received)).drop("key")
+
+
+@query(f"""WITH {_LINES.format('p_type')}, u(general, specific) AS (VALUES {_RULE_ROWS}), n AS (SELECT lower(general) AS general, count(*) AS parts FROM u GROUP BY 1),
+h AS (SELECT doc_id, lower(general) AS general, count(DISTINCT specific) AS found FROM rc JOIN u ON rc.key = lower(specific) GROUP BY 1, 2)
+SELECT rq.doc_id, rq.pos FROM rq JOIN h ON rq.doc_id = h.doc_id AND rq.key = h.general JOIN n ON n.general = h.general WHERE found = parts""")
+def coverage_rule(spark, d):
+    required, received = map(reconcile.keyed, _lines(spark, d, "p_type"))
+    return reconcile.covered(required, received, spark.createDataFrame(_RULES, "general string, specific string"))
+
+
+@query(f"""WITH {_LINES.format('p_name')}, g(group_ord, member_ord, name) AS (VALUES {_ALIAS_ROWS}), u(general, specific) AS (VALUES {_RULE_ROWS}),
+eq AS (SELECT rq.doc_id, rq.pos, rq.name, arg_min(rc.name, rc.pos) AS match FROM rq JOIN rc ON rq.doc_id = rc.doc_id AND rq.key = rc.key GROUP BY 1, 2, 3),
+r1 AS (SELECT * FROM rq WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM eq)),
+al AS (SELECT doc_id, pos, name, match FROM (SELECT a.doc_id, a.pos, a.name, b.name AS match, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY ga.group_ord, b.pos) AS n
+  FROM r1 a JOIN g ga ON a.key = ga.name JOIN g gb ON ga.group_ord = gb.group_ord JOIN rc b ON b.doc_id = a.doc_id AND b.key = gb.name) WHERE n = 1),
+r2 AS (SELECT * FROM r1 WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM al)),
+co AS (SELECT r2.doc_id, r2.pos, r2.name, arg_min(rc.name, rc.pos) AS match FROM r2 JOIN rc ON r2.doc_id = rc.doc_id AND (contains(rc.key, r2.key) OR contains(r2.key, rc.key)) GROUP BY 1, 2, 3),
+m AS (SELECT *, 'equal' AS rule FROM eq UNION ALL SELECT *, 'alias' FROM al UNION ALL SELECT *, 'containment' FROM co),
+ex AS (SELECT doc_id, min(pos) AS pos, arg_min(name, pos) AS name FROM rc WHERE (doc_id, key) NOT IN (SELECT doc_id, lower(match) FROM m) GROUP BY doc_id, key)
+SELECT doc_id, 'required' AS side, pos, name, 'encontrado' AS status, rule, match FROM m
+UNION ALL SELECT doc_id, 'required', pos, name, 'faltante', NULL, NULL FROM r2 WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM co)
+UNION ALL SELECT doc_id, 'received', pos, name, 'extra_no_ocr', NULL, NULL FROM ex""")
+def compare_items(spark, d):
+    """All rules in order; the part names have no coverage rule."""
+    return reconcile.compare(*_lines(spark, d, "p_name"), reconcile.alias_table(spark, _ALIASES), spark.createDataFrame(_RULES, "general string, specific string"))
+
+
+# --- joins and sets
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def anti_extras(spark, d):
+    return review.without(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part p WHERE p_partkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 2 = 0 AND q.p_name = p.p_name AND q.p_size = p.p_size)")
+def anti_dupes(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return review.without(parts.filter("p_partkey % 2 = 1"), parts.filter("p_partkey % 2 = 0"), ["p_name", "p_size"]).select("p_partkey", "p_name", "p_size")
+
+
+@query("SELECT r_regionkey AS key, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 3")
+def union_append(spark, d):
+    regions = table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).filter("key <> 3")
+    return review.appended(regions, nations)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 20 = 0 THEN 'late' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def keyed_update(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    changes = orders.filter("o_orderkey % 10 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 20 == 0, "late").alias("o_orderpriority"))
+    return review.updated(orders, changes, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""WITH l AS (SELECT l_orderkey, list(DISTINCT p_type) FILTER (l_linenumber % 2 = 1) AS a, list(DISTINCT p_type) FILTER (l_linenumber % 2 = 0) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_sort(list_intersect(a, b)), ',') AS both_sides, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS only_required, array_to_string(list_sort(list_distinct(a || b)), ',') AS either
+FROM l WHERE a IS NOT NULL AND b IS NOT NULL""")
+def set_operations(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    side = lambda odd: F.collect_set(F.when(F.col("l_linenumber") % 2 == odd, F.col("p_type")))
+    sets = rows.groupBy("l_orderkey").agg(side(1).alias("a"), side(0).alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
+    shown = lambda c: F.array_join(F.array_sort(c), ",")
+    return sets.select("l_orderkey", shown(F.array_intersect("a", "b")).alias("both_sides"), shown(F.array_except("a", "b")).alias("only_required"), shown(F.array_union("a", "b")).alias("either"))
+
+
+# --- aggregates and windows
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p, count(*) AS n_all, CASE WHEN n_f = 0 THEN n_all || ' documents processed' WHEN n_f = n_all THEN 'all documents failed' ELSE (n_all - n_f) || ' processed, ' || n_f || ' failed' END AS message FROM orders GROUP BY 1")
+def status_counts(spark, d):
+    out = review.state_counts(table(spark, d, "orders"), "o_orderstatus", ["F", "O", "P"], ["o_orderpriority"])
+    return out.withColumn("message", review.batch_message(F.col("n_all"), F.col("n_f")))
+
+
+@query("SELECT user_id, CAST(floor(avg(least(value, 100)) + 0.5) AS BIGINT) AS progress FROM events GROUP BY 1")
+def avg_progress_round(spark, d):
+    return review.mean_progress(table(spark, d, "events").select("user_id", F.least("value", F.lit(100.0)).alias("p")), "p", ["user_id"])
+
+
+@query("SELECT o_custkey, bool_and(o_orderstatus IN ('F', 'P')) AS all_complete, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS n_done, count(*) AS n_all FROM orders GROUP BY 1")
+def all_complete(spark, d):
+    return review.all_complete(table(spark, d, "orders"), F.col("o_orderstatus").isin("F", "P"), ["o_custkey"])
+
+
+@query("SELECT 'o_orderstatus' AS facet, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def facets(spark, d):
+    return review.facets(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
+def facet_range(spark, d):
+    return review.value_range(table(spark, d, "orders"), "o_totalprice")
+
+
+@query("SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS types, count(DISTINCT p_name) AS n_names FROM part GROUP BY 1")
+def sorted_distinct(spark, d):
+    return table(spark, d, "part").groupBy("p_brand").agg(text.joined(F.array_sort(F.collect_set("p_type")), "none").alias("types"), F.count_distinct("p_name").alias("n_names"))
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_orderkey) AS INTEGER) AS place FROM orders")
+def rank_sort(spark, d):
+    state = F.when(F.col("o_orderstatus") == "F", "encontrado").when(F.col("o_orderstatus") == "O", "faltante").otherwise("extra_no_ocr")
+    return review.ranked(table(spark, d, "orders").withColumn("s", state), "s", "o_orderkey", ["o_custkey"]).select("o_orderkey", "place")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20")
+def page_slice(spark, d):
+    return review.page_of(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.asc("o_orderkey")], 3)
+
+
+@query("SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM orders")
+def page_count(spark, d):
+    return review.page_count(table(spark, d, "orders"))
+
+
+@query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY ORDER BY ts DESC, event_id DESC LIMIT 100")
+def retention(spark, d):
+    events = table(spark, d, "events").select("event_id", "ts")
+    return review.retained(events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("now")))), "ts", "event_id", F.col("now"), 7).select("event_id")
+
+
+@query("SELECT CASE WHEN date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM events) THEN 'today' ELSE 'earlier' END AS bucket, count(*) AS n FROM events GROUP BY 1")
+def today_split(spark, d):
+    events = table(spark, d, "events").select("ts")
+    both = events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("now"))))
+    return both.groupBy(review.day_bucket(F.col("ts"), F.col("now")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def dedupe_first(spark, d):
+    return review.first_of(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def distinct_in_order(spark, d):
+    return review.distinct_in_order(table(spark, d, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant')) WHERE n <= 3")
+def last_n_turns(spark, d):
+    return retrieval.last_turns(table(spark, d, "conversations"), "conv_id", "turn", 3, ["user", "assistant"]).select("conv_id", "turn", "role")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def first_success(spark, d):
+    orders = table(spark, d, "orders").withColumn("ord", F.col("o_orderkey"))
+    return review.first_where(orders, ["o_custkey"], F.col("o_orderstatus") == "F", "o_orderkey", "ord")
+
+
+_LATEST = "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+
+
+@query(_LATEST)
+def latest_state(spark, d):
+    return review.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_id", "event_type", "value"])
+
+
+@query(_LATEST)
+def stream_progress(spark, d):
+    """The latest state by a stream over the events, run over all there is and then read."""
+    source = table(spark, d, "events")
+    events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parquet*")
+    name = f"latest_{abs(hash(d)) % 10**9}"
+    states = progress.latest_states(events, "user_id", "ts", "event_id", ["event_id", "event_type", "value"])
+    run = states.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1")
+def daily_events(spark, d):
+    return progress.daily(table(spark, d, "events"), "ts")
+
+
+# --- values
+
+
+@query("SELECT event_id, CASE WHEN p = 0 THEN 'upload' WHEN p < 30 THEN 'ocr' WHEN p < 60 THEN 'brnet' WHEN p < 100 THEN 'validation' ELSE 'completed' END AS stage, CASE WHEN event_type = 'error' THEN 'error' WHEN p >= 100 THEN 'completed' WHEN p > 0 THEN 'processing' ELSE 'pending' END AS state, CASE WHEN p >= 80 THEN 'high' WHEN p >= 50 THEN 'medium' ELSE 'low' END AS band FROM (SELECT *, CAST(floor(least(value, 100)) AS BIGINT) AS p FROM events)")
+def stage_map(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type", F.floor(values.clamp(F.col("value"), 0.0, 100.0)).alias("p"))
+    return rows.select("event_id", values.stage_of(F.col("p")).alias("stage"), values.document_state(F.col("event_type") == "error", F.col("p")).alias("state"), values.share_band(F.col("p")).alias("band"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.nothing') IS NULL AS missing FROM events")
+def json_props(spark, d):
+    return table(spark, d, "events").select("event_id", documents.field(F.col("props"), "$.k", "bigint").alias("k"), F.isnotnull(documents.items_or_error(F.col("props"), "nothing")["error"]).alias("missing"))
+
+
+@query("""WITH t AS (SELECT doc_id, n_chars * n_chars AS n FROM documents), k AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 ELSE 2 END AS k FROM t)
+SELECT doc_id, CASE WHEN n = 0 THEN '0 Bytes' ELSE regexp_replace(regexp_replace(printf('%.2f', floor(n / pow(1024, k) * 100 + 0.5) / 100), '0+$', ''), '[.]$', '') || CASE k WHEN 0 THEN 'Bytes' WHEN 1 THEN 'KB' ELSE 'MB' END END AS shown FROM k WHERE n < 1073741824""")
+def format_bytes(spark, d):
+    n = F.col("n_chars") * F.col("n_chars")
+    return table(spark, d, "documents").filter(n < 1073741824).select("doc_id", values.format_bytes(n).alias("shown"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%.pdf' OR url LIKE '%.doc' OR url LIKE '%.docx' THEN 'document' ELSE 'other' END AS kind, lower(url) LIKE '%.html' AS taken FROM pages")
+def file_kind(spark, d):
+    none = F.lit("application/x")
+    return table(spark, d, "pages").select("page_id", values.file_kind(none, F.col("url")).alias("kind"), values.accepted(none, F.col("url"), F.length("html"), [".HTML", "image/*"], 10**9).alias("taken"))
+
+
+@query("SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M') AS shown, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
+def date_formats(spark, d):
+    return table(spark, d, "events").select("event_id", values.local_minute(F.col("ts")).alias("shown"), values.file_stamp(F.col("ts")).alias("stamp"))
+
+
+# --- retrieval
+
+
+@query("""SELECT conv_id, string_agg('Pergunta: ' || role || chr(10) || 'Resposta: ' || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1""")
+def build_context(spark, d):
+    return retrieval.context_block(table(spark, d, "conversations"), "conv_id", "turn", F.col("role"), F.col("text"))
+
+
+@query("""WITH h AS (SELECT conv_id, count(*) FILTER (role IN ('user', 'assistant')) AS n FROM conversations GROUP BY 1) SELECT conv_id, CAST(n + 3 AS INTEGER) AS n_messages FROM h""")
+def message_lists(spark, d):
+    history = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
+    turns = F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    return history.select("conv_id", F.size(retrieval.message_list("rules", F.lit("context"), turns, F.lit("question"))).alias("n_messages"))
+
+
+@query("""WITH a AS (SELECT item_id, ['Q' || item_id] || list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS a FROM benchmark)
+SELECT item_id, CAST(i AS INTEGER) AS chunk_no, chunk FROM (SELECT item_id, unnest(range(len(a))) AS i, unnest(a) AS chunk FROM a)""")
+def faq_chunks(spark, d):
+    return retrieval.chunks(table(spark, d, "benchmark").withColumn("q", F.concat(F.lit("Q"), "item_id")), "item_id", "q", "text")
