@@ -16,18 +16,23 @@ import base64
 import functools
 import hashlib
 import heapq
-from array import array
-from itertools import chain
+import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import ship_package, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: A Python worker keeps up to twice so many pre-tokens of up to so many characters with their ids; the rest are merged anew.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: A task keeps up to twice so many pre-tokens of up to so many characters with their ids; the rest are merged anew.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Characters of text whose ids are passed on at once.
+PIECE_CHARS = 1_000_000
 
 
 class RankQueue:
@@ -67,7 +72,7 @@ class RankQueue:
 
 
 class Vocabulary(dict):
-    """Ids of a pre-token, worked out when first asked for."""
+    """Ids of a pre-token, as little-endian unsigned 32-bit integers, worked out when first asked for."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -79,9 +84,9 @@ class Vocabulary(dict):
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue()  # empty again after each merge
-        self.aged: dict[str, tuple[int, ...]] = {}
+        self.aged: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.aged.get(piece)
         if ids is None:
             ids = self.merge(piece.encode())
@@ -92,11 +97,11 @@ class Vocabulary(dict):
             self[piece] = ids
         return ids
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
+    def merge(self, piece: bytes) -> bytes:
         ranks, n, longest = self.ranks, len(piece), self.longest
         whole = ranks.get(piece)
         if whole is not None:
-            return (whole,)
+            return whole.to_bytes(4, "little")
         rank_of, queue = ranks.get, self.queue
         push = queue.push
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -138,10 +143,16 @@ class Vocabulary(dict):
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
-        return tuple(out)
+        return struct.pack(f"<{len(out)}I", *out)
 
-    def encode(self, text: str) -> array:
-        return array("I", chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))))
+    def forget(self) -> None:
+        """Frees the pre-tokens that are kept; a worker outlives its tasks."""
+        self.clear()
+        self.aged = {}
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -163,7 +174,7 @@ def ids_of(text: Column, name: str = VOCABULARY) -> Column:
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         v = vocabulary(name)
-        return texts.map(lambda t: v.encode(t or ""))
+        return texts.map(lambda t: np.frombuffer(v.encode(t or ""), "<i4"))
 
     return encode(text)
 
@@ -181,41 +192,6 @@ def bytes_of(ids: Column, name: str = VOCABULARY) -> Column:
     return decode(ids)
 
 
-def digests_of(ids: Column, name: str = VOCABULARY) -> Column:
-    """struct<n_tokens, ids_sha256, decoded_sha256> of an array<int> of ids; the ids are decoded for it."""
-
-    ship_package(SparkSession.active())
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(column: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        v = vocabulary(name)
-        rows = [(len(x), hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(v.decode(x)).hexdigest()) for x in column]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return digests(ids)
-
-
-def encoded_of(text: Column, name: str = VOCABULARY) -> Column:
-    """struct<ids, n_tokens, ids_sha256, decoded_sha256> of a text column, encoded and decoded in one go."""
-
-    ship_package(SparkSession.active())
-
-    @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def encoded(texts: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        v, rows = vocabulary(name), []
-        for t in texts:
-            ids = v.encode(t or "")
-            x = np.asarray(ids, "<u4")
-            rows.append((x.astype(np.int32), len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded(text)
-
-
 def encode(df: DataFrame, text: str = "text", out: str = "ids", name: str = VOCABULARY) -> DataFrame:
     return df.withColumn(out, ids_of(F.col(text), name))
 
@@ -225,10 +201,40 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", name: str = VO
     return df.withColumn(out, bytes_of(F.col(ids), name))
 
 
-def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digest_rows(table(spark, sf_dir, "documents"))
+def round_trip(df: DataFrame, text: str = "text", ids: bool = True, name: str = VOCABULARY) -> DataFrame:
+    """The columns of df but text, then ids (array<int>, if wanted), n_tokens, ids_sha256 and decoded_sha256, the digest of the bytes
+    that the ids decode to. Rows go on in pieces of up to PIECE_CHARS characters, so a worker holds one batch of texts and one piece of ids."""
+    ship_package(df.sparkSession)
+    kept = [f for f in df.schema.fields if f.name not in (text, "ids", "n_tokens", "ids_sha256", "decoded_sha256")]
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType([*kept, *more])
+    names = schema.names
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(name)
+        for batch in batches:
+            texts, begin = batch.column(len(kept)), 0
+            while begin < batch.num_rows:
+                flat, ends, sums, chars, k = [], [0], ([], []), 0, begin
+                while k < batch.num_rows and chars < PIECE_CHARS:
+                    t = texts[k].as_py() or ""
+                    found = v.encode(t)
+                    if ids:
+                        flat.append(found)
+                    ends.append(ends[-1] + len(found) // 4)
+                    sums[0].append(hashlib.sha256(found).hexdigest())
+                    sums[1].append(hashlib.sha256(v.decode(np.frombuffer(found, "<u4").tolist())).hexdigest())
+                    chars += len(t)
+                    k += 1
+                columns = [batch.column(c).slice(begin, k - begin) for c in range(len(kept))]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"))))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int64()), pa.array(sums[0], pa.string()), pa.array(sums[1], pa.string())], names=names)
+                begin = k
+        v.forget()
+
+    return df.select(*[f.name for f in kept], F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
 
-def digest_rows(documents: DataFrame) -> DataFrame:
-    found = documents.select("doc_id", digests_of(ids_of(F.col("text"))).alias("d"))
-    return found.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+
+def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)

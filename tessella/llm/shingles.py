@@ -16,7 +16,7 @@ import pyarrow as pa
 U = np.uint64
 RADIX, RADIX_INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of text worked on at once; a longer text alone is one piece.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _powers = {}
 
 
