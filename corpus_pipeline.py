@@ -8,7 +8,6 @@ are those of the operators; a row without an id is never taken for a near duplic
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontam, jaccard, quality, secret_scan
 from tessella.llm.common import table, written
@@ -31,15 +30,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are covered; n_chars follows where a text changes."""
-    covered = secret_scan.without_secrets(docs.withColumn("_was", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_was"))
-    return covered.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secret_scan.without_secrets(docs, n_chars="n_chars")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of each text, their number, and digests of the ids and of the decoded bytes."""
-    found = docs.select("doc_id", "lang", "source", bpe.encoded_of(F.col("text")).alias("e"))
-    return found.select("doc_id", "lang", "source", "e.ids", "e.n_tokens", "e.ids_sha256", "e.decoded_sha256")
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
 
 
 STAGES = [

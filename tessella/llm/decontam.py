@@ -101,8 +101,7 @@ def window_rows(texts: DataFrame, sizes: list[int], least_literal: int, known: n
     id_field = texts.schema[0]
     spark = ship_package(texts.sparkSession)
     shared = spark.sparkContext.broadcast(known)
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_field.dataType.simpleString()]
-    arrow = pa.schema([("id", id_type), ("form", pa.int32()), ("size", pa.int32()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("tokens", pa.int64())])
+    arrow = pa.schema([("form", pa.int32()), ("size", pa.int32()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -125,7 +124,7 @@ def window_rows(texts: DataFrame, sizes: list[int], least_literal: int, known: n
                         out += [(row + int(o), form, size, int(a - begins[o]), int(h), forms.values(form, int(a), size), int(begins[o + 1] - begins[o])) for a, h, o in zip(at, hashes.view(np.int64), owner[at])]
                 if out:
                     columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0]))] + [pa.array(c, f.type) for c, f in zip(columns[1:], list(arrow)[1:])], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0]))] + [pa.array(c, f.type) for c, f in zip(columns[1:], arrow)], names=["id", *arrow.names])
 
     return texts.mapInArrow(run, f"id {id_field.dataType.simpleString()}, form int, size int, pos long, hash long, slots array<string>, tokens long")
 
@@ -162,7 +161,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
 def without_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of documents that no item contaminates; a row without an id stays."""
     gone = written(contaminated(documents, benchmark, doc_id, text).select(F.col(doc_id).alias("_id")).distinct(), "leaks")
-    return documents.join(small_or_shuffled(gone), F.col(doc_id) == F.col("_id"), "left_anti")
+    return documents.join(small_or_shuffled(gone), documents[doc_id] == gone["_id"], "left_anti")
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

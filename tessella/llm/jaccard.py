@@ -66,10 +66,9 @@ def bucket_of(found: np.ndarray) -> np.ndarray:
 def profiles(docs: DataFrame, id_type: str, size: int) -> DataFrame:
     """docs (id, th, text) -> rows (id, th, n, node, bitmap) for the documents and (bucket, weight) for the tokens' weights."""
     schema = f"id {id_type}, th long, n long, node long, bitmap array<long>, bucket long, weight long"
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    arrow = pa.schema([("id", arrow_id), ("th", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bitmap", pa.list_(pa.int64())), ("bucket", pa.int64()), ("weight", pa.int64())])
+    numbers = [("th", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bitmap", pa.list_(pa.int64())), ("bucket", pa.int64()), ("weight", pa.int64())]
 
-    def weights(kept: list[np.ndarray]) -> pa.RecordBatch:
+    def weights(kept: list[np.ndarray], arrow: pa.Schema) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
         over = counts > 1
         buckets, at = np.unique(bucket_of(tokens[over]), return_inverse=True)
@@ -80,7 +79,7 @@ def profiles(docs: DataFrame, id_type: str, size: int) -> DataFrame:
         seen: set[int] = set()
         kept, held = [], 0
         for batch in batches:
-            rows = batch.num_rows
+            rows, arrow = batch.num_rows, pa.schema([("id", batch.column(0).type), *numbers])
             n, node, maps = np.zeros(rows, np.int64), np.zeros(rows, np.int64), [None] * rows
             for k, found in shingle_sets(batch.column(2), size):
                 n[k] = len(found)
@@ -93,13 +92,13 @@ def profiles(docs: DataFrame, id_type: str, size: int) -> DataFrame:
                     kept.append(found)
                     held += len(found)
                     if held >= COUNTED:
-                        yield weights(kept)
+                        yield weights(kept, arrow)
                         kept, held = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n), pa.array(node, mask=n == 0), pa.array(maps, pa.list_(pa.int64())), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], schema=arrow
             )
         if kept:
-            yield weights(kept)
+            yield weights(kept, arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -268,7 +267,7 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The rows of documents but those of a component's documents other than the one with the smallest id; rows of one id stay or go together."""
     found = near_components(documents.filter(F.col(doc_id).isNotNull()), doc_id, text)
     gone = written(found.filter("id <> component_id").select(F.col("id").alias("_id")).distinct(), "gone")
-    return documents.join(small_or_shuffled(gone), F.col(doc_id) == F.col("_id"), "left_anti")
+    return documents.join(small_or_shuffled(gone), documents[doc_id] == gone["_id"], "left_anti")
 
 
 def op5_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:

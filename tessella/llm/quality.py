@@ -100,8 +100,8 @@ def judge(documents: DataFrame, doc_id: str = "doc_id", host: str = "source", te
 def keep_good(documents: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """The rows of documents that the rules keep, unchanged. Rows of equal host and text have the same verdict."""
     gone = written(judge(documents, doc_id, host, text).filter(~F.col("kept")).select(F.col("doc").alias("_doc")).distinct(), "rejected")
-    doc = F.xxhash64(F.col(host).cast("string"), text_or_empty(text))
-    return documents.join(small_or_shuffled(gone), doc == F.col("_doc"), "left_anti")
+    doc = F.xxhash64(documents[host].cast("string"), F.coalesce(documents[text].cast("string"), F.lit("")))
+    return documents.join(small_or_shuffled(gone), doc == gone["_doc"], "left_anti")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,8 @@ def tested(candidates: Column, alpha: float) -> Column:
 
 def scan(df: DataFrame, text: str = "text", out: str = "secrets", least_chars: int = LEAST_CHARS, alpha: float = ALPHA, q: float = Q) -> DataFrame:
     """df with out: array<struct<start, rank, end>> by start, then kind; rank is the kind's place in KINDS."""
-    df = df.withColumn("_t", F.replace(text_or_empty(text), F.lit(MARK), F.lit(OTHER)))
+    rest = [c for c in df.columns if c != out]
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.replace(text_or_empty(text), F.lit(MARK), F.lit(OTHER)).alias("_t"))
     t, low = F.col("_t"), F.lower("_t")
     named = (t.contains("=") | t.contains(":")) & (low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api"))
     run = rf"(?<![{RUN}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{RUN}]{{{least_chars},}}"
@@ -151,7 +152,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets", least_chars: i
     df = df.withColumn("_cut", F.when(F.size("_tested") > 0, cut))
     more = F.transform(F.filter("_tested", lambda c: c["p"] <= F.col("_cut")), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
     df = df.withColumn(out, F.array_sort(F.concat("_base", F.coalesce(more, F.array().cast("array<struct<start:int,rank:int,end:int>>")))))
-    return df.drop("_t", "_assign", "_access", "_hex", "_run", "_base", "_tested", "_cut")
+    return df.select(*[F.col(f"_row.`{c}`") for c in rest], out)
 
 
 def span_string(spans: Column) -> Column:
@@ -173,9 +174,18 @@ def redact(text: Column, spans: Column, cover: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def without_secrets(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with every found secret in text covered; a null text stays null."""
-    return scan(df, text, "_secrets").withColumn(text, redact(F.col(text), F.col("_secrets"))).drop("_secrets")
+def without_secrets(df: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """df with every found secret in text covered, and the text's length in the column n_chars, if named, where a text changes; a null text stays null."""
+    found = scan(df.select(F.struct("*").alias("row"), F.col(text).alias("text")))
+    redacted = redact(F.col("text"), F.col("secrets"))
+
+    def column(name: str) -> Column:
+        if name == text:
+            return redacted
+        was = F.col(f"row.`{name}`")
+        return F.when(F.size("secrets") > 0, F.length(redacted).cast(df.schema[name].dataType)).otherwise(was) if name == n_chars else was
+
+    return found.select(*[column(c).alias(c) for c in df.columns])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,19 +117,21 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     """pages with host, path, rule, verdict and score (null where a rule decides)."""
     spark = ship_package(pages.sparkSession)
     host, path = host_and_path(F.col(url))
-    judged = pages.withColumns({"host": host, "path": path})
+    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
+    judged = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), host.alias("host"), path.alias("path"))
     rule, verdict = deciding_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "_label": verdict, "_text": F.concat("host", "path")})
+    shown = [*[F.col(f"_row.`{c}`") for c in rest], "host", "path", "rule", "score", "verdict"]
     labelled = judged.filter(F.col("_label").isNotNull()).select("_text", "_label", (F.pmod(F.xxhash64("_text"), F.lit(folds)) == 0).alias("held"))
     models = fit(count_grams(labelled.filter(~F.col("held")), "_text", "_label", order), order, least_share)
     if not {"allow", "block"} <= models.keys():
-        return judged.withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.coalesce("_label", F.lit("allow"))).drop("_label", "_text")
+        return judged.withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.coalesce("_label", F.lit("allow"))).select(*shown)
     score = scorer(spark, models)
     held = labelled.filter(F.col("held") & (F.col("_label") == "allow")).select(score("_text").alias("s"))
     threshold = held.agg(F.percentile_approx("s", F.lit(false_blocks), F.lit(10_000)).alias("t")).first()["t"]
     threshold = min(0.0, threshold if threshold is not None else 0.0)
     judged = judged.withColumn("score", F.when(F.col("_label").isNull(), score("_text")))
-    return judged.withColumn("verdict", F.coalesce("_label", F.when(F.col("score") < threshold, "block").otherwise("allow"))).drop("_label", "_text")
+    return judged.withColumn("verdict", F.coalesce("_label", F.when(F.col("score") < threshold, "block").otherwise("allow"))).select(*shown)
 
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
