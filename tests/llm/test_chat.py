@@ -37,5 +37,6 @@ def test_edges(spark):
     got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1]["formatted"] == "<|turn|>b\n<|end|>\n<|turn|>\n<|end|>\n<|turn|>a\n<|end|>\n" and got[1]["loss"] == []
     assert got[None]["formatted"] == "<|turn|>user\nn<|end|>\n" * 2
-    assert [(s["start"], s["end"]) for s in got[2]["loss"]] == [(19, 250_019)]
+    head = len("<|turn|>assistant\n")
+    assert [(s["start"], s["end"]) for s in got[2]["loss"]] == [(head, head + 250_000)]
     assert chat.format_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
