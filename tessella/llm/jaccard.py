@@ -170,26 +170,33 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            nodes, sets = [], []
-            for _, found in shingle_sets(batch.column(0), size):
+            nodes, rows = [], []
+            for k, found in shingle_sets(batch.column(0), size):
                 if len(found) and (node := set_hash(found)) not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "found"])
+                    rows.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["node", "text"])
 
-    texts = docs.join(small_or_shuffled(needed), "th", "left_semi").select("text")
-    sets = written(texts.mapInArrow(build, "node long, found binary"), "sets")
-    # a node's set may be there once for each task: equal rows, of which one is taken
-    sets = sets.groupBy("node").agg(F.first("found").alias("found"))
-    left = sets.select(F.col("node").alias("x"), F.col("found").alias("fx"))
-    right = sets.select(F.col("node").alias("y"), F.col("found").alias("fy"))
-    both = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "fx", "fy")
+    # a text is smaller than its set's hashes, so texts are dealt out and each task hashes them again; one text of each
+    # node is written, so that both joins read plain exchanges, which Spark splits where a leader has many members
+    texts = docs.join(small_or_shuffled(needed), "th", "left_semi").select("text").mapInArrow(build, "node long, text string")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    left = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
+    right = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
+    both = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "tx", "ty")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fx, fy = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(fx[k].as_buffer(), np.uint64), np.frombuffer(fy[k].as_buffer(), np.uint64), percent) for k in range(batch.num_rows)]
+            if not batch.num_rows:
+                continue
+            y = batch.column(1).to_numpy()
+            first = np.append(True, y[1:] != y[:-1])
+            partners, b, keep = shingle_sets(batch.column(3).take(pa.array(np.flatnonzero(first))), size), None, []
+            for k, a in shingle_sets(batch.column(2), size):
+                if first[k]:
+                    _, b = next(partners)
+                keep.append(similar(a, b, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(compare, "x long, y long")
