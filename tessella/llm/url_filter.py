@@ -2,15 +2,15 @@
 
 Rules (host, path) fit a host and its subdomains where the URL's path starts with the rule's; the longest wins.
 URLs that a rule decides are the labels of two smoothed variable-order Markov models, one for accepted and one for
-rejected URLs. Their n-grams are counted over all such URLs; a model keeps those that make up at least
-``least_share`` of its characters, so it holds at most (order + 1) / least_share entries whatever the input's
-size. A URL that no rule decides is blocked if the log-likelihood difference per character is under a threshold,
-which is set on held-out accepted URLs (one in ``folds``, by hash) so that at most ``false_blocks`` of them fall
-under it; it is never above 0.
+rejected URLs. Their n-grams are counted over all such URLs and all counts are kept, as a written table. The URLs to
+be scored are exploded into n-grams; each distinct n-gram gets its two chances by joins with the counts, and the
+logarithms' differences are summed for each URL. A URL that no rule decides is blocked if the log-likelihood
+difference per character is under a threshold, which is set on held-out accepted URLs (one in ``folds``, by hash) so
+that at most ``false_blocks`` of them fall under it; it is never above 0.
 
 Edge cases: a null URL and one without ``://`` have empty host and path and are allowed unless a rule with an
 empty host fits; without URLs of both labels the models decide nothing and all such URLs are allowed; repeated
-rows count as often as they occur; a null id passes through.
+rows count as often as they occur; a null id passes through. URLs to be scored are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ship_package, table
+from tessella.llm.common import ship_package, small_or_shuffled, table, written
 
-ORDER, LEAST_SHARE, FOLDS, FALSE_BLOCKS = 4, 5e-5, 5, 0.01
+ORDER, FOLDS, FALSE_BLOCKS = 4, 5, 0.01
+ALPHABET = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,9 +64,9 @@ def count_grams(labelled: DataFrame, text: str, label: str, order: int) -> DataF
 
 
 class MarkovModel:
-    """Witten-Bell interpolation from the longest context that was kept down to a uniform distribution."""
+    """Witten-Bell interpolation from the longest known context down to a uniform distribution; the plain form of gram_scores, for one label."""
 
-    def __init__(self, grams: dict[str, int], order: int, alphabet: int = 256):
+    def __init__(self, grams: dict[str, int], order: int, alphabet: int = ALPHABET):
         self.grams, self.order, self.floor = grams, order, 1 / alphabet
         self.total: Counter = Counter()
         self.kinds: Counter = Counter()
@@ -90,30 +91,46 @@ class MarkovModel:
         return sum(math.log(self.chance(padded[i - self.order - 1 : i])) for i in range(self.order + 1, len(padded) + 1))
 
 
-def fit(counts: DataFrame, order: int, least_share: float) -> dict[str, MarkovModel]:
-    """A model for each label."""
-    sizes = {r["label"]: r["n"] for r in counts.filter(F.length("gram") == 1).groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    least = F.lit(1.0)
-    for label, n in sizes.items():
-        least = F.when(F.col("label") == label, max(1.0, least_share * n)).otherwise(least)
-    grams: dict[str, dict[str, int]] = {label: {} for label in sizes}
-    for row in counts.filter(F.col("n") >= least).toLocalIterator():  # at most (order + 1) / least_share rows for each label
-        grams[row["label"]][row["gram"]] = row["n"]
-    return {label: MarkovModel(g, order) for label, g in grams.items()}
+def full_grams(text: Column, order: int) -> Column:
+    """The gram of order + 1 characters that ends at each character of text and at its end."""
+    chars = F.concat(F.array_repeat(F.lit("\x02"), order), F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), F.array(F.lit("\x03")))
+    return let(chars, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - order - 1), lambda i: F.concat(*[F.get(v, i + k) for k in range(order + 1)])))
 
 
-def scorer(spark: SparkSession, models: dict[str, MarkovModel], accepted: str = "allow", rejected: str = "block"):
-    shared = spark.sparkContext.broadcast((models[accepted], models[rejected]))
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        yes, no = shared.value
-        return texts.map(lambda t: (yes.log_likelihood(t) - no.log_likelihood(t)) / (len(t) + 1))
 
-    return score
+def gram_scores(needed: DataFrame, counts: DataFrame, order: int, accepted: str = "allow", rejected: str = "block") -> DataFrame:
+    """gram, score for the distinct grams of order + 1 characters in needed (gram): log chance if accepted less that if rejected, by Witten-Bell interpolation over all counts."""
+    labels = (accepted, rejected)
+    suffixes = needed.select(F.explode(F.array(*[F.substring("gram", -k, k) for k in range(1, order + 2)])).alias("gram"))
+    known = [F.when(F.col("label") == x, F.col("n")).otherwise(0).alias(f"n{j}") for j, x in enumerate(labels)]
+    rows = counts.select("gram", *known, F.lit(False).alias("asked")).unionByName(suffixes.select("gram", F.lit(0).alias("n0"), F.lit(0).alias("n1"), F.lit(True).alias("asked")))
+    rows = rows.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("asked").alias("asked")).withColumn("size", F.length("gram"))
+    context = Window.partitionBy(F.expr("left(gram, size - 1)"), "size")  # no more rows than there are characters
+    rows = rows.withColumns({f"total{j}": F.sum(f"n{j}").over(context) for j in (0, 1)} | {f"kinds{j}": F.sum((F.col(f"n{j}") > 0).cast("int")).over(context) for j in (0, 1)})
+    rows = written(rows.filter("asked").drop("asked"), "grams")
+    below = None
+    for k in range(1, order + 2):
+        level = rows.filter(F.col("size") == k)
+        if below is not None:
+            level = level.withColumn("shorter", F.substring("gram", -(k - 1), k - 1)).join(below, "shorter")
+        less = lambda j: F.lit(1 / ALPHABET) if below is None else F.col(f"less{j}")  # noqa: E731, B023
+        chance = lambda j: F.when(F.col(f"total{j}") > 0, (F.col(f"n{j}") + F.col(f"kinds{j}") * less(j)) / (F.col(f"total{j}") + F.col(f"kinds{j}"))).otherwise(less(j))
+        below = level.select(F.col("gram").alias("shorter"), chance(0).alias("less0"), chance(1).alias("less1"))
+    return below.select(F.col("shorter").alias("gram"), (F.log("less0") - F.log("less1")).alias("score"))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", order: int = ORDER, least_share: float = LEAST_SHARE, folds: int = FOLDS, false_blocks: float = FALSE_BLOCKS) -> DataFrame:
+def text_scores(texts: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    """key, score for texts (key, text) of distinct keys: log-likelihood difference per character."""
+    grams = texts.select("key", F.explode(full_grams(F.col("text"), order)).alias("gram"))
+    scores = written(gram_scores(grams.select("gram").distinct(), counts, order), "gram-scores")
+    return grams.join(small_or_shuffled(scores), "gram").groupBy("key").agg((F.sum("score") / F.count("*")).alias("score"))
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", order: int = ORDER, folds: int = FOLDS, false_blocks: float = FALSE_BLOCKS) -> DataFrame:
     """pages with host, path, rule, verdict and score (null where a rule decides)."""
     spark = ship_package(pages.sparkSession)
     host, path = host_and_path(F.col(url))
@@ -122,15 +139,17 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     rule, verdict = deciding_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "_label": verdict, "_text": F.concat("host", "path")})
     shown = [*[F.col(f"_row.`{c}`") for c in rest], "host", "path", "rule", "score", "verdict"]
-    labelled = judged.filter(F.col("_label").isNotNull()).select("_text", "_label", (F.pmod(F.xxhash64("_text"), F.lit(folds)) == 0).alias("held"))
-    models = fit(count_grams(labelled.filter(~F.col("held")), "_text", "_label", order), order, least_share)
-    if not {"allow", "block"} <= models.keys():
+    judged = judged.withColumns({"_key": F.xxhash64("_text"), "_held": F.coalesce((F.pmod(F.xxhash64("_text"), F.lit(folds)) == 0) & F.col("_label").isNotNull(), F.lit(False))})
+    counts = written(count_grams(judged.filter(F.col("_label").isNotNull() & ~F.col("_held")), "_text", "_label", order), "gram-counts")
+    if not {"allow", "block"} <= {r["label"] for r in counts.select("label").distinct().collect()}:
         return judged.withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.coalesce("_label", F.lit("allow"))).select(*shown)
-    score = scorer(spark, models)
-    held = labelled.filter(F.col("held") & (F.col("_label") == "allow")).select(score("_text").alias("s"))
-    threshold = held.agg(F.percentile_approx("s", F.lit(false_blocks), F.lit(10_000)).alias("t")).first()["t"]
+    held = judged.filter(F.col("_held") & (F.col("_label") == "allow"))
+    texts = judged.filter(F.col("_label").isNull()).select("_key", "_text").unionByName(held.select("_key", "_text")).groupBy(F.col("_key").alias("key")).agg(F.min("_text").alias("text"))
+    scores = written(text_scores(written(texts, "texts"), counts, order).select(F.col("key").alias("_scored"), F.col("score").alias("_score")), "scores")
+    scores = small_or_shuffled(scores)
+    threshold = held.join(scores, F.col("_key") == F.col("_scored")).agg(F.percentile_approx("_score", F.lit(false_blocks), F.lit(10_000)).alias("t")).first()["t"]
     threshold = min(0.0, threshold if threshold is not None else 0.0)
-    judged = judged.withColumn("score", F.when(F.col("_label").isNull(), score("_text")))
+    judged = judged.join(scores, F.col("_key") == F.col("_scored"), "left").withColumn("score", F.when(F.col("_label").isNull(), F.col("_score")))
     return judged.withColumn("verdict", F.coalesce("_label", F.when(F.col("score") < threshold, "block").otherwise("allow"))).select(*shown)
 
 

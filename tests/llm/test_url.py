@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import url_filter as uf
 
@@ -71,3 +72,31 @@ def test_held_out_urls(spark):
     got = uf.filter_urls(spark.createDataFrame(rows, "kind int, url string"), rules).filter("kind > 0").groupBy("kind", "verdict").count().collect()
     n = {(r["kind"], r["verdict"]): r["count"] for r in got}
     assert n.get((1, "allow"), 0) >= 190 and n.get((2, "block"), 0) >= 190
+
+
+def test_scores_use_all_grams(spark):
+    """Over 20,000 labelled characters, grams that occur once still count: scores are those of models of all counts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé🙂") for _ in range(rng.randint(3, 9)))
+    rules = [("allow", "good/"), ("block", "bad/")]
+    urls = [f"https://{word()}.{tld}/{word()}/{word()}" for tld in ("good", "bad") for _ in range(1500)] + [f"https://{word()}.info/{word()}" for _ in range(100)] + [None, "x://"] + ["https://twice.info/a"] * 2
+    df = spark.createDataFrame([(u,) for u in urls], "url string").repartition(3)
+    got = uf.filter_urls(df, rules).collect()
+    assert len(got) == len(urls)
+    held = {r["t"] for r in df.select(F.concat(*uf.host_and_path(F.col("url"))).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(uf.FOLDS)) == 0).collect()}
+    grams = {"allow": Counter(), "block": Counter()}
+    for r in got:
+        t = r["host"] + r["path"]
+        if r["rule"] and t not in held:
+            padded = "\x02" * uf.ORDER + t + "\x03"
+            grams[r["verdict"]].update(padded[i - k : i] for k in range(1, uf.ORDER + 2) for i in range(uf.ORDER + 1, len(padded) + 1))
+    assert all(sum(n for g, n in c.items() if len(g) == 1) > 20_000 for c in grams.values())
+    yes, no = (uf.MarkovModel(grams[x], uf.ORDER) for x in ("allow", "block"))
+    score = lambda t: (yes.log_likelihood(t) - no.log_likelihood(t)) / (len(t) + 1)
+    below = sorted(score(r["host"] + r["path"]) for r in got if r["rule"] and r["verdict"] == "allow" and r["host"] + r["path"] in held)
+    for r in got:
+        assert (r["score"] is None) == bool(r["rule"])
+        if not r["rule"]:
+            assert r["score"] == pytest.approx(score(r["host"] + r["path"]), abs=1e-9)
+    least = min(0.0, below[math.ceil(uf.FALSE_BLOCKS * len(below)) - 1])
+    assert all((r["verdict"] == "block") == (r["score"] < least - 1e-9) or abs(r["score"] - least) < 1e-9 for r in got if not r["rule"])
