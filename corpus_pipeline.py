@@ -14,8 +14,8 @@ from tessella.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules reject go, and frequent lines go from the others; n_chars follows where a text changes."""
+    return quality.clean_good(docs, n_chars="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ words or if over ``most_repeated`` percent of its words lie in five-word windows
 Method: a line is normalised (lower case, white space as one space, trimmed), hashed together with the document's
 host, and the host's distinct documents with that line are counted. A line in more documents than both limits
 (``line_documents`` and ``line_share`` of the host's distinct documents) is removed wherever it occurs, except in
-the host's first document (smallest id) that has it. A document is depleted, and rejected, if fewer than
+the host's first document (smallest id) that has it: ``clean_good`` gives the texts without such lines. A document is depleted, and rejected, if fewer than
 ``least_words`` words or less than ``least_share`` of its words remain.
 
 Documents of a host with equal texts are one document here, so exact copies are neither counted twice nor treated
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, small_or_shuffled, table, text_or_empty, written
+from tessella.llm.common import BROADCAST_ROWS, SPACE, small_or_shuffled, table, text_or_empty, written
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 LINE_DOCUMENTS, LINE_SHARE, LEAST_SHARE = 20, 0.005, 0.2
@@ -60,12 +60,12 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """For docs (id, host, text): a row for each document and distinct normalised line: id, host, doc (hash of host and text), line (hash of host and line), words."""
+    """For docs (id, host, text): a row for each document and line that isn't blank: id, host, doc (hash of host and text), pos, line (hash of host and normalised line), words."""
     spaces = f"[{SPACE}]+"
-    rows = docs.select("id", F.xxhash64("host").alias("host"), F.xxhash64("host", "text").alias("doc"), F.explode(F.split("text", "\n", -1)).alias("raw"))
+    rows = docs.select("id", F.xxhash64("host").alias("host"), F.xxhash64("host", "text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     rows = rows.withColumn("raw", F.btrim(F.lower("raw"), F.lit(BLANKS))).filter(F.col("raw") != "")
     n = F.size(F.split("raw", spaces))
-    rows = rows.select("id", "host", "doc", F.xxhash64("host", F.regexp_replace("raw", spaces, " ")).alias("line"), n.alias("words"))
+    rows = rows.select("id", "host", "doc", "pos", F.xxhash64("host", F.regexp_replace("raw", spaces, " ")).alias("line"), n.alias("words"))
     return rows
 
 
@@ -80,14 +80,14 @@ def frequent_lines(docs: DataFrame, line_documents: int, line_share: float) -> D
 
 def judge(documents: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED,
           line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, least_share: float = LEAST_SHARE) -> DataFrame:
-    """id, doc, the base counts, base_failed, removed_words and kept, a row for each document."""
+    """id, doc, the base counts, base_failed, removed_words, removed_at (positions of removed lines, or null) and kept, a row for each document."""
     docs = documents.select(F.col(doc_id).alias("id"), F.col(host).cast("string").alias("host"), text_or_empty(text).alias("text"))
     over = frequent_lines(docs, line_documents, line_share)
     removed = line_rows(docs).join(over, "line").filter(F.col("doc") != F.col("first_doc"))
-    removed = removed.groupBy("id", "doc").agg(F.sum("words").alias("removed_words"))
+    removed = removed.groupBy("id", "doc").agg(F.sum("words").alias("removed_words"), F.collect_set("pos").alias("removed_at"))
     rows = docs.groupBy("id", F.xxhash64("host", "text").alias("doc")).agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)
     removed = removed.alias("r").join(rows.alias("c"), F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col("r.doc") == F.col("c.doc")), "left")
-    removed = removed.select(F.col("r.id").alias("rid"), F.col("r.doc").alias("rdoc"), (F.col("removed_words") / F.coalesce("rows", F.lit(1))).cast("long").alias("removed_words"))
+    removed = removed.select(F.col("r.id").alias("rid"), F.col("r.doc").alias("rdoc"), (F.col("removed_words") / F.coalesce("rows", F.lit(1))).cast("long").alias("removed_words"), "removed_at")
     base = base_counts(docs, "text").withColumn("doc", F.xxhash64("host", "text")).drop("text", "host")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = base.join(removed, F.col("id").eqNullSafe(F.col("rid")) & (F.col("doc") == F.col("rdoc")), "left").drop("rid", "rdoc")
@@ -104,6 +104,26 @@ def keep_good(documents: DataFrame, doc_id: str = "doc_id", host: str = "source"
     return documents.join(small_or_shuffled(gone), doc == gone["_doc"], "left_anti")
 
 
+def clean_good(documents: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """The rows of documents that the rules keep, their texts without the removed lines, and the text's length in the column n_chars, if named, where a text changes."""
+    found = judge(documents, doc_id, host, text).filter(~F.col("kept") | F.col("removed_at").isNotNull())
+    changes = written(found.groupBy(F.col("doc").alias("_doc")).agg(F.min("kept").alias("_kept"), F.first("removed_at").alias("_at")), "changes")
+    numbers = changes.agg(F.sum(1 + F.coalesce(F.size("_at"), F.lit(0)))).first()[0] or 0
+    doc = F.xxhash64(F.col(host).cast("string"), text_or_empty(text))
+    rows = documents.select(F.struct("*").alias("row"), doc.alias("doc"))
+    rows = rows.join(F.broadcast(changes) if numbers <= BROADCAST_ROWS else changes, F.col("doc") == F.col("_doc"), "left").filter(F.coalesce("_kept", F.lit(True)))
+    lines = F.filter(F.split(F.col(f"row.`{text}`").cast("string"), "\n", -1), lambda x, i: ~F.array_contains("_at", i))
+    cleaned = F.when(F.col("_at").isNotNull(), F.array_join(lines, "\n"))
+
+    def column(name: str) -> Column:
+        was = F.col(f"row.`{name}`")
+        if name == text:
+            return F.coalesce(cleaned, was)
+        return F.coalesce(F.length(cleaned).cast(documents.schema[name].dataType), was) if name == n_chars else was
+
+    return rows.select(*[column(c).alias(c) for c in documents.columns])
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

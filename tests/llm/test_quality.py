@@ -1,6 +1,7 @@
 import duckdb
 from test_registry import rows
 
+import corpus_pipeline
 from tessella.llm import quality
 
 NOTICE = "All rights reserved by the publisher of this page"
@@ -49,3 +50,30 @@ def test_kept_rows_and_clashing_names(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([r for r in rows_in if (r[0], True) in verdict], key=str)
     assert (None, True) in verdict and kept.filter("doc_id is null").count() == 2
     assert quality.judge(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    rows_in = [(d, t, s, len(t or "") + 1000, "x") for d, t, s in documents()] + [(None, "one two three four five six seven eight nine ten", "n", 7, "y")] * 2
+    own = " ".join(f"v{j}" for j in range(100))
+    twice = "\n".join([NOTICE, own, "", NOTICE.lower() + "\r", "end"])
+    rows_in += [(500, twice, "hot", 1, "x")] * 2
+    df = spark.createDataFrame(rows_in, "doc_id long, text string, source string, n_chars int, _doc string")
+    kept = {(r["id"], r["kept"]) for r in quality.judge(df).collect()}
+    got = quality.clean_good(df, n_chars="n_chars")
+    assert got.columns == df.columns and got.schema == df.schema
+    want = []
+    for d, t, s, n, x in rows_in:
+        if (d, True) in kept:
+            lines = (t or "").split("\n")
+            left = [line for line in lines if d == 0 or s != "hot" or " ".join(line.lower().split()) != NOTICE.lower()]
+            want.append((d, t, s, n, x) if left == lines else (d, "\n".join(left), s, len("\n".join(left)), x))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    texts = {r[0]: r[1] for r in want}
+    assert NOTICE in texts[0] and NOTICE not in texts[2] and NOTICE in texts[200] and texts[500] == f"{own}\n\nend"
+    assert quality.clean_good(df.limit(0)).count() == 0
+
+
+def test_pipeline_stage_removes_frequent_lines(spark):
+    df = spark.createDataFrame([(d, t, s, len(t or "")) for d, t, s in documents()], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    assert NOTICE in got[0]["text"] and all(NOTICE.lower() not in got[k]["text"].lower() and got[k]["n_chars"] == len(got[k]["text"]) for k in range(1, 40))
