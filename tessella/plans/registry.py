@@ -355,11 +355,8 @@ def stream_progress(spark, d):
     """The latest state by a stream over the events, run over all there is and then read."""
     source = table(spark, d, "events")
     events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parquet*")
-    name = f"latest_{abs(hash(d)) % 10**9}"
     states = progress.latest_states(events, "user_id", "ts", "event_id", ["event_id", "event_type", "value"])
-    run = states.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return progress.run_to_table(states, "latest")
 
 
 @query("SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1")

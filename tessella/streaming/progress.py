@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +23,28 @@ def latest_states(events: DataFrame, by: str, ts: str, tie: str, columns: list[s
     return events.groupBy(by).agg(F.max_by(F.struct(*columns), F.struct(ts, tie)).alias("s")).select(by, *[f"s.{c}" for c in columns])
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_table(states: DataFrame, name: str) -> DataFrame:
+    """The streaming aggregate run over all there is, as a table in the shared folder: each batch writes the whole result anew, from executors to storage."""
+    path = shared_path(states.sparkSession, name)
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    states.sparkSession.createDataFrame([], states.schema).write.parquet(f"{path}/table")  # stays where there is no batch
+    run = states.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return states.sparkSession.read.schema(states.schema).parquet(f"{path}/table")
+
+
 def staged(events: DataFrame) -> DataFrame:
     """With stage and failed; progress -1 is an error and keeps the stage."""
     return events.withColumns({"stage": stage_of(F.col("progress")), "failed": F.col("progress") == -1})

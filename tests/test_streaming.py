@@ -2,6 +2,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from conftest import SF
+
+from tessella.plans import registry
 from tessella.streaming import progress
 
 
@@ -28,3 +31,25 @@ def test_latest_and_staged(spark):
     assert [(r["stage"], r["failed"]) for r in progress.staged(df).orderBy("seq").collect()] == [("ocr", False), ("validation", False), (None, True)]
     days = progress.daily(df.select(F.timestamp_seconds(F.col("seq") * 50000).alias("ts")), "ts")
     assert sorted(r["n"] for r in days.collect()) == [1, 2]
+
+
+def test_latest_states_go_to_storage(spark, tmp_path):
+    """Rows of the result are in the shared folder, not with the driver, whatever the number of batches."""
+    schema = "user_id long, ts long, event_id long, value double"
+    rows = [(i % 7, i * 13 % 50, i, i / 2) for i in range(60)]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    (tmp_path / "none").mkdir()
+    stream = lambda name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    states = lambda name: progress.latest_states(stream(name), "user_id", "ts", "event_id", ["event_id", "value"])
+    got = progress.run_to_table(states("in"), "latest")
+    want = {u: max((t, e, v) for w, t, e, v in rows if w == u)[1:] for u in range(7)}
+    assert sorted((r["user_id"], (r["event_id"], r["value"])) for r in got.collect()) == sorted(want.items())
+    assert progress.run_to_table(states("none"), "latest").count() == 0
+
+
+def test_stream_progress_reads_the_shared_folder(spark):
+    got = registry.stream_progress(spark, SF)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert got.inputFiles() and all(shared in f for f in got.inputFiles())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, registry.latest_state(spark, SF).select(got.columns).collect()))
