@@ -3,11 +3,13 @@
 Text is cut by the vocabulary's pattern into pre-tokens. A pre-token that is a vocabulary entry is its own id;
 any other is merged by a rank queue: a bucket for each merge rank holds positions of a linked list of parts, a
 two-level bitmap over the ranks gives the lowest rank in use by find-first-set, and entries whose pair has
-changed meanwhile are skipped. A merge costs a few word operations whatever the pre-token's length.
+changed meanwhile are skipped. Long pre-tokens are merged one at a time, a few word operations a merge whatever their
+length; all short ones of a piece of text stand in one linked list with breaks between them, so that one queue serves
+them all and a bucket's positions are merged together.
 
 Edge cases: null text counts as empty and has no ids; control strings such as ``<|endoftext|>`` are ordinary
 text; whole texts are encoded whatever their length; ids outside the vocabulary raise KeyError when decoded.
-Other columns pass through unchanged; an output name that clashes with one of them replaces it.
+Other columns pass through unchanged, whatever their names; an output name that clashes with one of them replaces it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import struct
 from collections.abc import Iterator
 
@@ -29,14 +30,16 @@ from pyspark.sql import types as T
 from tessella.llm.common import ship_package, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: A task keeps up to twice so many pre-tokens of up to so many characters with their ids; the rest are merged anew.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
-#: Characters of text whose ids are passed on at once.
-PIECE_CHARS = 1_000_000
+#: A worker keeps up to twice so many pre-tokens with their ids, those in use lately, from task to task.
+CACHE_ENTRIES = 60_000
+#: Pre-tokens of up to so many bytes are merged together.
+SHORT = 64
+#: Characters of text that are encoded, and whose ids are passed on, at once; a longer text alone is one piece.
+PIECE_CHARS = 2_000_000
 
 
 class RankQueue:
-    """Positions by merge rank, in buckets under a two-level bitmap: ``words`` has a bit for each rank in use, WORD bits
+    """Items by merge rank, in buckets under a two-level bitmap: ``words`` has a bit for each rank in use, WORD bits
     to a word, and ``top`` a bit for each word in use; the lowest bit set in each gives the lowest rank."""
 
     WORD = 8  # bits of a rank that a word spans: 2**8
@@ -44,20 +47,20 @@ class RankQueue:
     def __init__(self):
         self.top, self.words, self.buckets = 0, {}, {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, item) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            heapq.heappush(bucket, position)
+            bucket.append(item)
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = [item]
         word, bit = rank >> self.WORD, 1 << (rank & 255)
         was = self.words.get(word, 0)
         self.words[word] = was | bit
         if not was:
             self.top |= 1 << word
 
-    def pop_rank(self) -> tuple[int, list[int]] | None:
-        """The lowest rank in use and its positions as a heap; they leave the queue."""
+    def pop_rank(self) -> tuple[int, list] | None:
+        """The lowest rank in use and its items; they leave the queue."""
         top = self.top
         if not top:
             return None
@@ -71,38 +74,105 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
-class Vocabulary(dict):
-    """Ids of a pre-token, as little-endian unsigned 32-bit integers, worked out when first asked for."""
+class Vocabulary:
+    """Ids of texts, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        super().__init__()
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {b: a for a, b in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue()  # empty again after each merge
-        self.aged: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.aged.get(piece)
-        if ids is None:
-            ids = self.merge(piece.encode())
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.aged = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def merge(self, piece: bytes) -> bytes:
+        self.lately: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        # every way to put an entry together from two, as one number, and the entry's rank
+        rank_of, pairs = self.ranks.get, []
+        for entry, rank in self.ranks.items():
+            for k in range(1, len(entry)):
+                left, right = rank_of(entry[:k]), rank_of(entry[k:])
+                if left is not None and right is not None:
+                    pairs.append((left << 20 | right, rank))
+        pairs.sort()
+        self.pair_keys, self.pair_ranks = (np.array(c, np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        self.byte_ids = np.array([self.ranks.get(bytes([b]), self.NONE) for b in range(256)], np.int64)
+
+    #: Id of a break between pre-tokens: no pair has it.
+    NONE = (1 << 20) - 1
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, or -1."""
+        if not len(self.pair_keys):
+            return np.full(len(left), -1)
+        keys = left << 20 | right
+        at = np.minimum(self.pair_keys.searchsorted(keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def merge_short(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece: all pieces stand in one linked list with a break before each, and one queue serves them."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes + 1) - sizes  # of each piece, after its break
+        n = int(sizes.sum()) + len(pieces)
+        ids = np.full(n + 1, self.NONE)
+        inside = np.ones(n, bool)
+        inside[starts - 1] = False
+        ids[:n][inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.cumsum(~inside)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        pair = np.append(self.pair_rank(ids[:n], ids[1:]), -1)
+        alive = np.append(inside, False)
+        queue = RankQueue()
+
+        def push(ranks: np.ndarray, positions: np.ndarray) -> None:
+            if len(ranks) == 1:
+                queue.push(int(ranks[0]), positions)
+                return
+            order = ranks.argsort(kind="stable")
+            ranks, positions = ranks[order], positions[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            low = 0
+            for rank, high in zip(ranks[np.append(0, cuts)].tolist(), [*cuts.tolist(), len(ranks)]):
+                queue.push(rank, positions[low:high])
+                low = high
+
+        first = np.flatnonzero(pair >= 0)
+        if len(first):
+            push(pair[first], first)
+        while (head := queue.pop_rank()) is not None:
+            rank, bucket = head
+            at = bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+            at = at[pair[at] == rank]  # others are stale: the pair was merged or has changed
+            if not len(at):
+                continue
+            if len(at) > 1:  # of each piece the leftmost; what it brings up may have a lower rank and goes first
+                at = np.sort(at)
+                whose = owner[at]
+                again = np.append(False, whose[1:] == whose[:-1])
+                if again.any():
+                    queue.push(rank, at[again])
+                    at = at[~again]
+            gone = after[at]
+            last = after[gone]
+            after[at] = last
+            before[last] = at
+            alive[gone] = False
+            pair[gone] = -1
+            ids[at] = rank
+            changed = np.concatenate([at, before[at]])
+            ranks = self.pair_rank(ids[changed], ids[after[changed]])
+            pair[changed] = ranks
+            new = ranks >= 0
+            if new.any():
+                push(ranks[new], changed[new])
+        left = np.flatnonzero(alive)
+        cuts = (4 * left.searchsorted(np.append(starts, n))).tolist()
+        flat = ids[left].astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def merge_long(self, piece: bytes) -> bytes:
         ranks, n, longest = self.ranks, len(piece), self.longest
-        whole = ranks.get(piece)
-        if whole is not None:
-            return whole.to_bytes(4, "little")
-        rank_of, queue = ranks.get, self.queue
+        rank_of, queue = ranks.get, RankQueue()
         push = queue.push
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
@@ -111,23 +181,21 @@ class Vocabulary(dict):
                 push(rank, i)
         while (head := queue.pop_rank()) is not None:
             now, bucket = head
-            while bucket:
-                i = bucket[0] if len(bucket) == 1 else heapq.heappop(bucket)
-                if len(bucket) == 1 and bucket[0] == i:
-                    bucket = ()
+            bucket.sort()
+            for at, i in enumerate(bucket):
                 if pair[i] != now:
                     continue  # stale: the pair was merged or has changed
                 j = end[i]
                 last = end[i] = end[j]
                 pair[j] = -1
-                lowest = now + 1
+                lowest = now
                 if last < n:
                     before[last] = i
                     stop = end[last]
                     pair[i] = rank = rank_of(piece[i:stop], -1) if stop - i <= longest else -1
                     if rank >= 0:
                         push(rank, i)
-                        lowest = rank
+                        lowest = min(lowest, rank)
                 else:
                     pair[i] = -1
                 if (h := before[i]) >= 0:
@@ -135,8 +203,8 @@ class Vocabulary(dict):
                     if rank >= 0:
                         push(rank, h)
                         lowest = min(lowest, rank)
-                if lowest <= now and bucket:  # a lower or equal rank came up: it goes first
-                    for k in bucket:
+                if lowest < now:  # a lower rank came up: it goes first
+                    for k in bucket[at + 1 :]:
                         push(now, k)
                     break
         out, i = [], 0
@@ -145,19 +213,51 @@ class Vocabulary(dict):
             i = end[i]
         return struct.pack(f"<{len(out)}I", *out)
 
-    def forget(self) -> None:
-        """Frees the pre-tokens that are kept; a worker outlives its tasks."""
-        self.clear()
-        self.aged = {}
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        found = [self.pattern.findall(t) for t in texts]
+        known: dict[str, bytes] = {}
+        unseen = []
+        for piece in set().union(*found):
+            ids = self.lately.get(piece) or self.before.get(piece)
+            if ids is not None:
+                known[piece] = ids
+                continue
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                known[piece] = whole.to_bytes(4, "little")
+            elif len(raw) > SHORT:
+                known[piece] = self.merge_long(raw)
+            else:
+                unseen.append(piece)
+        if unseen:
+            known.update(zip(unseen, self.merge_short([p.encode() for p in unseen])))
+        if len(self.lately) + len(known) > CACHE_ENTRIES:
+            self.before, self.lately = self.lately, {}
+        room = CACHE_ENTRIES - len(self.lately)
+        self.lately.update(kept for kept, _ in zip(((p, x) for p, x in known.items() if len(p) <= SHORT), range(room)))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in found]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """First and end row of runs of texts of up to PIECE_CHARS characters together."""
+    begin, held = 0, 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > PIECE_CHARS:
+            yield begin, k
+            begin, held = k, 0
+        held += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 @functools.lru_cache(maxsize=4)
 def vocabulary(name: str = VOCABULARY, pattern: str | None = None) -> Vocabulary:
     """name: a file of public_tokenizers, or a path."""
@@ -173,8 +273,8 @@ def ids_of(text: Column, name: str = VOCABULARY) -> Column:
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        v = vocabulary(name)
-        return texts.map(lambda t: np.frombuffer(v.encode(t or ""), "<i4"))
+        v, plain = vocabulary(name), [t or "" for t in texts]
+        return pd.Series([np.frombuffer(x, "<i4") for a, b in runs(plain) for x in v.encode_all(plain[a:b])], dtype=object)
 
     return encode(text)
 
@@ -213,27 +313,18 @@ def round_trip(df: DataFrame, text: str = "text", ids: bool = True, name: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
         for batch in batches:
-            texts, begin = batch.column(len(kept)), 0
-            while begin < batch.num_rows:
-                flat, ends, sums, chars, k = [], [0], ([], []), 0, begin
-                while k < batch.num_rows and chars < PIECE_CHARS:
-                    t = texts[k].as_py() or ""
-                    found = v.encode(t)
-                    if ids:
-                        flat.append(found)
-                    ends.append(ends[-1] + len(found) // 4)
-                    sums[0].append(hashlib.sha256(found).hexdigest())
-                    sums[1].append(hashlib.sha256(v.decode(np.frombuffer(found, "<u4").tolist())).hexdigest())
-                    chars += len(t)
-                    k += 1
-                columns = [batch.column(c).slice(begin, k - begin) for c in range(len(kept))]
+            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
+            for begin, end in runs(texts):
+                found = v.encode_all(texts[begin:end])
+                decoded = [v.decode(np.frombuffer(x, "<u4").tolist()) for x in found]
+                columns = [batch.column(c).slice(begin, end - begin) for c in range(len(kept))]
+                ends = np.append(0, np.cumsum([len(x) // 4 for x in found]))
                 if ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"))))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int64()), pa.array(sums[0], pa.string()), pa.array(sums[1], pa.string())], names=names)
-                begin = k
-        v.forget()
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"))))
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (found, decoded)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int64()), *digests], names=names)
 
-    return df.select(*[f.name for f in kept], F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, schema)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
