@@ -3,14 +3,18 @@
 Base kinds, leftmost and without overlap within a kind: ``assign`` (a name such as password or token, a sign and a
 value of six characters or more), ``access`` (AKIA keys of 20 characters or more), ``hex`` (24 or more digits).
 
-Method: runs of ``least_chars`` or more characters of ``A-Za-z0-9+/_=-`` with a letter and a digit are candidates.
+Method: runs of ``least_chars`` or more characters of ``A-Za-z0-9+/_=-``, outside base spans, are candidates; the
+parts of a run beside a base span are runs of their own. Under that length no test could tell a key from a word.
 The encoding is inferred (hexadecimal, base 32, else base 64) and the characters become numbers of its alphabet.
 Three tests must not reject that they are random: chi-squared for uniform use of the alphabet (Wilson-Hilferty),
 number of runs above and below the middle, and serial correlation, together at ``alpha`` (Bonferroni). Against
 this stands a model of names and words (letter frequencies, characters keep their class with chance 0.9): the
 likelihood ratio of random to natural text bounds the chance that natural text looks so, and falls with the
-length. Benjamini-Hochberg at rate ``q`` over a document's candidates, weighted by length, picks what is reported
-as kind ``random``; candidates that overlap a base span are left out.
+length. Benjamini-Hochberg at rate ``q``, weighted by length, picks what is reported as kind ``random``. The family
+over which false discoveries are controlled is one document's candidates: of what is reported in a document, a share
+of ``q`` is expected to be natural text, whatever else the corpus holds, so a document's result doesn't depend on others.
+
+Every step reads a text or a list a fixed number of times, so a scan takes time in proportion to the text.
 
 Positions are code points, end exclusive. Everything is built from SQL functions.
 
@@ -29,10 +33,10 @@ from tessella.llm.common import table, text_or_empty
 MARK, OTHER = "\ue000", "\ue001"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: A run of the pattern's characters is one match, so a bound on its length drops the same matches as a look at each.
+ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 RUN = "A-Za-z0-9+/_=-"
-LEAST_CHARS, ALPHA, Q = 20, 0.001, 0.001
+LEAST_CHARS, ALPHA, Q = 16, 0.001, 0.001
 #: Shares of a to z in English text, in percent.
 LETTERS = (8.17, 1.49, 2.78, 4.25, 12.70, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.10, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.07)
 SPANS = "array<struct<start:int,end:int,found:string>>"
@@ -43,27 +47,64 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+#: Items of a list that are gone through at once; see running.
+BLOCK = 512
+
+
+def running(items: Column, op, kind: str = "bigint") -> Column:
+    """The results of op over all leading parts of a list, such as running sums. A list that grows by one item at a time is
+    copied each time, so this is done for blocks and then for the blocks' ends."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def grown(values: Column) -> Column:
+        return F.aggregate(values, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(op(F.get(acc, F.size(acc) - 1), x), x))))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: grown(F.slice(v, b * BLOCK + 1, BLOCK)))
+        ends = lambda parts: grown(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
+        return let(blocks, lambda parts: let(ends(parts), lambda e: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda x: F.coalesce(op(F.get(e, b - 1), x), x))))))
+
+    return let(items.cast(f"array<{kind}>"), lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>> of the leftmost non-overlapping matches; text has no MARK."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPANS).alias("spans"))
+    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)  # every other one is a match
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = (acc["at"] + F.length(piece)).cast("int")
-        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("found")))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(v: Column, end: Column) -> Column:
+        span = lambda k: F.struct(F.get(end, 2 * k).cast("int").alias("start"), F.get(end, 2 * k + 1).cast("int").alias("end"), F.get(v, 2 * k + 1).alias("found"))
+        return F.when(F.size(v) > 1, F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), span)).otherwise(F.array().cast(SPANS))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+    return let(pieces, lambda v: let(running(F.transform(v, F.length), lambda a, b: a + b), lambda end: spans(v, end)))
 
 
 def matches_if(condition: Column, text: Column, pattern: str) -> Column:
     return F.when(condition, matches(text, pattern)).otherwise(F.array().cast(SPANS))
 
 
+def rebuilt(text: Column, spans: Column, cover) -> Column:
+    """text with each span (start, ..., end; by start), or union of overlapping spans, replaced by cover(its length)."""
+
+    def unions(s: Column, reach: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+        return let(heads, lambda h: F.transform(h, lambda i, g: F.struct(F.get(s, i)["start"].alias("start"), F.get(reach, F.coalesce(F.get(h, g + 1), F.size(s)) - 1).cast("int").alias("end"))))
+
+    def joined(chars: Column, u: Column) -> Column:
+        before = lambda g: F.coalesce(F.get(u, g - 1)["end"], F.lit(0))
+        until = lambda g: F.coalesce(F.get(u, g)["start"], F.size(chars))
+        gap = lambda g: F.array_join(F.slice(chars, before(g) + 1, F.greatest(until(g) - before(g), F.lit(0))), "")
+        covered = lambda g: F.coalesce(cover(F.get(u, g)["end"] - F.get(u, g)["start"]), F.lit(""))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(u)), lambda g: F.concat(gap(g), F.when(g < F.size(u), covered(g)).otherwise(F.lit("")))), "")
+
+    reach = lambda s: running(F.transform(s, lambda x: x["end"]), F.greatest)
+    done = let(spans, lambda s: let(let(reach(s), lambda r: unions(s, r)), lambda u: let(F.split(text, ""), lambda chars: joined(chars, u))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def tail(z: Column) -> Column:
     """Chance of a standard normal above z >= 0 (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * z)
-    return F.exp(-z * z / 2) * 0.3989422804 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    sum_of = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return let(z.cast("double"), lambda x: F.exp(-x * x / 2) * 0.3989422804 * let(1 / (1 + 0.2316419 * x), sum_of))
 
 
 def mean(numbers: Column) -> Column:
@@ -76,16 +117,18 @@ def p_random(codes: Column, alphabet: Column) -> Column:
     squares = F.aggregate(F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda d: d == c)).cast("double")), F.lit(0.0), lambda s, x: s + x * x)
     free = a - 1
     z = (F.pow(F.greatest(a / n * squares - n, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    uniform = F.when(z <= 0, 0.5).otherwise(tail(z))
+    uniform = let(z, lambda x: F.when(x <= 0, 0.5).otherwise(tail(x)))
 
-    high = F.size(F.filter(codes, lambda c: c >= alphabet / 2)).cast("double")
-    low = n - high
     runs = 1.0 + F.size(F.filter(F.sequence(F.lit(1), F.size(codes) - 1), lambda i: (F.get(codes, i) >= alphabet / 2) != (F.get(codes, i - 1) >= alphabet / 2)))
-    expected = 2 * high * low / n + 1
-    spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-    by_runs = F.when((high == 0) | (low == 0), 0.0).otherwise(2 * tail(F.abs(runs - expected) / spread))
 
-    middle = F.transform(codes, lambda c: c - mean(codes))
+    def of_runs(high: Column) -> Column:
+        expected = 2 * high * (n - high) / n + 1
+        spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
+        return F.when((high == 0) | (high == n), 0.0).otherwise(2 * tail(F.abs(runs - expected) / spread))
+
+    by_runs = let(F.size(F.filter(codes, lambda c: c >= alphabet / 2)).cast("double"), of_runs)
+
+    middle = let(mean(codes), lambda m: F.transform(codes, lambda c: c - m))
     product = lambda m: F.aggregate(F.transform(F.sequence(F.lit(1), F.size(m) - 1), lambda i: F.get(m, i) * F.get(m, i - 1)), F.lit(0.0), lambda s, x: s + x)
     serial = let(middle, lambda m: product(m) / F.greatest(F.aggregate(m, F.lit(0.0), lambda s, x: s + x * x), F.lit(1e-9)) * F.sqrt(n))
     by_serial = 2 * tail(F.abs(serial))
@@ -102,57 +145,55 @@ def log_ratio(points: Column, alphabet: Column) -> Column:
     return -F.size(points) * F.log(alphabet.cast("double")) - natural
 
 
-def tested(candidates: Column, alpha: float) -> Column:
-    """array<struct<start, end, p>>: the candidates that look random, with the bound of chance that natural text does, divided by length weight."""
-    average = mean(F.transform(candidates, lambda c: (c["end"] - c["start"]).cast("double")))
+def tested(candidates: Column, average: Column, alpha: float) -> Column:
+    """array<struct<start, end, p>>: the candidates that look random, with the bound of chance that natural text does, divided by length weight; average is their mean length."""
 
-    def judge(c: Column) -> Column:
-        body = F.rtrim(c["found"], F.lit("="))
-        size = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(body.rlike("^[A-Z2-7]+$"), 32).otherwise(64)
-        points = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.ascii(F.substr(body, i, F.lit(1))))
+    def tests(c: Column, v: Column, size: Column) -> Column:
         in_hex = lambda x: F.when(x <= 57, x - 48).when(x <= 90, x - 55).otherwise(x - 87)
         in_32 = lambda x: F.when(x >= 65, x - 65).otherwise(x - 24)
         in_64 = lambda x: F.when(x.between(65, 90), x - 65).when(x.between(97, 122), x - 71).when(x.between(48, 57), x + 4).when(x.isin(43, 45), 62).otherwise(63)
         number = lambda x: F.when(size == 16, in_hex(x)).when(size == 32, in_32(x)).otherwise(in_64(x)).cast("double")
-        return let(
-            points,
-            lambda v: F.struct(
-                c["start"].alias("start"), c["end"].alias("end"),
-                (F.exp(-F.greatest(log_ratio(v, size), F.lit(0.0))) * average / (c["end"] - c["start"])).alias("p"),
-                let(F.transform(v, number), lambda codes: p_random(codes, size)).alias("random"),
-            ),
-        )
+        return F.struct(
+            c["start"].alias("start"), c["end"].alias("end"),
+            (F.exp(-F.greatest(log_ratio(v, size), F.lit(0.0))) * average / (c["end"] - c["start"])).alias("p"),
+            let(F.transform(v, number), lambda codes: p_random(codes, size)).alias("random"),
+        )
+
+    def judge(c: Column) -> Column:
+        size = lambda body: F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(body.rlike("^[A-Z2-7]+$"), 32).otherwise(64)
+        points = lambda body: F.transform(F.split(body, ""), F.ascii)
+        return let(F.rtrim(c["found"], F.lit("=")), lambda body: let(points(body), lambda v: let(size(body), lambda n: tests(c, v, n))))
 
     return F.filter(F.transform(candidates, judge), lambda c: c["random"] >= alpha)
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "secrets", least_chars: int = LEAST_CHARS, alpha: float = ALPHA, q: float = Q) -> DataFrame:
     """df with out: array<struct<start, rank, end>> by start, then kind; rank is the kind's place in KINDS."""
-    rest = [c for c in df.columns if c != out]
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.replace(text_or_empty(text), F.lit(MARK), F.lit(OTHER)).alias("_t"))
+    others = [c for c in df.columns if c != out]
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.replace(text_or_empty(text), F.lit(MARK), F.lit(OTHER)).alias("_t"))
     t, low = F.col("_t"), F.lower("_t")
     named = (t.contains("=") | t.contains(":")) & (low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api"))
-    run = rf"(?<![{RUN}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{RUN}]{{{least_chars},}}"
     df = df.withColumns({
         "_assign": matches_if(named, t, ASSIGN),
         "_access": matches_if(t.contains("AKIA"), t, ACCESS),
-        "_hex": matches_if(t.rlike("[0-9a-f]{24}"), t, HEX),
-        "_run": matches_if(t.rlike(run), t, run),
+        "_hex": matches_if(t.rlike(HEX), t, HEX),
     })
     kept = lambda name, rank, keep: F.transform(F.filter(name, keep), lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
-    df = df.withColumn("_base", F.array_sort(F.concat(
-        kept("_assign", 0, lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 6),
-        kept("_access", 1, lambda m: F.length(m["found"]) >= 20),
-        kept("_hex", 2, lambda m: F.length(m["found"]) >= 24),
-    )))
-    df = df.withColumn("_run", F.filter("_run", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    df = df.withColumn("_tested", F.when(F.size("_run") > 0, tested(F.col("_run"), alpha)))
+    value = lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 6
+    df = df.withColumn("_base", F.array_sort(F.concat(kept("_assign", 0, value), kept("_access", 1, lambda m: F.lit(True)), kept("_hex", 2, lambda m: F.lit(True)))))
+    run = rf"[{RUN}]{{{least_chars},}}"
+    rest = lambda: rebuilt(t, F.col("_base"), lambda n: F.repeat(F.lit(OTHER), n))
+    df = df.withColumn("_rest", F.when(t.rlike(run), rest()))
+    found = F.filter(matches(F.col("_rest"), run), lambda m: F.length(F.rtrim(m["found"], F.lit("="))) >= least_chars)
+    df = df.withColumn("_run", F.when(F.col("_rest").rlike(run), found).otherwise(F.array().cast(SPANS)))
+    average = mean(F.transform("_run", lambda c: (c["end"] - c["start"]).cast("double")))
+    df = df.withColumn("_average", F.when(F.size("_run") > 0, average)).withColumn("_tested", F.when(F.size("_run") > 0, tested(F.col("_run"), F.col("_average"), alpha)))
     ps = F.array_sort(F.transform("_tested", lambda c: c["p"]))
     cut = let(ps, lambda v: F.array_max(F.transform(v, lambda p, k: F.when(p <= q * (k + 1) / F.size("_run"), p))))
     df = df.withColumn("_cut", F.when(F.size("_tested") > 0, cut))
     more = F.transform(F.filter("_tested", lambda c: c["p"] <= F.col("_cut")), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
     df = df.withColumn(out, F.array_sort(F.concat("_base", F.coalesce(more, F.array().cast("array<struct<start:int,rank:int,end:int>>")))))
-    return df.select(*[F.col(f"_row.`{c}`") for c in rest], out)
+    return df.select(*[F.col(f"_row.`{c}`") for c in others], out)
 
 
 def span_string(spans: Column) -> Column:
@@ -163,15 +204,7 @@ def span_string(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, cover: str = "[SECRET]") -> Column:
     """text with each span, or union of overlapping spans, replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        grown = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(cover))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown.alias("out"))
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return rebuilt(text, spans, lambda n: F.lit(cover))
 
 
 def without_secrets(df: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:

@@ -149,12 +149,13 @@ def battery(codes: list[int], a: int) -> float:
     return min(1, 3 * min(uniform, by_runs, 2 * tail(abs(serial))))
 
 
-def secrets(text: str | None, least: int = 20, alpha: float = 0.001, q: float = 0.001) -> list[tuple[int, int, int]]:
+def secrets(text: str | None, least: int = 16, alpha: float = 0.001, q: float = 0.001) -> list[tuple[int, int, int]]:
     """Sorted (start, rank of the kind, end)."""
     text = text or ""
     base = base_secrets(text)
-    runs = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text) if len(m[0]) >= least and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
-    runs = [m for m in runs if not any(s < m.end() and m.start() < e for s, _, e in base)]
+    inside = {k for a, _, e in base for k in range(a, e)}
+    bare = "".join("\ue001" if k in inside else c for k, c in enumerate(text))
+    runs = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]+", bare) if len(m[0].rstrip("=")) >= least]
     tested = []
     for m in runs:
         body = m[0].rstrip("=")
@@ -179,6 +180,13 @@ def secrets(text: str | None, least: int = 20, alpha: float = 0.001, q: float =
     return sorted(base + [(m.start(), 3, m.end()) for p, m in tested if p <= cut])
 
 
+def secret_row(text: str | None) -> tuple:
+    """What op6 says of a text."""
+    spans = secrets(text)
+    shown = lambda ranks: ",".join(f"{('assign', 'access', 'hex', 'random')[r]}:{s}:{e}" for s, r, e in spans if r in ranks)
+    return (*(sum(r == k for _, r, _ in spans) for k in range(3)), hashlib.sha256(shown((0, 1, 2)).encode()).hexdigest(), shown((0, 1, 2, 3)))
+
+
 def covered(text: str | None) -> str | None:
     if not text:
         return text

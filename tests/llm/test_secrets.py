@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import brute
 from pyspark.sql import functions as F
@@ -29,9 +30,38 @@ def test_brute_force(spark):
 
 
 def test_given_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    for r in secret_scan.scan(docs).collect():
-        assert [tuple(s) for s in r["secrets"]] == brute.secrets(r["text"])
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = secret_scan.op6_secrets(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert tuple(r)[1:] == brute.secret_row(texts[r["doc_id"]])
+
+
+def test_parts_of_a_run_beside_base_spans(spark):
+    rng = random.Random(21)
+    key = lambda n: base64.b64encode(rng.randbytes(n)).decode().rstrip("=").replace("+", "K").replace("/", "Q")
+    texts = [f"{key(24)}Z{rng.randbytes(14).hex()}G{key(30)}", f"a {key(18)} AKIA{'B7' * 9}/{key(33)}", "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(24)), "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(17))]
+    got = scanned(spark, texts)
+    assert [got[k] for k in range(4)] == [brute.secrets(t) for t in texts]
+    assert [sum(r == 3 for _, r, _ in got[k]) for k in range(4)] == [2, 2, 1, 1]
+
+
+def test_very_long_texts(spark):
+    """A run of a million characters, 200,000 words with a key among them, and 20,000 secrets: seconds each, and covered whole."""
+    rng = random.Random(3)
+    run = base64.b64encode(rng.randbytes(750_000)).decode()
+    words = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200_000))
+    key = rng.randbytes(16).hex()
+    many = "\n".join(f"token={k:08d}" for k in range(20_000))
+    df = spark.createDataFrame([(0, f"see {run} end"), (1, f"{words} {key} {words[:50]}"), (2, many)], "doc_id long, text string").repartition(3)
+    began = time.monotonic()
+    got = {r["doc_id"]: r["secrets"] for r in secret_scan.scan(df).collect()}
+    assert [tuple(s) for s in got[0]] == [(4, 3, 4 + len(run))]
+    assert [tuple(s) for s in got[1]] == [(len(words) + 1, 2, len(words) + 33)]
+    assert [tuple(s) for s in got[2]] == [(15 * k, 0, 15 * k + 14) for k in range(20_000)]
+    covered = {r["doc_id"]: r["text"] for r in secret_scan.without_secrets(df).collect()}
+    assert covered == {0: "see [SECRET] end", 1: f"{words} [SECRET] {words[:50]}", 2: "\n".join(["[SECRET]"] * 20_000)}
+    assert time.monotonic() - began < 120
 
 
 def test_random_strings_are_found_and_words_are_not(spark):
