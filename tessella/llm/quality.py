@@ -4,8 +4,8 @@ Base: words are runs of characters outside ``\\x20\\x09-\\x0D``. A document fail
 words or if over ``most_repeated`` percent of its words lie in five-word windows that occur twice or more in it.
 
 Method: a line is normalised (lower case, white space as one space, trimmed), hashed together with the document's
-host, and the host's distinct documents with that line are counted. A line in more documents than both limits
-(``line_documents`` and ``line_share`` of the host's distinct documents) is removed wherever it occurs, except in
+host, and the host's distinct documents with that line are counted. A line in more than
+``line_documents`` of them, whatever the host's size, is removed wherever it occurs, except in
 the host's first document (smallest id) that has it: ``clean_good`` gives the texts without such lines. A document is depleted, and rejected, if fewer than
 ``least_words`` words or less than ``least_share`` of its words remain.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import BROADCAST_ROWS, SPACE, small_or_shuffled, table, text_or_empty, written
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-LINE_DOCUMENTS, LINE_SHARE, LEAST_SHARE = 20, 0.005, 0.2
+LINE_DOCUMENTS, LEAST_SHARE = 20, 0.2
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
 
@@ -69,20 +69,18 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows
 
 
-def frequent_lines(docs: DataFrame, line_documents: int, line_share: float) -> DataFrame:
-    """line, first_doc: the lines above both limits."""
+def frequent_lines(docs: DataFrame, line_documents: int) -> DataFrame:
+    """line, first_doc: the lines above the limit."""
     rows = line_rows(docs).groupBy("host", "line", "doc").agg(F.min("id").alias("id"))
-    counted = rows.groupBy("line").agg(F.min("host").alias("host"), F.count("*").alias("n"), F.min(F.struct("id", "doc")).alias("first"))
-    hosts = docs.select(F.xxhash64("host").alias("host"), F.xxhash64("host", "text").alias("doc")).distinct().groupBy("host").agg(F.count("*").alias("size"))
-    over = counted.filter(F.col("n") > line_documents).join(hosts, "host").filter(F.col("n") > line_share * F.col("size"))
-    return over.select("line", F.col("first.doc").alias("first_doc"))
+    counted = rows.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("id", "doc")).alias("first"))
+    return counted.filter(F.col("n") > line_documents).select("line", F.col("first.doc").alias("first_doc"))
 
 
 def judge(documents: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED,
-          line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, least_share: float = LEAST_SHARE) -> DataFrame:
+          line_documents: int = LINE_DOCUMENTS, least_share: float = LEAST_SHARE) -> DataFrame:
     """id, doc, the base counts, base_failed, removed_words, removed_at (positions of removed lines, or null) and kept, a row for each document."""
     docs = documents.select(F.col(doc_id).alias("id"), F.col(host).cast("string").alias("host"), text_or_empty(text).alias("text"))
-    over = frequent_lines(docs, line_documents, line_share)
+    over = frequent_lines(docs, line_documents)
     removed = line_rows(docs).join(over, "line").filter(F.col("doc") != F.col("first_doc"))
     removed = removed.groupBy("id", "doc").agg(F.sum("words").alias("removed_words"), F.collect_set("pos").alias("removed_at"))
     rows = docs.groupBy("id", F.xxhash64("host", "text").alias("doc")).agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)
@@ -148,8 +146,7 @@ l AS (SELECT doc_id, source, text, raw, len(string_split_regex(raw, '[\x20\x09-\
              regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g') AS line
       FROM (SELECT doc_id, source, text, trim(lower(unnest(string_split(text, chr(10)))), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS raw FROM d) WHERE raw <> ''),
 c AS (SELECT source, line, count(DISTINCT text) AS n, arg_min(text, doc_id) AS first_text FROM l GROUP BY source, line),
-h AS (SELECT source, count(DISTINCT text) AS size FROM d GROUP BY source),
-o AS (SELECT c.source, line, first_text FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n > 0.005 * size),
+o AS (SELECT source, line, first_text FROM c WHERE n > 20),
 x AS (SELECT l.doc_id, CAST(sum(words) AS BIGINT) AS removed FROM l JOIN o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line
       WHERE l.text <> o.first_text GROUP BY l.doc_id)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
