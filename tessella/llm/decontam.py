@@ -8,7 +8,9 @@ same template. Windows of ``size`` words of both forms are hashed and joined; a
 item with the document, an item's value always stands for the same value in the document, and two names never for
 one. An item of fewer words than a window (but at least ``least_words``) is one window of its own length.
 
-A document is contaminated by an item if at least ``coverage`` of the item's windows of one form are found in it.
+A document is contaminated by an item if, of one form, at least ``coverage`` of the item's windows are found in it, or
+windows that together span ``words_covered`` of the item's words (an edited word breaks the windows over it, but not
+those on both sides), or if ``run`` consecutive words of the item stand in it literally.
 
 Where the benchmark's windows are at most ``known_limit``, their hashes are sent to the tasks, which look up every
 window of every document there and pass on the hits; beyond that all windows go through a shuffled join. Both ways
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import ship_package, small_or_shuffled, table, text_or_empty, written
 from tessella.llm.shingles import U, mix, pieces, windows, words
 
-SIZE, LEAST_LITERAL, LEAST_WORDS, COVERAGE = 8, 4, 5, 0.5
+SIZE, LEAST_LITERAL, LEAST_WORDS, COVERAGE, WORDS_COVERED, RUN = 8, 4, 5, 0.5, 0.7, 13
 KNOWN_LIMIT = 4_000_000
 LITERAL, TEMPLATE = 0, 1
 UNITS = "mm cm m km kg g mg t l ml s h min ms inch inches foot feet mile miles yard yards pound pounds ounce ounces gram grams kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees watt watts volt volts"
@@ -130,13 +132,13 @@ def window_rows(texts: DataFrame, sizes: list[int], least_literal: int, known: n
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE,
-                 least_literal: int = LEAST_LITERAL, least_words: int = LEAST_WORDS, coverage: float = COVERAGE, known_limit: int = KNOWN_LIMIT) -> DataFrame:
+                 least_literal: int = LEAST_LITERAL, least_words: int = LEAST_WORDS, coverage: float = COVERAGE, words_covered: float = WORDS_COVERED, run: int = RUN, known_limit: int = KNOWN_LIMIT) -> DataFrame:
     """doc_id, item_id, n_windows found (of the form that is found best) and item_windows, for each document and item that contaminates it."""
     items = benchmark.select(F.col(item_id).alias("id"), text_or_empty(item_text).alias("text"))
     docs = documents.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
     sizes = list(range(least_words, size + 1))
     own = window_rows(items, sizes, least_literal, None)
-    own = written(own.filter((F.col("size") == size) | (F.col("size") == F.col("tokens")) & (F.col("tokens") < size)).drop("tokens"), "items")
+    own = written(own.filter((F.col("size") == size) | (F.col("size") == F.col("tokens")) & (F.col("tokens") < size)), "items")
     used = sorted(r["size"] for r in own.select("size").distinct().collect())
     few = own.select("hash").distinct().limit(known_limit + 1).count() <= known_limit
     known = np.sort(own.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64)) if few else None
@@ -150,10 +152,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     same = lambda p, q: (p["wanted"] == q["wanted"]) & (p["slots"] != q["slots"])
     merged = lambda p, q: (p["wanted"] != q["wanted"]) & (p["slots"] == q["slots"]) & p["wanted"].startswith("N")
     aligned = aligned.filter(~F.exists("pairs", lambda p: F.exists("pairs", lambda q: same(p, q) | merged(p, q))))
-    whole = own.groupBy(F.col("id").alias("item"), "form").agg(F.countDistinct("pos").alias("item_windows"))
-    counted = aligned.groupBy("id", "item", "form").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_windows"))
-    counted = counted.join(whole, [counted["item"].eqNullSafe(whole["item"]), counted["form"] == whole["form"]]).select("id", counted["item"], "n_windows", "item_windows")
-    over = counted.filter(F.col("n_windows") >= coverage * F.col("item_windows"))
+    # lists of places of an item: no longer than the item
+    straight = lambda v: F.size(F.filter(v, lambda x, k: F.get(v, k + run - size) == x + run - size)) > 0
+    aligned = aligned.withColumn("ats", F.array_sort("ats"))
+    aligned = aligned.withColumn("straight", (F.col("form") == LITERAL) & straight(F.col("ats")))
+    whole = own.groupBy(F.col("id").alias("item"), "form").agg(F.countDistinct("pos").alias("item_windows"), F.max("tokens").alias("item_words"))
+    counted = aligned.groupBy("id", "item", "form").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("ats"), F.max("straight").alias("straight"))
+    spans = F.transform("ats", lambda x, k: F.coalesce(F.least(F.get("ats", k + 1) - x, F.lit(size)), F.lit(size)))
+    counted = counted.select("id", "item", "form", "straight", F.size("ats").cast("long").alias("n_windows"), F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x).alias("covered"))
+    counted = counted.join(whole, [counted["item"].eqNullSafe(whole["item"]), counted["form"] == whole["form"]]).select("id", counted["item"], "n_windows", "item_windows", "straight", F.least("covered", "item_words").alias("covered"), "item_words")
+    over = counted.filter((F.col("n_windows") >= coverage * F.col("item_windows")) | (F.col("covered") >= words_covered * F.col("item_words")) | F.col("straight"))
     best = over.groupBy("id", "item").agg(F.max(F.struct((F.col("n_windows") / F.col("item_windows")).alias("share"), "n_windows", "item_windows")).alias("b"))
     return best.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "b.n_windows", "b.item_windows")
 

@@ -83,7 +83,7 @@ def windows(form: int, tokens: list, size: int, least_literal: int) -> dict[int,
     return out
 
 
-def contaminated(docs: list[tuple], items: list[tuple], size: int = 8, least_literal: int = 4, least_words: int = 5, coverage: float = 0.5) -> set[tuple]:
+def contaminated(docs: list[tuple], items: list[tuple], size: int = 8, least_literal: int = 4, least_words: int = 5, coverage: float = 0.5, words_covered: float = 0.7, run: int = 13) -> set[tuple]:
     found = set()
     theirs = [(i, [(f, t) for f, t in enumerate(forms(text))]) for i, text in items]
     index = defaultdict(list)
@@ -106,13 +106,17 @@ def contaminated(docs: list[tuple], items: list[tuple], size: int = 8, least_lit
                         item = theirs[k][1][f][1]
                         pairs = [(item[at + j][1], tokens[pos + j][1]) for j in range(s) if item[at + j][1] is not None]
                         aligned[k, f, pos - at][at] = pairs
-        ats = defaultdict(set)
+        ats, straight = defaultdict(set), set()
         for (k, f, _), hits in aligned.items():
             pairs = {p for ps in hits.values() for p in ps}
             if not any(p[0] == q[0] and p[1] != q[1] or p[0] != q[0] and p[1] == q[1] and p[0][0] == "N" for p in pairs for q in pairs):
                 ats[k, f] |= set(hits)
+                if f == 0 and any(all(x + j in hits for j in range(run - size + 1)) for x in hits):
+                    straight.add((k, f))
         for (k, f), v in ats.items():
-            if len(v) >= coverage * wholes[k, f]:
+            n = len(theirs[k][1][f][1])
+            covered = len({x + j for x in v for j in range(size) if x + j < n})
+            if len(v) >= coverage * wholes[k, f] or covered >= words_covered * n or (k, f) in straight:
                 found.add((d, theirs[k][0]))
     return found
 

@@ -24,6 +24,17 @@ def documents():
     return list(enumerate(docs))
 
 
+def test_edited_and_partial_items(spark):
+    """One word edited in each half, and 14 words in a row of 60, are found; 12 in a row aren't."""
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    edited = list(words[:40])
+    edited[12] = edited[28] = "other"
+    docs = [(1, " ".join(edited)), (2, "x y " + " ".join(words[20:34]) + " z"), (3, "x y " + " ".join(words[20:32]) + " z"), (4, " ".join(words[:6] + ["other"] + words[6:12]))]
+    items = [(7, " ".join(words[:40])), (8, " ".join(words))]
+    want = brute.contaminated(docs, items)
+    assert found(spark, docs, items) == want and {d for d, _ in want} == {1, 2}
+
+
 def test_brute_force(spark):
     docs = documents()
     want = brute.contaminated(docs, ITEMS)
