@@ -4,12 +4,13 @@ Rules (host, path) fit a host and its subdomains where the URL's path starts wit
 URLs that a rule decides are the labels of two smoothed variable-order Markov models, one for accepted and one for
 rejected URLs. Their n-grams are counted over all such URLs and all counts are kept, as a written table. The URLs to
 be scored are exploded into n-grams; each distinct n-gram gets its two chances by joins with the counts, and the
-logarithms' differences are summed for each URL. A URL that no rule decides is blocked if the log-likelihood
-difference per character is under a threshold, which is set on held-out accepted URLs (one in ``folds``, by hash) so
-that at most ``false_blocks`` of them fall under it; it is never above 0.
+logarithms' differences are summed for each URL. The models read all that follows the first ``://``, query and fragment
+too, or the whole of a URL without it. A URL that no rule decides is blocked if the log-likelihood difference per
+character is under a threshold. It is set on held-out URLs of both labels (one in ``folds``, by hash), with scores
+rounded to hundredths: the one nearest to 0 at which the share of accepted URLs under it and that of rejected URLs over it
+have the smallest sum. ``calibrated`` gives these shares.
 
-Edge cases: a null URL and one without ``://`` have empty host and path and are allowed unless a rule with an
-empty host fits; without URLs of both labels the models decide nothing and all such URLs are allowed; repeated
+Edge cases: a null URL and one without ``://`` have empty host and path, and a null URL is an empty text for the models; without URLs of both labels the models decide nothing and all such URLs are allowed; repeated
 rows count as often as they occur; a null id passes through. URLs to be scored are told apart by 64-bit hashes.
 """
 
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import ship_package, small_or_shuffled, table, written
 
-ORDER, FOLDS, FALSE_BLOCKS = 4, 5, 0.01
+ORDER, FOLDS = 4, 5
+#: Scores are told apart in hundredths up to this size, so the counts that calibration gathers are few.
+MOST = 10.0
 ALPHABET = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -130,27 +133,47 @@ def text_scores(texts: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     return grams.join(small_or_shuffled(scores), "gram").groupBy("key").agg((F.sum("score") / F.count("*")).alias("score"))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", order: int = ORDER, folds: int = FOLDS, false_blocks: float = FALSE_BLOCKS) -> DataFrame:
+def model_text(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://", "")
+
+
+def calibrated(held: DataFrame) -> tuple[float, float, float]:
+    """held (label, score) -> threshold, share of accepted rows under it, share of rejected rows not under it."""
+    bins = held.select("label", F.round(100 * F.greatest(F.least("score", F.lit(MOST)), F.lit(-MOST))).cast("int").alias("bin")).groupBy("label", "bin").count()
+    n = {(r["label"], r["bin"]): r["count"] for r in bins.collect()}  # two labels and 2,001 bins at most
+    yes, no = (max(1, sum(v for (label, _), v in n.items() if label == x)) for x in ("allow", "block"))
+    best, under, over = (math.inf, 0.0, 0.0, 0.0, 0.0), 0, sum(v for (label, _), v in n.items() if label == "block")
+    for cut in range(-round(100 * MOST), round(100 * MOST) + 2):  # bins under cut are blocked
+        best = min(best, ((under / yes) + (over / no), abs(cut / 100 - 0.005), cut / 100 - 0.005, under / yes, over / no))
+        under, over = under + n.get(("allow", cut), 0), over - n.get(("block", cut), 0)
+    return best[2:]
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", order: int = ORDER, folds: int = FOLDS) -> DataFrame:
     """pages with host, path, rule, verdict and score (null where a rule decides)."""
-    spark = ship_package(pages.sparkSession)
-    host, path = host_and_path(F.col(url))
+    return judged_urls(pages, rules, url, order, folds)[0]
+
+
+def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", order: int = ORDER, folds: int = FOLDS) -> tuple[DataFrame, tuple[float, float, float] | None]:
+    """What filter_urls gives, and what calibrated gives, or None without URLs of both labels."""
+    ship_package(pages.sparkSession)
+    host, path = host_and_path(F.col(f"`{url}`"))
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    judged = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), host.alias("host"), path.alias("path"))
+    judged = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), host.alias("host"), path.alias("path"), model_text(F.col(f"`{url}`")).alias("_text"))
     rule, verdict = deciding_rule(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": rule, "_label": verdict, "_text": F.concat("host", "path")})
+    judged = judged.withColumns({"rule": rule, "_label": verdict})
     shown = [*[F.col(f"_row.`{c}`") for c in rest], "host", "path", "rule", "score", "verdict"]
     judged = judged.withColumns({"_key": F.xxhash64("_text"), "_held": F.coalesce((F.pmod(F.xxhash64("_text"), F.lit(folds)) == 0) & F.col("_label").isNotNull(), F.lit(False))})
     counts = written(count_grams(judged.filter(F.col("_label").isNotNull() & ~F.col("_held")), "_text", "_label", order), "gram-counts")
     if not {"allow", "block"} <= {r["label"] for r in counts.select("label").distinct().collect()}:
-        return judged.withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.coalesce("_label", F.lit("allow"))).select(*shown)
-    held = judged.filter(F.col("_held") & (F.col("_label") == "allow"))
+        return judged.withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.coalesce("_label", F.lit("allow"))).select(*shown), None
+    held = judged.filter("_held")
     texts = judged.filter(F.col("_label").isNull()).select("_key", "_text").unionByName(held.select("_key", "_text")).groupBy(F.col("_key").alias("key")).agg(F.min("_text").alias("text"))
     scores = written(text_scores(written(texts, "texts"), counts, order).select(F.col("key").alias("_scored"), F.col("score").alias("_score")), "scores")
     scores = small_or_shuffled(scores)
-    threshold = held.join(scores, F.col("_key") == F.col("_scored")).agg(F.percentile_approx("_score", F.lit(false_blocks), F.lit(10_000)).alias("t")).first()["t"]
-    threshold = min(0.0, threshold if threshold is not None else 0.0)
+    found = calibrated(held.join(scores, F.col("_key") == F.col("_scored")).select(F.col("_label").alias("label"), F.col("_score").alias("score")))
     judged = judged.join(scores, F.col("_key") == F.col("_scored"), "left").withColumn("score", F.when(F.col("_label").isNull(), F.col("_score")))
-    return judged.withColumn("verdict", F.coalesce("_label", F.when(F.col("score") < threshold, "block").otherwise("allow"))).select(*shown)
+    return judged.withColumn("verdict", F.coalesce("_label", F.when(F.col("score") < found[0], "block").otherwise("allow"))).select(*shown), found
 
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
