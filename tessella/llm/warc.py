@@ -8,15 +8,19 @@ that doesn't match stops the read.
 Of the records whose payloads are equal and of at least ``min_revisit_bytes`` bytes, the one with the largest id
 is the response and the others are revisits that refer to it; smaller payloads are always responses.
 
-Edge cases: a null payload counts as empty; a null URL gives an empty WARC-Target-URI, and control characters in a
-URL are percent-encoded; rows repeated with one id give a record each and are all responses if that id is the
+A record's block is an HTTP message: its head is kept with the record's header, its body is the payload; a revisit has the
+head only. What is read is parsed from the rebuilt records.
+
+Edge cases: a null payload counts as empty; a null URL gives an empty WARC-Target-URI; a URL with control characters
+is percent-encoded (these and ``%``), which a header field says, and decoded on reading; rows repeated with one id give
+a record each, told apart by a number in their record ids, and are all responses if that id is the
 largest; a null id is smaller than any other and is written as ``null``. Columns other than the three named ones
 are ignored. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import fresh_path, table
@@ -33,6 +37,23 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
+CONTROLS = [("%", "%25"), *((chr(k), f"%{k:02X}") for k in (*range(32), 127))]
+ENCODED = "Tessella-Target-URI-Encoding: percent"
+
+
+def encoded(url: Column) -> Column:
+    """url with control characters and % percent-encoded."""
+    for raw, safe in CONTROLS:
+        url = F.replace(url, F.lit(raw), F.lit(safe))
+    return url
+
+
+def decoded(url: Column) -> Column:
+    for raw, safe in reversed(CONTROLS):
+        url = F.replace(url, F.lit(safe), F.lit(raw))
+    return url
+
+
 def _records(pages: DataFrame, record_id: str, url: str, payload: str) -> DataFrame:
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     return pages.select(F.col(record_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
@@ -47,43 +68,51 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", url:
     largest = rows.groupBy("digest").agg(F.max("id").alias("response"))
     rows = rows.join(largest, "digest")
     revisit = (F.col("bytes") >= min_revisit_bytes) & ~F.col("id").eqNullSafe(F.col("response"))
-    safe_url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x1F]", "%00")
-    urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    same = Window.partitionBy("id", "digest").orderBy("url")
+    rows = rows.withColumns({"copy": F.row_number().over(same), "odd": F.coalesce(F.col("url").rlike("[\\x00-\\x1F\\x7F]"), F.lit(False))})
+    safe_url = F.when(F.col("odd"), encoded(F.col("url"))).otherwise(F.coalesce("url", F.lit("")))
+    urn = lambda c, copy: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.col("sha1"), F.lit(":"), copy.cast("string"), F.lit(">"))
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), urn(F.col("id"))),
+        F.concat(F.lit("WARC-Record-ID: "), urn(F.col("id"), F.col("copy"))),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), safe_url),
+        F.when(F.col("odd"), F.lit(ENCODED)),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), urn(F.col("response")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), urn(F.col("response"), F.lit(1)))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
-        F.lit("Content-Type: text/html"),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, 0).otherwise(F.col("bytes")).cast("string")),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        F.concat(F.lit("Content-Length: "), (F.length(head) + F.when(revisit, 0).otherwise(F.col("bytes"))).cast("string")),
     ]
-    header = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n")).cast("binary")
+    header = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), head).cast("binary")
     rows.select("digest", header.alias("header")).write.parquet(f"{path}/headers")
     return path
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record: its id, type, refers_to, url, payload (also of a revisit), payload_bytes, payload_digest and record, the exact bytes."""
-    stored = spark.read.parquet(f"{path}/payloads")
-    checked = F.when(F.sha2("payload", 256) == F.col("digest"), sha1_base32(F.col("payload"))).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")))
-    stored = stored.select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), checked.alias("payload_digest"))
-    text = F.col("header").cast("string")
+    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")))
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", checked.alias("stored"))
+    text = F.decode("header", "UTF-8")
     field = lambda name, value: F.regexp_extract(text, rf"\r\n{name}: {value}\r\n", 1)
     number = lambda name: F.expr(f"try_cast({name} as bigint)")
+    own = rf"<{URN}([^:>]*):[^>]*>"
     headers = spark.read.parquet(f"{path}/headers").select(
-        "digest", "header", field("WARC-Type", "([a-z]+)").alias("record_type"), field("WARC-Record-ID", f"<{URN}([^>]*)>").alias("own"),
-        field("WARC-Refers-To", f"<{URN}([^>]*)>").alias("other"), field("WARC-Target-URI", "([^\r]*)").alias("url"), field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("stated"),
-    )
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    stated = F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record states another digest than its payload's")))
-    return headers.join(stored, "digest").select(
-        number("own").alias("id"), "record_type", number("other").alias("refers_to"), "url", "payload", "payload_bytes", stated.alias("payload_digest"),
-        F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"),
+        "digest", "header", field("WARC-Type", "([a-z]+)").alias("record_type"), field("WARC-Record-ID", own).alias("own"), field("WARC-Refers-To", own).alias("other"),
+        F.when(F.contains(text, F.lit(f"\r\n{ENCODED}\r\n")), decoded(field("WARC-Target-URI", "([^\r]*)"))).otherwise(field("WARC-Target-URI", "([^\r]*)")).alias("url"),
+        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("stated"), F.expr(rf"try_cast(regexp_extract(decode(header, 'UTF-8'), '\\r\\nContent-Length: ([0-9]+)\\r\\n\\r\\n', 1) as bigint)").alias("length"),
     )
+    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("stored"))
+    records = headers.join(stored, "digest").withColumn("record", F.concat("header", block, F.lit(b"\r\n\r\n")))
+    # the block begins after the header's blank line and is as long as the header says; the payload begins after the block's blank line
+    payload = F.when(F.col("record_type") == "revisit", F.col("stored")).otherwise(F.expr("substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - 4)"))
+    fits = F.octet_length("record") - 4 - F.expr("octet_length(substring_index(decode(header, 'UTF-8'), '\\r\\n\\r\\n', 1))") - 4 == F.col("length")
+    records = records.withColumn("payload", F.when(fits, payload).otherwise(F.raise_error(F.lit("a record isn't as long as it states"))))
+    records = records.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": sha1_base32(F.col("payload"))})
+    stated = F.when(F.col("stated") == F.col("sha1"), F.col("sha1")).otherwise(F.raise_error(F.lit("a record states another digest than its payload's")))
+    return records.select(number("own").alias("id"), "record_type", number("other").alias("refers_to"), "url", "payload", "payload_bytes", stated.alias("payload_digest"), "record")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 import base64
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import warc
 
-ROWS = [(1, "http://a/", "same"), (2, "http://b/", "same"), (9, "http://c/\r\nX-Evil: 1", "same"), (3, None, None), (4, "http://d/", ""), (5, "http://é/", "ß🙂\r\n\r\nWARC/1.1"), (6, "http://e/", "x" * 200_000), (None, "http://f/", "other"), (7, "http://g/", "other"), (8, "h", "dup"), (8, "h", "dup")]
+ROWS = [(1, "http://a/", "same"), (2, "http://b/", "same"), (9, "http://c/\r\nX-Evil: 1", "same"), (3, None, None), (4, "http://d/", ""), (5, "http://é/", "ß🙂\r\n\r\nWARC/1.1"), (6, "http://e/", "x" * 200_000), (None, "http://f/", "other"), (7, "http://g/", "other"), (8, "h", "dup"), (8, "h", "dup"), (10, "http://t/%0A\t\x1b\x7f%25?", "odd"), (11, "http://t/%0A", "even")]
 
 
 def archive(spark, tmp_path, rows=ROWS, **options):
@@ -16,7 +17,7 @@ def archive(spark, tmp_path, rows=ROWS, **options):
 
 def test_round_trip(spark, tmp_path):
     got = warc.read_archive(spark, archive(spark, tmp_path)).collect()
-    assert len(got) == len(ROWS)
+    assert len(got) == len(ROWS) and len({re.search(rb"WARC-Record-ID: (.*)\r", bytes(r["record"]))[1] for r in got}) == len(ROWS)
     largest = {}
     for i, _, h in ROWS:
         largest[h or ""] = max(i or -1, largest.get(h or "", -1))
@@ -30,7 +31,9 @@ def test_round_trip(spark, tmp_path):
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         assert head.startswith(b"WARC/1.1\r\n") and "X-Evil" not in fields
-        assert rest == (body if first else b"") + b"\r\n\r\n" and int(fields["Content-Length"]) == len(rest) - 4
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
+        assert rest == http + (body if first else b"") + b"\r\n\r\n" and int(fields["Content-Length"]) == len(rest) - 4
+        assert r["url"] in [u or "" for i, u, _ in ROWS if i == r["id"]]
         assert ("WARC-Refers-To" in fields) == (not first)
 
 
