@@ -10,7 +10,7 @@ form a marker of this or a bracketed template, and is undone exactly by ``unesca
 
 Edge cases: null text or role counts as empty; null or empty part lists give an empty turn; an unknown or null
 part type with text is text, else a ``file`` placeholder of no tokens; turns are ordered by turn, then role, then
-content, a null turn first; repeated rows stay; rows with a null conversation id form one conversation. Columns
+escaped content, a null turn first; repeated rows stay; rows with a null conversation id form one conversation. Columns
 other than the named ones are ignored.
 """
 
@@ -98,7 +98,8 @@ def read_loss(formatted: Column, loss: Column) -> Column:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
+    probes = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    rows = rows.unionByName(probes)
     out = format_conversations(rows.withColumn("parts", text_parts(F.col("text"))))
     out = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -112,13 +113,14 @@ OP8_SQL = """
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS safe FROM m),
 n AS (
   SELECT conv_id, count(*) AS n_turns,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
-         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, safe) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, safe) FILTER (role = 'assistant'), '') AS learned,
          sum(8 + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) + 1
-             + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + 8) AS formatted_chars
-  FROM m GROUP BY conv_id)
+             + length(safe) + 8) AS formatted_chars
+  FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,
        sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM n
