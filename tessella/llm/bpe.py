@@ -324,7 +324,7 @@ def round_trip(df: DataFrame, text: str = "text", ids: bool = True, name: str =
                 digests = [pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (found, decoded)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int64()), *digests], names=names)
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`").alias(f"_{k}") for k, f in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ into one space (``<br>`` counts as white space), ends trimmed, blocks without te
 
 Edge cases: null or empty html, and pages without text, give an empty text; unclosed tags, comments and quotes are
 closed at the end of the page; a tag cut off at the end of the page is dropped; text outside any element belongs
-to the body; repeated rows and a null id pass through; the whole page is read whatever its length. Other columns
+to the body; contents of scripts, styles, titles, text areas, frames and templates are no text, but those of noscript,
+object, svg and math are judged like any other; repeated rows and a null id pass through; the whole page is read whatever its length. Other columns
 pass through unchanged.
 """
 
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.common import ship_package, table
@@ -40,7 +42,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements that start a block, that hold no content, whose content isn't markup, that end an open element of the same family.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button select option label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+RAW = frozenset("script style textarea title iframe template".split())
+FOREIGN = frozenset(("svg", "math"))
 CLOSES_P = BLOCKS - frozenset("button select option label".split())
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("html body table td th ul ol dl div article section aside nav header footer main form".split())
@@ -73,7 +76,7 @@ class Page:
         self._parts: list[str] = []
         self._links = 0
         stack: list[tuple[str, int]] = [("html", 0)]
-        at = open_links = 0
+        at = open_links = foreign = 0
         for m in iter(lambda: TOKEN.search(source, at), None):
             if m.start() > at:
                 self._text(source[at : m.start()], open_links)
@@ -82,6 +85,10 @@ class Page:
             if not name or m.group(5) and source[at - 1] != ">":
                 continue
             name = name.lower()
+            closed = attributes.rstrip().endswith("/")
+            if name in FOREIGN:
+                foreign = max(0, foreign - 1) if slash else foreign + (not closed)
+                continue
             if slash:
                 if name == "a":
                     open_links = max(0, open_links - 1)
@@ -91,13 +98,15 @@ class Page:
                         pass
                 continue
             if name in RAW:
+                if foreign and closed:  # only inside these can a tag close itself
+                    continue
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
             if name == "br":
                 self._parts.append(" ")
             if name == "a":
-                open_links += not attributes.rstrip().endswith("/")
+                open_links += not closed
             if name not in BLOCKS:
                 continue
             self._flush(stack[-1][1])
@@ -361,15 +370,15 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: s
         for pdf in batches:
             out = []
             for k in range(0, len(pdf), 200):
-                parsed = [Page(h or "") for h in pdf[html].iloc[k : k + 200]]
+                parsed = [Page(h or "") for h in pdf["html"].iloc[k : k + 200]]
                 odds = model.score(np.concatenate([p.features() for p in parsed]))
                 at = 0
                 for p in parsed:
                     out.append(main_text(p, odds[at : (at := at + len(p.tags))]))
-            pdf = pdf[[f.name for f in keep]]
+            pdf = pdf.drop(columns="html").set_axis([f.name for f in keep], axis=1)
             yield pdf.assign(**{text: out, n_chars: [len(t) for t in out]})
 
-    return pages.select(*[f.name for f in keep], html).mapInPandas(run, schema)
+    return pages.select(*[F.col(f"`{f.name}`").alias(f"_{k}") for k, f in enumerate(keep)], F.col(f"`{html}`").alias("html")).mapInPandas(run, schema)
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,7 @@ def test_edges(spark):
     want = sorted(((i, *(lambda x: (x[0], len(x[0]), *x[1:]))(brute.tokens(t))) for i, t, _ in rows), key=str)
     assert sorted(map(tuple, got.collect()), key=str) == want
     assert bpe.round_trip(df.limit(0)).count() == 0
+    assert bpe.round_trip(df.withColumnRenamed("doc_id", "a.b"), ids=False).first()["a.b"] is not None
     both = bpe.decode(bpe.encode(df)).select("text", F.decode("decoded", "utf-8").alias("back")).collect()
     assert all((r["text"] or "") == r["back"] for r in both)
     with pytest.raises(Exception, match="KeyError"):

@@ -66,3 +66,17 @@ def test_edges(spark):
     assert by["a"]["text"] == by["b"]["text"] == by["c"]["text"] == "" and by["a"]["n_chars"] == 0
     assert by["d"]["text"].count("\n") == 4999 and by["d"]["n_chars"] == len(by["d"]["text"])
     assert got.count() == 6 and hx.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_elements_that_close_themselves_and_content_elements():
+    page = lambda inner: hx.Page(f"<html><body><article>{inner}</article></body></html>")
+    texts = lambda inner: [t for _, t, _ in page(inner).runs]
+    assert texts("<svg class='i'/><p>Kept text one.</p>") == ["Kept text one."]
+    assert texts("<math/><p>a</p><svg><title/><path d='x'/></svg><p>b</p>") == ["a", "b"]
+    assert texts("<p>x <math><mi>y</mi></math> z</p><noscript><p>n</p></noscript><object>o</object>") == ["x y z", "n", "o"]
+    assert texts("<svg><style>.a{}</style><title>t</title></svg><script/>gone</script><p>c</p>") == ["c"]
+
+
+def test_column_with_a_dot(spark):
+    df = spark.createDataFrame([(1, "<article><p>Some text of a page, long enough.</p></article>", "v")], "page_id long, html string, `a.b` string")
+    assert hx.extract(df).columns == ["page_id", "a.b", "text", "n_chars"]
