@@ -31,11 +31,49 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's switch for removing a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the lineage and survives lost executors. What the write shuffled is removed at once."""
+    spark, path = df.sparkSession, path or fresh_path(df.sparkSession, name)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table in the shared folder, through Spark's own access to it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one run: ``written``, and removed by ``drop`` or, all but those kept, by ``close``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        out = written(df, name, path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and id(t) in self.paths:
+                remove(self.spark, self.paths.pop(id(t))[0])
+
+    def close(self, *kept: DataFrame) -> None:
+        for _, t in list(self.paths.values()):
+            if not any(t is k for k in kept):
+                self.drop(t)
 
 
 _shipped: set[str] = set()

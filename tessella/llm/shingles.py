@@ -102,6 +102,6 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndarr
             yield row + k, found
 
 
-def set_hash(found: np.ndarray) -> int:
-    """One number for a set, as a signed 64-bit integer."""
-    return int((mix(found + U(0x632BE59BD9B4E019)).sum(dtype=np.uint64) + U(len(found))).astype(np.int64))
+def set_hash(found: np.ndarray, kind: int = 0) -> int:
+    """One number for a set, as a signed 64-bit integer; another one for each kind."""
+    return int((mix(found + U(0x632BE59BD9B4E019 + 2 * kind)).sum(dtype=np.uint64) + U(len(found))).astype(np.int64))

@@ -97,3 +97,43 @@ def test_components(spark):
     groups = lambda f, nodes: {frozenset(m for m in nodes if f(m) == f(n)) for n in nodes}
     assert groups(got.get, list(got)) == groups(top, list(got))
     assert set(got) >= {n for x, y in links if x != y for n in (x, y)}
+
+
+@pytest.mark.parametrize("few, rounds", [(2, 3), (2, 0), (4, 1)])
+def test_long_lists_are_split(spark, monkeypatch, few, rounds):
+    """Large groups around the limit, of several sizes, so that lists are long, leaders miss members, and pairs meet again outside the leader."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "MEMBERS", 7)
+    rng, docs = random.Random(few * 10 + rounds), []
+    for n in (24, 60, 130):
+        base = [f"w{n}x{k}" for k in range(n)]
+        other = base[: 2 * n // 3] + [f"v{n}x{k}" for k in range(n // 3)]
+        for k in range(45):
+            words = list(base if k % 3 else other)
+            for _ in range(rng.choice((0, 1, 2, 3, n // 20))):
+                words[rng.randrange(len(words))] = rng.choice((f"e{rng.randrange(6)}", f"z{rng.randrange(10**6)}"))
+            cut = rng.choice((0, 0, 0, n // 8, n // 5))
+            docs.append((len(docs), " ".join(words[cut:] if k % 2 else words[: len(words) - cut])))
+    rng.shuffle(docs)
+    got, want = compare(spark, docs)
+    assert got == want and len({c for *_, c in got}) > 3
+
+
+def test_a_token_in_a_third_of_all_documents(spark):
+    common = " ".join(f"c{k}" for k in range(12))
+    rng = random.Random(8)
+    docs = [(k, f"{common} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice((0, 1, 1, 30))))) for k in range(150)]
+    docs += [(1000 + k, " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))) for k in range(300)]
+    got, want = compare(spark, docs)
+    assert got == want
+
+
+def test_sets_with_one_equal_hash_stay_apart(spark, monkeypatch):
+    """With a first hash of few values, sets go by their second."""
+    real = shingles.set_hash
+    monkeypatch.setattr(jaccard, "set_hash", lambda found, kind=0: real(found, 1) if kind else real(found) % 5)
+    docs = [(k, " ".join(f"w{k % 20}x{j}" for j in range(20 + k % 3))) for k in range(90)]
+    monkeypatch.setattr(jaccard, "name_of", lambda found, clashing: real(found, 1) if real(found) % 5 in clashing else real(found) % 5)
+    got, want = compare(spark, docs)
+    assert got == want
