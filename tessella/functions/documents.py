@@ -24,7 +24,3 @@ def unwrap_list(text: Column, keys: list[str], element: str) -> Column:
 def field(text: Column, path: str, kind: str) -> Column:
     """A field of a JSON text, null where the text or the field is bad."""
     return F.try_variant_get(F.try_parse_json(text), path, kind)
-
-
-def to_line(*columns: str) -> Column:
-    return F.to_json(F.struct(*columns))

@@ -143,3 +143,23 @@ def joined(items: Column, empty: str) -> Column:
 def first_nonempty(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def embedding_text(name: Column, similar: Column) -> Column:
+    """What a name and its comma-separated synonyms are embedded as."""
+    names = F.transform(F.split(F.coalesce(similar, F.lit("nan")), ","), normalize_upper)
+    return F.concat(F.lit("Exame: "), normalize_upper(name), F.lit(". Similares: "), F.array_join(names, ", "))
+
+
+def has_domain(email: Column, domain: str) -> Column:
+    """Whether an address ends in @domain; false for none."""
+    return F.coalesce(F.endswith(email, F.lit(f"@{domain}")), F.lit(False))
+
+
+def table_rows(message: Column, key: str, schema: str) -> Column:
+    """The rows of a message that is a JSON list, in code fences or not, whose first element has key; null for any other message."""
+    trimmed = lambda x: F.btrim(x, F.lit(" \t\r\n"))
+    bare = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed(message), "(?i)^```json", ""), "^```", ""), "```$", ""))
+    rows = F.from_json(bare, f"array<{schema}>")
+    first = F.try_variant_get(F.try_parse_json(bare), f"$[0].{key}", "string")
+    return F.when(bare.startswith("[") & bare.endswith("]") & (F.coalesce(first, F.lit("")) != ""), rows)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Stages in order, and the progress at which each begins.
 STAGES = ("upload", "ocr", "brnet", "validation", "completed")
+FIRST_PROGRESS = (0, 1, 30, 60, 100)
 
 
 def round_half_up(x: Column) -> Column:
@@ -63,7 +65,7 @@ def extension(name: Column) -> Column:
     return F.regexp_extract(name, "[.][^.]*$", 0)
 
 
-#: Kinds in the order in which they are tried: parts of a MIME type, ends of a name.
+#: Kinds in the order in which they are tried: parts of a MIME type, ends of a name.
 FILE_KINDS = (
     ("document", ("pdf", "word"), (".pdf", ".doc", ".docx")),
     ("archive", ("zip", "archive"), (".zip", ".rar")),
@@ -120,3 +122,43 @@ def ago(ts: Column, now: Column) -> Column:
     s = F.timestamp_diff("SECOND", ts, now)
     unit = lambda n, name: counted(F.floor(s / n), f"{name} ago", f"{name}s ago")
     return F.when(s < 60, "just now").when(s < 3600, unit(60, "minute")).when(s < 86400, unit(3600, "hour")).otherwise(unit(86400, "day"))
+
+
+#: What a result's state is called.
+STATE_LABELS = {"approved": "Aprovado", "rejected": "Rejeitado"}
+
+
+def state_label(state: Column) -> Column:
+    out = F.lit("Pendente")
+    for name, label in STATE_LABELS.items():
+        out = F.when(state == name, label).otherwise(out)
+    return out
+
+
+def looks_numeric(text: Column) -> Column:
+    """Empty, or a number as it is being typed."""
+    return (text == "") | text.rlike(r"^-?\d*\.?\d*$")
+
+
+def entered_value(text: Column, was: Column, low: float, high: float, at_least: Column | None = None, at_most: Column | None = None) -> Column:
+    """A typed slider value: 0 for a blank or a lone minus, the value before for what is no number, else within the limits and the other thumb."""
+    number = F.get(F.transform(F.array(text), lambda t: F.regexp_extract(t, r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)", 1).try_cast("double")), 0)
+    value = clamp(number, low, high)
+    if at_most is not None:
+        value = F.least(value, at_most)
+    if at_least is not None:
+        value = F.greatest(value, at_least)
+    return F.when(text.isin("", "-"), 0.0).when(number.isNull(), was).otherwise(value)
+
+
+def score_shown(score: Column) -> Column:
+    return F.format_string("%.4f", score.cast("double"))
+
+
+def size_or_zero(items: Column) -> Column:
+    return F.coalesce(F.when(items.isNotNull(), F.size(items)), F.lit(0))
+
+
+def stable_id(*parts: Column) -> Column:
+    """An identifier that the same parts always give."""
+    return F.left(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256), F.lit(16))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import normalize_key
 from tessella.functions.values import share_percent
+from tessella.session import stored
 
 #: Names that mean the same, each with its other names (fixed values; a name can stand in several groups).
 ALIASES = {
@@ -53,7 +54,18 @@ def alias_table(spark: SparkSession, aliases: dict[str, list[str]] | None = None
     """(group_ord, member_ord, name); member 0 is the group's own name."""
     groups = (ALIASES if aliases is None else aliases).items()
     rows = [(g, m, name) for g, (own, others) in enumerate(groups) for m, name in enumerate([own, *others])]
-    return spark.createDataFrame(rows, "group_ord int, member_ord int, name string")
+    return inline_table(spark, rows, ("group_ord", "member_ord", "name"))
+
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    """(general, specific) of coverage rules."""
+    return inline_table(spark, rules, ("general", "specific"))
+
+
+def inline_table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A small fixed table that is part of the plan."""
+    cells = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, row)]) for row in rows])
+    return spark.range(1).select(F.inline(cells))
 
 
 def alias_keys(aliases: DataFrame) -> DataFrame:
@@ -93,14 +105,16 @@ def covered(required: DataFrame, received: DataFrame, rules: DataFrame) -> DataF
 
 def compare(required: DataFrame, received: DataFrame, aliases: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, side, pos, name, status, rule, match): a row for each required item and each extra; inputs are (doc_id, pos, name)."""
-    required, received = keyed(required), keyed(received)
+    # read several times below: stored once, with their keys
+    required, received = stored(keyed(required), "required"), stored(keyed(received), "received")
     first = Window.partitionBy("doc_id", "key").orderBy("pos")
     unique = received.filter("key <> ''").withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
     equal = required.join(unique.select("doc_id", "key", F.col("pos").alias("match_pos"), F.col("name").alias("match")), ["doc_id", "key"]).select("doc_id", "pos", "name", "key", "match_pos", "match")
+    equal = stored(equal, "equal")
     rest = required.join(equal, ["doc_id", "pos"], "left_anti")
-    alias = alias_match(rest, received, aliases).select(*equal.columns)
+    alias = stored(alias_match(rest, received, aliases).select(*equal.columns), "alias")
     rest = rest.join(alias, ["doc_id", "pos"], "left_anti")
-    inside = containment_match(rest, received).select(*equal.columns)
+    inside = stored(containment_match(rest, received).select(*equal.columns), "inside")
     rest = rest.join(inside, ["doc_id", "pos"], "left_anti")
     whole = covered(rest, received, rules).withColumn("coverage", F.lit(True))
     tagged = [d.withColumn("rule", F.lit(r)) for d, r in ((equal, "equal"), (alias, "alias"), (inside, "containment"))]
@@ -132,3 +146,12 @@ def full_outer(required: DataFrame, received: DataFrame) -> DataFrame:
     side = lambda df, flag: df.select("doc_id", normalize_key(F.col("name")).alias("key")).filter("key <> ''").distinct().withColumn(flag, F.lit(True))
     both = side(required, "wanted").join(side(received, "given"), ["doc_id", "key"], "full_outer")
     return both.select("doc_id", "key", F.when(F.col("given").isNull(), "faltante").when(F.col("wanted").isNull(), "extra_no_ocr").otherwise("encontrado").alias("status"))
+
+
+def required_items(documents: DataFrame, guides: DataFrame, by: str, candidates: str, identifier: str, items: str) -> DataFrame:
+    """(by, identifier, items, status) for each document: the guide of the first of its candidate identifiers, in order, that has one; status "falha" where none has."""
+    tried = documents.select(by, F.posexplode(candidates).alias("_pos", "_candidate"))
+    hits = tried.join(guides.select(F.col(identifier).alias("_candidate"), F.col(items).alias("_items")), "_candidate")
+    first = hits.groupBy(by).agg(F.min_by(F.struct("_candidate", "_items"), "_pos").alias("_hit"))
+    out = documents.select(by).join(first, by, "left")
+    return out.select(by, F.col("_hit._candidate").alias("identifier"), F.col("_hit._items").alias("items"), F.when(F.col("_hit").isNull(), "falha").otherwise("ok").alias("status"))

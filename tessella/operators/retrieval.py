@@ -41,3 +41,8 @@ def chunks(faq: DataFrame, key: str, question: str, answer: str) -> DataFrame:
     """(key, chunk_no, chunk): the question, then each non-blank trimmed line of the answer."""
     lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return faq.select(key, F.posexplode(F.concat(F.array(F.col(question)), F.coalesce(lines, F.array().cast("array<string>")))).alias("chunk_no", "chunk"))
+
+
+def token_total(answers: DataFrame, usage: str, by: list[str] = ()) -> DataFrame:
+    """Tokens used; answers without a count are none."""
+    return answers.groupBy(*by).agg(F.sum(F.coalesce(usage, F.lit(0))).cast("long").alias("tokens"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.text import digits
 from tessella.functions.values import round_half_up
 
-#: Order of comparison states in a table.
+#: Order of comparison states in a table.
 STATUS_RANK = {"encontrado": 1, "faltante": 2, "extra_no_ocr": 3}
 
 
@@ -21,7 +21,8 @@ def search_results(df: DataFrame, identifier: str, state: str, search: str | Non
 
 
 def text_filter(column: str, search: str) -> Column:
-    return F.contains(F.lower(column), F.lit(search.lower()))
+    """A blank search takes every row, also those without a value."""
+    return F.contains(F.lower(column), F.lit(search.lower())) if search.strip() else F.lit(True)
 
 
 def range_filter(column: str, low: float | None = None, high: float | None = None) -> Column:
@@ -93,11 +94,12 @@ def day_bucket(ts: Column, now: Column) -> Column:
     return F.when(F.date_trunc("day", ts) == F.date_trunc("day", now), "today").otherwise("earlier")
 
 
-def updated(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """df with the columns of the row in changes with the same key, where there is one and it isn't null."""
-    new = changes.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns])
+def updated(df: DataFrame, changes: DataFrame, key: str, columns: list[str], nulls: bool = False) -> DataFrame:
+    """df with the columns of the row in changes with the same key, where there is one; nulls of changes count only if asked for."""
+    new = changes.select(F.col(key), F.lit(True).alias("_changed"), *[F.col(c).alias(f"_{c}") for c in columns])
     out = df.join(new, key, "left")
-    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns])
+    value = lambda c: F.when(F.col("_changed"), F.col(f"_{c}")).otherwise(F.col(c)) if nulls else F.coalesce(f"_{c}", c)
+    return out.select(*[value(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def appended(*tables: DataFrame) -> DataFrame:
@@ -127,3 +129,44 @@ def latest(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -
 def distinct_in_order(df: DataFrame, by: list[str], value: str, position: str) -> DataFrame:
     """(by, position, value): each value once, where it comes first."""
     return df.groupBy(*by, value).agg(F.min(position).alias(position))
+
+
+def unread(df: DataFrame, read: str = "read") -> DataFrame:
+    return df.filter(~F.coalesce(F.col(read), F.lit(False)))
+
+
+def with_value(df: DataFrame, column: str, value, most: int | None = None) -> DataFrame:
+    """Rows of one id or batch; at most so many, if given."""
+    found = df.filter(F.col(column) == value)
+    return found if most is None else found.limit(most)
+
+
+def mentions(columns: list[str], word: str) -> Column:
+    """Whether any of the columns holds word."""
+    return F.greatest(*[F.coalesce(F.contains(F.col(c), F.lit(word)), F.lit(False)) for c in columns])
+
+
+def within_cap(new: DataFrame, existing: DataFrame, by: str, most: int) -> DataFrame:
+    """The new rows of those batches that keep within the cap with the rows that are there already; other batches are rejected whole."""
+    count = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
+    fits = count(new, "_new").join(count(existing, "_old"), by, "left").filter(F.col("_new") + F.coalesce("_old", F.lit(0)) <= most)
+    return new.join(fits.select(by), by, "left_semi")
+
+
+def complete(df: DataFrame, columns: list[str]) -> Column:
+    """Whether every required column has something: no null, empty text or empty list."""
+    kinds, out = dict(df.dtypes), F.lit(True)
+    for c in columns:
+        out = out & (F.coalesce(F.size(c) if kinds[c].startswith("array") else F.length(F.col(c).cast("string")), F.lit(0)) > 0)
+    return out
+
+
+def succeeded(df: DataFrame, result: str) -> DataFrame:
+    return df.filter(F.col(result).isNotNull())
+
+
+def result_row(finished: DataFrame, identifier: str, name: str, result: str) -> DataFrame:
+    """A finished document as a result: nested counts with 0 and a name and identifier with a text where there is none."""
+    got = F.col(result)
+    counts = F.struct(F.coalesce(got["missing"], F.lit(0)).alias("missing"), F.coalesce(got["extra"], F.lit(0)).alias("extra"))
+    return finished.select(F.coalesce(identifier, F.lit("unknown")).alias("identifier"), F.coalesce(name, F.lit("no name")).alias("name"), F.struct(counts.alias("counts"), got.isNotNull().alias("done")).alias("result"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import documents, text, values
 from tessella.operators import reconcile, retrieval, review, vector
+from tessella.sources import tables
 from tessella.sources.tables import table
 from tessella.streaming import progress
 
@@ -42,10 +43,13 @@ def text_and_range_filter(spark, d):
     return table(spark, d, "part").filter(review.text_filter("p_name", "RING") & review.range_filter("p_size", 10, 20)).select("p_partkey", "p_name")
 
 
-@query("SELECT o_orderkey, coalesce(o_orderstatus, 'x') AS status, {'a': o_totalprice, 'b': o_orderpriority}.a AS price FROM orders")
+@query("""SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE CAST(o_orderkey AS VARCHAR) END AS identifier, CASE WHEN o_orderkey % 3 = 0 THEN 'no name' ELSE o_orderpriority END AS name,
+CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 7 END AS missing, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS extra, o_orderkey % 4 <> 0 AS done FROM orders""")
 def result_rows(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", F.coalesce("o_orderstatus", F.lit("x")).alias("status"), F.struct(F.col("o_totalprice").alias("a"), F.col("o_orderpriority").alias("b")).alias("s"))
-    return rows.select("o_orderkey", "status", F.col("s.a").alias("price"))
+    k = F.col("o_orderkey")
+    result = F.when(k % 4 != 0, F.struct((k % 7).alias("missing"), F.when(k % 2 != 0, F.lit(1).cast("long")).alias("extra")))
+    rows = table(spark, d, "orders").select(F.when(k % 5 != 0, k.cast("string")).alias("id"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("who"), result.alias("r"))
+    return review.result_row(rows, "id", "who", "r").select("identifier", "name", "result.counts.missing", "result.counts.extra", "result.done")
 
 
 # --- text
@@ -62,10 +66,10 @@ def normalize_key(spark, d):
 
 
 @query("""WITH t AS (SELECT c_custkey, 'x CE/' || lpad(CAST(c_custkey AS VARCHAR), 11, '0') || ' y ' || lpad(CAST(c_custkey * 7 AS VARCHAR), 11, '0') AS t FROM customer)
-SELECT c_custkey, regexp_extract(t, '[A-Z]{2}/([0-9]{11})', 1) AS first_id, lpad(CAST(c_custkey * 7 AS VARCHAR), 11, '0') AS other_ids FROM t WHERE c_custkey > 0""")
+SELECT c_custkey, regexp_extract(t, '[A-Z]{2}/([0-9]{11})', 1) AS first_id, CASE WHEN c_custkey = 0 THEN '' ELSE lpad(CAST(c_custkey * 7 AS VARCHAR), 11, '0') END AS other_ids FROM t""")
 def extract_ids(spark, d):
     key = lambda c: F.lpad(c.cast("string"), 11, "0")
-    rows = table(spark, d, "customer").filter("c_custkey > 0").select("c_custkey", F.concat(F.lit("x CE/"), key(F.col("c_custkey")), F.lit(" y "), key(F.col("c_custkey") * 7)).alias("t"))
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("x CE/"), key(F.col("c_custkey")), F.lit(" y "), key(F.col("c_custkey") * 7)).alias("t"))
     first = text.first_identifier(F.col("t"))
     return rows.select("c_custkey", first.alias("first_id"), F.array_join(text.all_identifiers(F.col("t"), first), ",").alias("other_ids"))
 
@@ -199,24 +203,63 @@ h AS (SELECT doc_id, lower(general) AS general, count(DISTINCT specific) AS foun
 SELECT rq.doc_id, rq.pos FROM rq JOIN h ON rq.doc_id = h.doc_id AND rq.key = h.general JOIN n ON n.general = h.general WHERE found = parts""")
 def coverage_rule(spark, d):
     required, received = map(reconcile.keyed, _lines(spark, d, "p_type"))
-    return reconcile.covered(required, received, spark.createDataFrame(_RULES, "general string, specific string"))
+    return reconcile.covered(required, received, reconcile.rule_table(spark, _RULES))
 
 
-@query(f"""WITH {_LINES.format('p_name')}, g(group_ord, member_ord, name) AS (VALUES {_ALIAS_ROWS}), u(general, specific) AS (VALUES {_RULE_ROWS}),
+def _compare_sql(lines: str, aliases: str, rules: str) -> str:
+    key = lambda c: KEY.format(c)
+    return f"""WITH {lines}, g AS (SELECT DISTINCT group_ord, {key('name')} AS name FROM (VALUES {aliases}) v(group_ord, member_ord, name)),
+u AS (SELECT DISTINCT {key('general')} AS general, {key('specific')} AS specific FROM (VALUES {rules}) v(general, specific)),
 eq AS (SELECT rq.doc_id, rq.pos, rq.name, arg_min(rc.name, rc.pos) AS match FROM rq JOIN rc ON rq.doc_id = rc.doc_id AND rq.key = rc.key GROUP BY 1, 2, 3),
 r1 AS (SELECT * FROM rq WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM eq)),
 al AS (SELECT doc_id, pos, name, match FROM (SELECT a.doc_id, a.pos, a.name, b.name AS match, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY ga.group_ord, b.pos) AS n
   FROM r1 a JOIN g ga ON a.key = ga.name JOIN g gb ON ga.group_ord = gb.group_ord JOIN rc b ON b.doc_id = a.doc_id AND b.key = gb.name) WHERE n = 1),
 r2 AS (SELECT * FROM r1 WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM al)),
 co AS (SELECT r2.doc_id, r2.pos, r2.name, arg_min(rc.name, rc.pos) AS match FROM r2 JOIN rc ON r2.doc_id = rc.doc_id AND (contains(rc.key, r2.key) OR contains(r2.key, rc.key)) GROUP BY 1, 2, 3),
+r3 AS (SELECT * FROM r2 WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM co)),
+n AS (SELECT general, count(*) AS parts FROM u GROUP BY 1),
+h AS (SELECT doc_id, u.general, count(DISTINCT specific) AS found FROM rc JOIN u ON rc.key = specific GROUP BY 1, 2),
+cv AS (SELECT r3.doc_id, r3.pos, r3.name, r3.key FROM r3 JOIN h ON r3.doc_id = h.doc_id AND r3.key = h.general JOIN n ON n.general = h.general WHERE found = parts),
 m AS (SELECT *, 'equal' AS rule FROM eq UNION ALL SELECT *, 'alias' FROM al UNION ALL SELECT *, 'containment' FROM co),
-ex AS (SELECT doc_id, min(pos) AS pos, arg_min(name, pos) AS name FROM rc WHERE (doc_id, key) NOT IN (SELECT doc_id, lower(match) FROM m) GROUP BY doc_id, key)
+used AS (SELECT doc_id, {key('match')} AS key FROM m UNION SELECT doc_id, specific FROM cv JOIN u ON u.general = cv.key),
+ex AS (SELECT doc_id, min(pos) AS pos, arg_min(name, pos) AS name FROM rc WHERE (doc_id, key) NOT IN (SELECT doc_id, key FROM used) GROUP BY doc_id, key)
 SELECT doc_id, 'required' AS side, pos, name, 'encontrado' AS status, rule, match FROM m
-UNION ALL SELECT doc_id, 'required', pos, name, 'faltante', NULL, NULL FROM r2 WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM co)
-UNION ALL SELECT doc_id, 'received', pos, name, 'extra_no_ocr', NULL, NULL FROM ex""")
+UNION ALL SELECT doc_id, 'required', pos, name, 'encontrado', 'coverage', NULL FROM cv
+UNION ALL SELECT doc_id, 'required', pos, name, 'faltante', NULL, NULL FROM r3 WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM cv)
+UNION ALL SELECT doc_id, 'received', pos, name, 'extra_no_ocr', NULL, NULL FROM ex"""
+
+
+@query(_compare_sql(_LINES.format("p_name"), _ALIAS_ROWS, _RULE_ROWS))
 def compare_items(spark, d):
-    """All rules in order; the part names have no coverage rule."""
-    return reconcile.compare(*_lines(spark, d, "p_name"), reconcile.alias_table(spark, _ALIASES), spark.createDataFrame(_RULES, "general string, specific string"))
+    """All rules in order over part names, which have no coverage rule."""
+    return reconcile.compare(*_lines(spark, d, "p_name"), reconcile.alias_table(spark, _ALIASES), reconcile.rule_table(spark, _RULES))
+
+
+_EXAMS = ("Hemograma", "HC", "Glicemia de Jejum", "GLICEMIA", "Perfil Lipídico", "HDL", "Avaliação Renal", "Creatinina", "Uréia", "TSH", "T4L", "E.A.S.", "Audiometria", "Audiometria Tonal")
+_EXAM_RULES = [("avaliacao renal", "creatinina"), ("avaliacao renal", "ureia"), ("perfil tireoidiano", "tsh")]
+_EXAM = f"{list(_EXAMS)}[(l_partkey + 5 * l_linenumber) % 14 + 1]"
+_EXAM_LINES = f"l AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, min({_EXAM}) AS name FROM lineitem GROUP BY 1, 2), k AS (SELECT *, {KEY.format('name')} AS key FROM l), rq AS (SELECT * FROM k WHERE pos % 2 = 1), rc AS (SELECT * FROM k WHERE pos % 2 = 0)"
+_ALL_ALIASES = ", ".join(f"({g}, {m}, '{n}')" for g, (k, a) in enumerate(reconcile.ALIASES.items()) for m, n in enumerate([k, *a]))
+
+
+@query(_compare_sql(_EXAM_LINES, _ALL_ALIASES, ", ".join(f"('{g}', '{x}')" for g, x in _EXAM_RULES)))
+def compare_exams(spark, d):
+    """All rules in order over names of exams, with all alias groups; each rule has matches."""
+    exam = F.get(F.array(*map(F.lit, _EXAMS)), ((F.col("l_partkey") + 5 * F.col("l_linenumber")) % 14).cast("int"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos")).agg(F.min(exam).alias("name"))
+    return reconcile.compare(rows.filter("pos % 2 = 1"), rows.filter("pos % 2 = 0"), reconcile.alias_table(spark), reconcile.rule_table(spark, _EXAM_RULES))
+
+
+@query("""WITH g AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0)
+SELECT o_orderkey, CAST(coalesce(a.c_custkey, b.c_custkey) AS VARCHAR) AS identifier, CASE WHEN a.c_custkey IS NULL THEN b.c_mktsegment ELSE a.c_mktsegment END AS items, CASE WHEN a.c_custkey IS NULL AND b.c_custkey IS NULL THEN 'falha' ELSE 'ok' END AS status
+FROM orders LEFT JOIN g a ON a.c_custkey = o_custkey LEFT JOIN g b ON b.c_custkey = o_custkey + 4 AND o_orderkey % 2 = 0""")
+def required_lookup(spark, d):
+    """The first candidate identifier with a guide; the first is never known."""
+    k = F.col("o_custkey")
+    orders = table(spark, d, "orders").select("o_orderkey", F.array(k + 10_000_000, k, F.when(F.col("o_orderkey") % 2 == 0, k + 4)).alias("candidates"))
+    guides = table(spark, d, "customer").filter("c_custkey % 4 <> 0").select("c_custkey", "c_mktsegment")
+    found = reconcile.required_items(orders, guides, "o_orderkey", "candidates", "c_custkey", "c_mktsegment")
+    return found.withColumn("identifier", F.col("identifier").cast("string"))
 
 
 # --- joins and sets
@@ -261,9 +304,9 @@ def set_operations(spark, d):
 # --- aggregates and windows
 
 
-@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p, count(*) AS n_all, CASE WHEN n_f = 0 THEN n_all || ' documents processed' WHEN n_f = n_all THEN 'all documents failed' ELSE (n_all - n_f) || ' processed, ' || n_f || ' failed' END AS message FROM orders GROUP BY 1")
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p, count(*) AS n_all, CASE WHEN n_f = 0 THEN n_all || ' documents processed' WHEN n_f = n_all THEN 'all documents failed' ELSE (n_all - n_f) || ' processed, ' || n_f || ' failed' END AS message FROM orders GROUP BY 1")
 def status_counts(spark, d):
-    out = review.state_counts(table(spark, d, "orders"), "o_orderstatus", ["F", "O", "P"], ["o_orderpriority"])
+    out = review.state_counts(table(spark, d, "orders"), "o_orderstatus", ["F", "O", "P"], ["o_custkey"])
     return out.withColumn("message", review.batch_message(F.col("n_all"), F.col("n_f")))
 
 
@@ -367,10 +410,14 @@ def daily_events(spark, d):
 # --- values
 
 
-@query("SELECT event_id, CASE WHEN p = 0 THEN 'upload' WHEN p < 30 THEN 'ocr' WHEN p < 60 THEN 'brnet' WHEN p < 100 THEN 'validation' ELSE 'completed' END AS stage, CASE WHEN event_type = 'error' THEN 'error' WHEN p >= 100 THEN 'completed' WHEN p > 0 THEN 'processing' ELSE 'pending' END AS state, CASE WHEN p >= 80 THEN 'high' WHEN p >= 50 THEN 'medium' ELSE 'low' END AS band FROM (SELECT *, CAST(floor(least(value, 100)) AS BIGINT) AS p FROM events)")
+@query("""SELECT event_id, CASE WHEN p < 0 THEN NULL WHEN p = 0 THEN 'upload' WHEN p < 30 THEN 'ocr' WHEN p < 60 THEN 'brnet' WHEN p < 100 THEN 'validation' ELSE 'completed' END AS stage,
+CASE WHEN p < 30 AND p > 0 THEN 2 WHEN p <= 0 THEN 1 WHEN p < 60 THEN 3 WHEN p < 100 THEN 4 ELSE 5 END AS place, CASE WHEN p < 0 THEN 'error' WHEN p >= 100 THEN 'completed' WHEN p > 0 THEN 'processing' ELSE 'pending' END AS state,
+CASE WHEN p < 0 THEN 'rejected' WHEN p >= 60 THEN 'approved' ELSE 'pending_review' END AS result, CASE WHEN p < 0 THEN 'Rejeitado' WHEN p >= 60 THEN 'Aprovado' ELSE 'Pendente' END AS label, CASE WHEN p >= 80 THEN 'high' WHEN p >= 50 THEN 'medium' ELSE 'low' END AS band
+FROM (SELECT event_id, CASE WHEN event_id % 29 = 0 THEN -1 ELSE CAST(floor(least(value, 100)) AS BIGINT) END AS p FROM events)""")
 def stage_map(spark, d):
-    rows = table(spark, d, "events").select("event_id", "event_type", F.floor(values.clamp(F.col("value"), 0.0, 100.0)).alias("p"))
-    return rows.select("event_id", values.stage_of(F.col("p")).alias("stage"), values.document_state(F.col("event_type") == "error", F.col("p")).alias("state"), values.share_band(F.col("p")).alias("band"))
+    p = F.when(F.col("event_id") % 29 == 0, -1).otherwise(F.floor(values.clamp(F.col("value"), 0.0, 100.0)))
+    rows = table(spark, d, "events").select("event_id", p.alias("p")).withColumns({"stage": values.stage_of(F.col("p")), "result": values.result_state(F.col("p") == -1, F.col("p") >= 60)})
+    return rows.select("event_id", "stage", values.stage_position(F.col("stage")).alias("place"), values.document_state(F.col("p") == -1, F.col("p")).alias("state"), "result", values.state_label(F.col("result")).alias("label"), values.share_band(F.col("p")).alias("band"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.nothing') IS NULL AS missing FROM events")
@@ -378,22 +425,31 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", documents.field(F.col("props"), "$.k", "bigint").alias("k"), F.isnotnull(documents.items_or_error(F.col("props"), "nothing")["error"]).alias("missing"))
 
 
-@query("""WITH t AS (SELECT doc_id, n_chars * n_chars AS n FROM documents), k AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 ELSE 2 END AS k FROM t)
-SELECT doc_id, CASE WHEN n = 0 THEN '0 Bytes' ELSE regexp_replace(regexp_replace(printf('%.2f', floor(n / pow(1024, k) * 100 + 0.5) / 100), '0+$', ''), '[.]$', '') || CASE k WHEN 0 THEN 'Bytes' WHEN 1 THEN 'KB' ELSE 'MB' END END AS shown FROM k WHERE n < 1073741824""")
+@query("""WITH t AS (SELECT doc_id, n_chars * n_chars AS n FROM documents), k AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k FROM t)
+SELECT doc_id, CASE WHEN n = 0 THEN '0 Bytes' ELSE regexp_replace(regexp_replace(printf('%.2f', floor(n / pow(1024, k) * 100 + 0.5) / 100), '0+$', ''), '[.]$', '') || ['Bytes', 'KB', 'MB', 'GB', 'TB'][k + 1] END AS shown, printf('%.2f', floor(n / 1048576 * 100 + 0.5) / 100) || 'MB' AS megabytes FROM k""")
 def format_bytes(spark, d):
     n = F.col("n_chars") * F.col("n_chars")
-    return table(spark, d, "documents").filter(n < 1073741824).select("doc_id", values.format_bytes(n).alias("shown"))
+    return table(spark, d, "documents").select("doc_id", values.format_bytes(n).alias("shown"), values.megabytes(n).alias("megabytes"))
+
 
+_ENDS = ("", ".pdf", ".docx", ".rar", ".XLS", ".xlsx", ".a.b")
+_MIMES = ("application/x", "image/png", "video/mp4", "audio/ogg", "application/zip", "application/msword", "excel/x")
 
-@query("SELECT page_id, CASE WHEN url LIKE '%.pdf' OR url LIKE '%.doc' OR url LIKE '%.docx' THEN 'document' ELSE 'other' END AS kind, lower(url) LIKE '%.html' AS taken FROM pages")
+
+@query(f"""WITH p AS (SELECT page_id, url || {list(_ENDS)}[page_id % 7 + 1] AS name, {list(_MIMES)}[page_id // 7 % 7 + 1] AS mime, length(html) AS n FROM pages)
+SELECT page_id, CASE WHEN contains(mime, 'word') OR name LIKE '%.pdf' OR name LIKE '%.docx' THEN 'document' WHEN contains(mime, 'zip') OR name LIKE '%.rar' THEN 'archive' WHEN contains(mime, 'excel') OR name LIKE '%.xlsx' THEN 'spreadsheet'
+WHEN mime LIKE 'video/%' THEN 'video' WHEN mime LIKE 'audio/%' THEN 'audio' WHEN mime LIKE 'image/%' THEN 'image' ELSE 'other' END AS kind, regexp_extract(name, '[.][^.]*$') AS ending,
+n <= 1500 AND (lower(name) LIKE '%.xls' OR mime LIKE 'image/%' OR mime = 'application/zip') AS taken FROM p""")
 def file_kind(spark, d):
-    none = F.lit("application/x")
-    return table(spark, d, "pages").select("page_id", values.file_kind(none, F.col("url")).alias("kind"), values.accepted(none, F.col("url"), F.length("html"), [".HTML", "image/*"], 10**9).alias("taken"))
+    one = lambda options, k: F.get(F.array(*map(F.lit, options)), k.cast("int"))
+    rows = table(spark, d, "pages").select("page_id", F.concat("url", one(_ENDS, F.col("page_id") % 7)).alias("name"), one(_MIMES, F.floor(F.col("page_id") / 7) % 7).alias("mime"), F.length("html").alias("n"))
+    taken = values.accepted(F.col("mime"), F.col("name"), F.col("n"), [".XLS", "image/*", "application/zip"], 1500)
+    return rows.select("page_id", values.file_kind(F.col("mime"), F.col("name")).alias("kind"), values.extension(F.col("name")).alias("ending"), taken.alias("taken"))
 
 
-@query("SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M') AS shown, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
+@query("SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M') AS shown, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, strftime(ts, '%d/%m/%Y') AS day, CASE WHEN event_id % 2 = 0 THEN ts END AS revived FROM events")
 def date_formats(spark, d):
-    return table(spark, d, "events").select("event_id", values.local_minute(F.col("ts")).alias("shown"), values.file_stamp(F.col("ts")).alias("stamp"))
+    return table(spark, d, "events").select("event_id", values.local_minute(F.col("ts")).alias("shown"), values.file_stamp(F.col("ts")).alias("stamp"), values.local_date(F.col("ts")).alias("day"), values.iso_timestamp(F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise("20 May 2024")).cast("timestamp_ntz").alias("revived"))
 
 
 # --- retrieval
@@ -404,14 +460,142 @@ def build_context(spark, d):
     return retrieval.context_block(table(spark, d, "conversations"), "conv_id", "turn", F.col("role"), F.col("text"))
 
 
-@query("""WITH h AS (SELECT conv_id, count(*) FILTER (role IN ('user', 'assistant')) AS n FROM conversations GROUP BY 1) SELECT conv_id, CAST(n + 3 AS INTEGER) AS n_messages FROM h""")
+@query("""SELECT conv_id, 'system: rules' || chr(10) || CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'system: context ' || conv_id || chr(10) END
+|| coalesce(string_agg(role || ': ' || text || chr(10), '' ORDER BY turn) FILTER (role IN ('user', 'assistant')), '') || 'user: question' AS messages FROM conversations GROUP BY 1""")
 def message_lists(spark, d):
     history = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
     turns = F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    return history.select("conv_id", F.size(retrieval.message_list("rules", F.lit("context"), turns, F.lit("question"))).alias("n_messages"))
+    context = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("context "), "conv_id"))
+    listed = retrieval.message_list("rules", context, turns, F.lit("question"))
+    return history.select("conv_id", F.array_join(F.transform(listed, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("messages"))
 
 
 @query("""WITH a AS (SELECT item_id, ['Q' || item_id] || list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS a FROM benchmark)
 SELECT item_id, CAST(i AS INTEGER) AS chunk_no, chunk FROM (SELECT item_id, unnest(range(len(a))) AS i, unnest(a) AS chunk FROM a)""")
 def faq_chunks(spark, d):
     return retrieval.chunks(table(spark, d, "benchmark").withColumn("q", F.concat(F.lit("Q"), "item_id")), "item_id", "q", "text")
+
+
+# --- notifications, uploads, small values
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 = 0 OR event_id % 3 <> 0")
+def unread(spark, d):
+    read = F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 3 == 0)
+    return review.unread(table(spark, d, "events").select("event_id", read.alias("read"))).select("event_id")
+
+
+@query("SELECT o_orderkey, 'batch' AS found_by FROM orders WHERE o_custkey = 7 UNION ALL SELECT o_orderkey, 'id' FROM orders WHERE o_orderkey = 33")
+def rows_by_key(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    of = lambda df, how: df.select("o_orderkey", F.lit(how).alias("found_by"))
+    return of(review.with_value(orders, "o_custkey", 7), "batch").union(of(review.with_value(orders, "o_orderkey", 33, 1), "id"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE l_linenumber % 2 = 1 AND n <= 4")
+def batch_cap(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return review.within_cap(lines.filter("l_linenumber % 2 = 1"), lines.filter("l_linenumber % 2 = 0"), "l_orderkey", 4)
+
+
+@query("SELECT c_custkey, c_custkey % 5 <> 0 AND c_custkey % 2 = 0 AS may_enter FROM customer")
+def email_domain(spark, d):
+    k = F.col("c_custkey")
+    email = F.when(k % 5 != 0, F.concat(F.lit("u"), k, F.when(k % 2 == 0, "@clinic.example").otherwise("@notclinic.example")))
+    return table(spark, d, "customer").select("c_custkey", text.has_domain(email, "clinic.example").alias("may_enter"))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(p_name, 'ring') OR contains(p_type, 'ring')")
+def mentions(spark, d):
+    return table(spark, d, "part").filter(review.mentions(["p_name", "p_type"], "ring")).select("p_partkey")
+
+
+@query("SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AS complete, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 3 = 0 THEN 0 ELSE 2 END AS n_items FROM customer WHERE c_custkey % 11 <> 0")
+def complete_rows(spark, d):
+    k = F.col("c_custkey")
+    items = F.when(k % 7 == 0, F.lit(None)).when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b")))
+    rows = table(spark, d, "customer").select("c_custkey", items.alias("items"), F.when(k % 4 == 0, "").otherwise("x").alias("identifier"), F.when(k % 11 != 0, "done").alias("result"))
+    return review.succeeded(rows, "result").select("c_custkey", review.complete(rows, ["items", "identifier"]).alias("complete"), values.size_or_zero(F.col("items")).alias("n_items"))
+
+
+@query("SELECT role, CAST(sum(CASE WHEN turn % 4 = 0 THEN 0 ELSE length(text) END) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+def token_usage(spark, d):
+    rows = table(spark, d, "conversations").select("role", F.when(F.col("turn") % 4 != 0, F.length("text")).alias("usage"))
+    return retrieval.token_total(rows, "usage", ["role"])
+
+
+@query("SELECT user_id, bool_or(event_type = 'purchase') AS any_match, max(event_id) AS last_id FROM events GROUP BY 1")
+def any_match(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("any_match"), F.max("event_id").alias("last_id"))
+
+
+@query("SELECT p_partkey, 'Exame: ' || upper(p_name) || '. Similares: ' || upper(p_type) || ', ' || upper(p_brand) AS shown FROM part")
+def embedding_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.embedding_text(F.col("p_name"), F.concat_ws(",", "p_type", "p_brand")).alias("shown"))
+
+
+@query("SELECT event_id, printf('%.4f', value) AS score, left(sha256(user_id || chr(31) || event_id), 16) AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events")
+def scores_ids_turns(spark, d):
+    rows = progress.display_order(table(spark, d, "events"), "user_id", "ts", "event_id")
+    return rows.select("event_id", values.score_shown(F.col("value")).alias("score"), values.stable_id(F.col("user_id"), F.col("event_id")).alias("id"), F.col("turn").cast("long").alias("turn"))
+
+
+@query("""WITH t AS (SELECT c_custkey, ['', '-', 'abc', '12.5', '-3', '250', '7x', '.5'][c_custkey % 8 + 1] AS t FROM customer)
+SELECT c_custkey, t IN ('', '-', '12.5', '-3', '250', '.5') AS numeric, CASE WHEN t IN ('', '-') THEN 0 WHEN t = 'abc' THEN 42 ELSE least(greatest(least(CASE t WHEN '12.5' THEN 12.5 WHEN '-3' THEN -3 WHEN '250' THEN 250 WHEN '7x' THEN 7 ELSE 0.5 END, 100), 0), 60) END::DOUBLE AS low,
+CASE WHEN t IN ('', '-') THEN 0 WHEN t = 'abc' THEN 42 ELSE greatest(least(greatest(CASE t WHEN '12.5' THEN 12.5 WHEN '-3' THEN -3 WHEN '250' THEN 250 WHEN '7x' THEN 7 ELSE 0.5 END, 0), 100), 10) END::DOUBLE AS high FROM t""")
+def slider_values(spark, d):
+    t = F.get(F.array(*map(F.lit, ("", "-", "abc", "12.5", "-3", "250", "7x", ".5"))), (F.col("c_custkey") % 8).cast("int"))
+    entered = lambda **k: values.entered_value(t, F.lit(42.0), 0.0, 100.0, **k)
+    return table(spark, d, "customer").select("c_custkey", values.looks_numeric(t).alias("numeric"), entered(at_most=F.lit(60.0)).alias("low"), entered(at_least=F.lit(10.0)).alias("high"))
+
+
+@query("""SELECT c_custkey, c_custkey % 4 < 2 AS is_table, CASE WHEN c_custkey % 4 < 2 THEN c_name END AS first_name FROM customer""")
+def table_messages(spark, d):
+    k = F.col("c_custkey")
+    body = F.concat(F.lit('[{"exame": "'), "c_name", F.lit('", "status": "ok"}]'))
+    message = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n``` "))).when(k % 4 == 2, F.lit('[{"other": 1}]')).otherwise("[not json]")
+    rows = table(spark, d, "customer").select("c_custkey", text.table_rows(message, "exame", "struct<exame:string,status:string>").alias("rows"))
+    return rows.select("c_custkey", F.isnotnull("rows").alias("is_table"), F.get("rows", 0)["exame"].alias("first_name"))
+
+
+@query("SELECT c_custkey AS seq, CAST(c_custkey % 101 AS INTEGER) AS progress, c_name AS message FROM customer UNION ALL SELECT c_custkey + 1000000, 100, 'end' FROM customer WHERE c_custkey % 3 <> 0")
+def event_frames(spark, d):
+    """Two events a text: one over several lines, one on one line or broken."""
+    k = F.col("c_custkey")
+    first = F.concat(F.lit('event: x\ndata: {"seq": '), k, F.lit(',\ndata: "progress": '), k % 101, F.lit(', "message": "'), "c_name", F.lit('"}\r\n\r\n: note\n\n'))
+    second = F.when(k % 3 != 0, F.concat(F.lit('data: {"seq": '), k + 1_000_000, F.lit(', "progress": 100, "message": "end"}'))).otherwise(F.lit('data: {"seq": 1,'))
+    frames = tables.event_frames(table(spark, d, "customer").select(F.concat(first, second).alias("value")))
+    return frames.select("seq", "progress", "message")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN -1 ELSE event_id END AS id, CASE WHEN event_id % 4 <> 0 THEN ts END AS ts FROM events")
+def saved_values(spark, d):
+    """Values saved as JSON, some of them lost or broken."""
+    saved = F.when(F.col("event_id") % 8 == 0, F.lit("{broken")).when(F.col("event_id") % 4 != 0, tables.as_json("event_id", "ts"))
+    default = F.struct(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("timestamp").alias("ts"))
+    rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).select("event_id", tables.loaded(saved, "event_id long, ts timestamp", default).alias("v"))
+    return rows.select("event_id", F.col("v.event_id").alias("id"), F.col("v.ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""SELECT conv_id, turn, left(text, 50) AS preview, length(trim(text)) > 3 AS asks, CASE WHEN turn % 2 = 0 THEN '* ' || text ELSE text END AS answer, '- ' || role || chr(10) || '- x' AS bullets, CASE WHEN turn % 3 = 0 THEN role ELSE text END AS first_text FROM conversations""")
+def small_texts(spark, d):
+    turn, body = F.col("turn"), F.col("text")
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", text.preview(body).alias("preview"), retrieval.worth_asking(body).alias("asks"), retrieval.marked_answer(body, turn % 2 == 0).alias("answer"), text.bullet_lines(F.array(F.col("role"), F.lit("x"))).alias("bullets"),
+        text.first_nonempty(F.when(turn % 3 == 0, "").otherwise(body), F.col("role")).alias("first_text"),
+    )
+
+
+@query("SELECT 'tags' AS facet, t AS value, count(*) AS n FROM (SELECT unnest([event_type, 'u' || user_id % 3]) AS t FROM events) GROUP BY 2")
+def array_facets(spark, d):
+    rows = table(spark, d, "events").select(F.array("event_type", F.concat(F.lit("u"), F.col("user_id") % 3)).alias("tags"))
+    return review.facets(rows, ["tags"])
+
+
+@query("""WITH e AS (SELECT user_id AS process_id, event_id AS seq, CASE WHEN event_id % 47 = 0 THEN -1 ELSE CAST(event_id % 103 AS INTEGER) END AS p FROM events),
+t AS (SELECT process_id, min(seq) FILTER (p = -1 OR p >= 100) AS last, count(*) AS n_events FROM e GROUP BY 1),
+r AS (SELECT e.process_id, greatest(max(p), 0) AS progress, arg_max(p, seq) AS p, max(n_events) AS n_events FROM e JOIN t ON e.process_id = t.process_id WHERE last IS NULL OR seq <= last GROUP BY 1)
+SELECT process_id, CASE WHEN p = -1 THEN 'error' WHEN p >= 100 THEN 'completed' ELSE 'processing' END AS status, progress, CASE WHEN progress = 0 THEN 'upload' WHEN progress < 30 THEN 'ocr' WHEN progress < 60 THEN 'brnet' WHEN progress < 100 THEN 'validation' ELSE 'completed' END AS stage, n_events FROM r""")
+def process_states(spark, d):
+    told = F.when(F.col("event_id") % 47 == 0, -1).otherwise(F.col("event_id") % 103).cast("int")
+    return progress.process_states(table(spark, d, "events").select(F.col("user_id").alias("process_id"), F.col("event_id").alias("seq"), told.alias("progress")))

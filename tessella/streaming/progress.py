@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.functions.values import stage_of
+from tessella.functions.values import FIRST_PROGRESS, STAGES, stage_of
+from tessella.session import shared_path, ship_package
 
 PROCESS_OUT = "process_id string, status string, progress int, stage string, n_events bigint"
 PROCESS_STATE = "status string, progress int, stage string, n_events bigint"
-STAGES = ((0, "upload"), (1, "ocr"), (30, "brnet"), (60, "validation"), (100, "completed"))
+#: Milliseconds after its end in which a process is forgotten.
+KEPT = 5000
 
 
 def latest_states(events: DataFrame, by: str, ts: str, tie: str, columns: list[str]) -> DataFrame:
@@ -23,15 +23,6 @@ def latest_states(events: DataFrame, by: str, ts: str, tie: str, columns: list[s
     return events.groupBy(by).agg(F.max_by(F.struct(*columns), F.struct(ts, tie)).alias("s")).select(by, *[f"s.{c}" for c in columns])
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_table(states: DataFrame, name: str) -> DataFrame:
     """The streaming aggregate run over all there is, as a table in the shared folder: each batch writes the whole result anew, from executors to storage."""
     path = shared_path(states.sparkSession, name)
@@ -56,33 +47,52 @@ def daily(events: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     return source.groupBy(F.window(ts, "1 day").alias("day")).agg(F.count("*").alias("n")).select(F.col("day.start").alias("day"), "n")
 
 
-def _stage(progress: int) -> str:
-    return [name for least, name in STAGES if progress >= least][-1]
-
-
 def step_process(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One process: progress only grows, an error or completion is final until the timer clears the state."""
+    """One process: progress only grows, an error (-1) or completion is final until the timer clears the state."""
     if state.hasTimedOut:
         state.remove()
         return
-    status, progress, stage, n = state.get if state.exists else ("processing", 0, "upload", 0)
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    for value in rows["progress"]:
-        n += 1
-        if status in ("completed", "error"):
-            continue
-        if value == -1:
-            status = "error"
-        else:
-            progress = max(progress, int(value))
-            stage = _stage(progress)
-            status = "completed" if progress >= 100 else "processing"
+    status, progress, _, n = state.get if state.exists else ("processing", 0, "upload", 0)
+    told = pd.concat(list(batches)).sort_values("seq", kind="stable")["progress"].to_numpy()
+    if status == "processing":
+        ends = ((told == -1) | (told >= 100)).nonzero()[0]
+        open_ = told[: ends[0] + 1] if len(ends) else told
+        progress = max(progress, int(open_.max()))
+        if len(ends):
+            status = "error" if open_[-1] == -1 else "completed"
+    stage = [name for least, name in zip(FIRST_PROGRESS, STAGES) if progress >= least][-1]
+    n += len(told)
     state.update((status, progress, stage, n))
-    if status in ("completed", "error"):
-        state.setTimeoutDuration(5000)
+    if status != "processing":
+        state.setTimeoutDuration(KEPT)
     yield pd.DataFrame({"process_id": [key[0]], "status": [status], "progress": [progress], "stage": [stage], "n_events": [n]})
 
 
 def processes(events: DataFrame) -> DataFrame:
     """Streaming (process_id, seq, progress) -> the state of each process that had events, in update mode; five seconds after its end a process is forgotten."""
+    ship_package(events.sparkSession)
     return events.groupBy("process_id").applyInPandasWithState(step_process, PROCESS_OUT, PROCESS_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def process_states(events: DataFrame) -> DataFrame:
+    """What processes comes to over a whole table of events, without the timer; by aggregates only."""
+    end = F.min(F.when((F.col("progress") == -1) | (F.col("progress") >= 100), F.col("seq")))
+    ends = events.groupBy("process_id").agg(end.alias("end"), F.count("*").alias("n_events"))
+    rows = events.join(ends, "process_id").filter(F.col("end").isNull() | (F.col("seq") <= F.col("end")))
+    out = rows.groupBy("process_id").agg(F.greatest(F.max("progress"), F.lit(0)).alias("progress"), F.max_by("progress", "seq").alias("last"), F.max("n_events").alias("n_events"))
+    status = F.when(F.col("last") == -1, "error").when(F.col("last") >= 100, "completed").otherwise("processing")
+    return out.select("process_id", status.alias("status"), "progress", stage_of(F.col("progress")).alias("stage"), "n_events")
+
+
+def display_order(notifications: DataFrame, by: str, arrival: str, tie: str) -> DataFrame:
+    """With turn: the place of each in its queue, first come first shown, one at a time."""
+    return notifications.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(arrival, tie)))
+
+
+def write_events(events: DataFrame, path: str):
+    """A stream of events as server-sent lines ``data: {...}``, appended to text files in path batch by batch; each batch has its folder, so a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select(F.concat(F.lit("data: "), F.to_json(F.struct("*")), F.lit("\n")).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", shared_path(events.sparkSession, "events")).trigger(availableNow=True).start()

@@ -83,3 +83,49 @@ def test_sources(spark, tmp_path):
 def test_event_lines(spark):
     lines = spark.createDataFrame([('data: {"doc_id": "d", "seq": 1, "progress": 10}',), ("data: {broken",), (": comment",), ("",)], "value string")
     assert [(r["doc_id"], r["progress"]) for r in tables.event_lines(lines).collect()] == [("d", 10)]
+
+
+def test_sinks_come_back(spark, tmp_path):
+    from tessella.sources import tables
+
+    rows = spark.createDataFrame([("g1", "one\ntwo", [0.5, 1.0], "{}"), ("g2", "three", [2.0, 0.0], None)], "k string, t string, e array<double>, meta string")
+    tables.write_lists(rows.select("k", "e"), str(tmp_path / "lists"))
+    assert {tuple(r["e"]) for r in spark.read.json(str(tmp_path / "lists")).collect()} == {(0.5, 1.0), (2.0, 0.0)}
+    tables.write_page_texts(rows, str(tmp_path / "pages"), "t", "k")
+    assert {(r["path"].rsplit("/", 2)[-2], r["text"].strip()) for r in tables.read_pages(spark, str(tmp_path / "pages")).collect()} == {("k=g1", "one\ntwo"), ("k=g2", "three")}
+    tables.write_markdown(rows, str(tmp_path / "md"), "k", "t")
+    assert spark.read.parquet(str(tmp_path / "md")).count() == 2
+    tables.write_markdown(rows, str(tmp_path / "none"), "k", "t", wanted=False)
+    assert not (tmp_path / "none").exists()
+    tables.write_vectors(rows.select(F.lit(1).alias("vec_id"), F.col("e").alias("embedding"), "meta"), str(tmp_path / "v"))
+    assert tables.read_vectors(spark, str(tmp_path / "v")).schema.simpleString() == "struct<vec_id:bigint,embedding:array<float>,meta:string>"
+
+
+def test_embedding_is_retried_and_asked_once_a_text(spark, tmp_path):
+    from tessella.operators import vector
+
+    log = str(tmp_path / "calls")
+
+    def embed(texts):
+        with open(log, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        if sum(1 for _ in open(log)) < 4:
+            raise OSError("not yet")
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([("aa",), ("b",), ("aa",), (None,)], "name string")
+    got = vector.embedded(df.coalesce(1), "name", embed, wait=0.01).collect()
+    assert sorted(((r["name"], r["embedding"]) for r in got), key=str) == [("aa", [2.0]), ("aa", [2.0]), ("b", [1.0]), (None, None)]
+
+    def never(texts):
+        raise OSError("down")
+
+    assert {r["embedding"] for r in vector.embedded(df, "name", never, wait=0.01).collect()} == {None}
+
+
+def test_updates_to_null_and_blank_searches(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    changes = spark.createDataFrame([(1, None)], "k int, v string")
+    values = lambda **o: {r["k"]: r["v"] for r in review.updated(df, changes, "k", ["v"], **o).collect()}
+    assert values() == {1: "a", 2: None} and values(nulls=True) == {1: None, 2: None}
+    assert df.filter(review.text_filter("v", " ")).count() == 2

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 
 from tessella.plans import registry
+from tessella.sources import tables
 from tessella.streaming import progress
 
 
@@ -12,17 +13,37 @@ def test_process_states(spark, tmp_path):
     rows = [("a", i, p) for i, p in enumerate((0, 10, 30, 40, 60, 70, 90, 100))] + [("b", i, p) for i, p in enumerate((0, 45, 50, -1, 100))] + [("c", 0, 65), ("c", 1, 60)]
     schema = "process_id string, seq bigint, progress int"
     spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    batch = progress.process_states(spark.createDataFrame(rows, schema))
+    want = {"a": ("completed", 100, "completed", 8), "b": ("error", 50, "brnet", 5), "c": ("processing", 65, "validation", 2)}
+    states = lambda df: {r["process_id"]: (r["status"], r["progress"], r["stage"], r["n_events"]) for r in df.collect()}
+    assert states(batch) == want
     run = progress.processes(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("process_states").start()
-    try:
-        for _ in range(60):
-            run.processAllAvailable()
-            if spark.table("process_states").count() >= 3:
-                break
+
+    def wait(n):  # a query with timers is never idle, so its sink is asked
+        for _ in range(120):
+            if spark.table("process_states").count() >= n:
+                return
             time.sleep(0.5)
+        raise AssertionError("no rows in 60 s")
+
+    try:
+        wait(3)
+        assert states(spark.table("process_states")) == want
+        time.sleep(progress.KEPT / 1000 + 4)  # a and b are forgotten, c isn't
+        spark.createDataFrame([(p, 9, 70) for p in "abc"], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        wait(6)
+        later = sorted(tuple(r) for r in spark.table("process_states").collect())
     finally:
         run.stop()
-    got = {r["process_id"]: (r["status"], r["progress"], r["stage"], r["n_events"]) for r in spark.table("process_states").collect()}
-    assert got == {"a": ("completed", 100, "completed", 8), "b": ("error", 50, "brnet", 5), "c": ("processing", 65, "validation", 2)}
+    assert [r for r in later if r[4] in (1, 3)] == [("a", "processing", 70, "validation", 1), ("b", "processing", 70, "validation", 1), ("c", "processing", 70, "validation", 3)]
+
+
+def test_events_are_written_batch_by_batch(spark, tmp_path):
+    df = spark.createDataFrame([("d", k, 10 * k) for k in range(5)], "doc_id string, seq bigint, progress int")
+    df.repartition(2).write.json(str(tmp_path / "in"))
+    progress.write_events(spark.readStream.schema(df.schema).json(str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
+    lines = spark.read.text(str(tmp_path / "out")).select("value")
+    assert sorted(tables.event_lines(lines).select("doc_id", "seq", "progress").collect()) == sorted(df.collect())
 
 
 def test_latest_and_staged(spark):
