@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import shared_path as fresh_path
+from tessella.session import ship_package
+
+__all__ = ["fresh_path", "ship_package"]
+
 #: White space between words, as a Java and Python character class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,19 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-
-
 #: Spark's switch for removing a query's shuffle files as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -76,19 +63,6 @@ class Scratch:
                 self.drop(t)
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> SparkSession:
-    """Gives executors this package, once for each application: tasks import it by name."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tessella"), "zip", root, "tessella"))
-        _shipped.add(context.applicationId)
-    return spark
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -3,13 +3,15 @@
 Base kinds, leftmost and without overlap within a kind: ``email``, ``ip`` (parts at most 255), ``card`` (16 to 19
 digits that pass the Luhn test), ``phone`` (``+`` and 8 to 15 digits). Base spans are always reported.
 
-Method: a document's tokens (runs without white space) with a digit or an ``@`` are labelled as one of the kinds or
-none. Tokens next to each other share a potential, and so do repeated or similar ones however far apart (equal
-digits, or equal letters and digits); each is linked to the one before it, so the links grow with the tokens.
-Sum-product messages are passed over this loopy graph for a fixed number of rounds, and tokens whose best label has
-a marginal of at least ``LEAST_MARGINAL`` give spans: joined with neighbours of the same label, trimmed of
-punctuation, and kept if they have the digits that the kind needs and overlap no base span. Other tokens have no
-label, which is part of the model, so chains end there.
+Method: a document's tokens (runs without white space) with a digit, an ``@`` or a spelled-out one such as ``[at]``,
+and the neighbours of the latter, are labelled as one of the kinds or none. What speaks for a label is a token's shape,
+the words before it in four languages, and the base spans it lies in. Tokens next to each other share a potential, and
+so do repeated or similar ones however far apart (equal digits, or equal letters and digits): each is linked to the
+first of its like, so evidence at any of them reaches all by two links. Sum-product messages are passed over this loopy
+graph until they stay the same, for ``ROUNDS`` rounds at most, and tokens whose best label has a marginal of at least
+``LEAST_MARGINAL`` give spans: joined with neighbours of the same label, trimmed of punctuation, without those that
+overlap a base span or have too few or too many digits for a value of the kind. No pattern has a say in what the field
+finds. Other tokens have no label, which is part of the model, so chains end there.
 
 The weights are fitted when first used, by pseudo-likelihood on ``TRAINING_TEXTS`` generated texts with known
 spans, a fixed bound; the corpus isn't needed for it.
@@ -21,8 +23,8 @@ output.
 
 from __future__ import annotations
 
+import bisect
 import functools
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import ship_package, table
 
 KINDS = ("email", "ip", "card", "phone")
-TRAINING_TEXTS, ROUNDS, LEAST_MARGINAL = 4000, 6, 0.9
+TRAINING_TEXTS, ROUNDS, LEAST_MARGINAL = 4000, 60, 0.8
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 EMAIL = rf"{LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -82,28 +84,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-CUES = ("mail email e-mail contact write", "ip host server address ping", "card visa credit debit payment pan", "phone tel call mobile fax number")
+GLUED = re.compile(r"[A-Za-z0-9][\[({]at[\])}][A-Za-z0-9]")
+CUES = (
+    "mail email e-mail contact write kontakt schreiben courriel contacter écrire correo escribir", "ip host server address ping adresse rechner serveur servidor dirección",
+    "card visa credit debit payment pan karte kreditkarte zahlung carte crédit paiement tarjeta crédito pago", "phone tel call mobile fax number ring telefon anrufen handy nummer mobil téléphone appeler appelez portable numéro teléfono llame llamar móvil número",
+)
+#: An @ or a dot spelled out.
+SPELLED = re.compile(r"^[\[({<](?:at|AT|arroba|dot|DOT|punkt|point|punto)[\])}>]$")
 CUE_OF = {w: k for k, words in enumerate(CUES) for w in words.split()}
 STRIP = ".,;:!?\"'()[]{}<>"
 SHAPES = (
     r"@", r"@[^@]+\.[A-Za-z]", r"^\+", r"^\(?\d{2,4}\)?$", r"^\d+$", r"^\d{13,19}$", r"^\d{4}$", r"^\d{4}([ -]\d{4}){3}", r"^(\d{4}\.){3}\d{4}$", r"^\d{1,3}(\.\d{1,3}){3}(:\d+)?$", r"^\d{1,3}(\.\d{1,3}){3}/\d+$",
-    r"^\(?\d{3}\)?[-. ]?\d{3}[-. ]\d{4}$", r"^\d{3}[-.]\d{4}$", r"^\d{4}-\d{2}-\d{2}", r"^\d{1,2}[/.]\d{1,2}[/.]\d{2,4}$", r"^[$€£]", r"%$", r"[A-Za-z]", r"^v?\d+\.\d+(\.\d+)?$", r"^\d{1,3}(,\d{3})+", r"-", r"\(", r"\.", r":",
+    r"^\(?\d{3}\)?[-. ]?\d{3}[-. ]\d{4}$", r"^\d{2}$", r"^0\d+$", r"^\d{3}$", r"^\d{6,12}$", r"^\d{2}([.-]\d{2}){3,4}$", r"^\d{3,5}[/-]\d{5,9}$", r"^0\d{1,4}[.-]\d", r"[A-Za-z]\(at\)[A-Za-z]|[A-Za-z]\[at\][A-Za-z]", r"^\d{3}[-.]\d{4}$", r"^\d{4}-\d{2}-\d{2}", r"^\d{1,2}[/.]\d{1,2}[/.]\d{2,4}$", r"^[$€£]", r"%$", r"[A-Za-z]", r"^v?\d+\.\d+(\.\d+)?$", r"^\d{1,3}(,\d{3})+", r"-", r"\(", r"\.", r":",
 )
 SHAPE_OF = [re.compile(s) for s in SHAPES]
-N_FEATURES = 1 + len(SHAPES) + 8 + 2 * len(CUES) + 1
+CUED = 4  # tokens before one that are looked at
+N_FEATURES = 1 + len(SHAPES) + 8 + CUED * len(CUES) + 4 + len(KINDS) + 1
 N_LABELS = len(KINDS) + 1
 
 
 class Graph:
     """A text's labelled tokens: spans, features, links to the token before (chain) and to the same or a similar one (skip)."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, base: list[tuple[int, int, int]]):
         all_tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-        self.at = [k for k, (a, b) in enumerate(all_tokens) if HINT.search(text, a, b)]
+        spelled = {k for k, (a, b) in enumerate(all_tokens) if text[a] in "[({<" and SPELLED.match(text[a:b])} if any(c in text for c in "[({<") else set()
+        near = {k + d for k in spelled for d in (-1, 0, 1) if 0 <= k + d < len(all_tokens)}
+        self.at = [k for k, (a, b) in enumerate(all_tokens) if k in near or HINT.search(text, a, b) or "at" in text[a:b] and GLUED.search(text, a, b)]
+        marked = sorted((s, e, kind) for kind, s, e in base)
+        starts = [s for s, _, _ in marked]
         self.spans = [all_tokens[k] for k in self.at]
         n = len(self.at)
         x = np.zeros((n, N_FEATURES), np.float32)
-        chain, skip, last = [], [], {}
+        chain, skip, first = [], [], {}
         for i, k in enumerate(self.at):
             a, b = all_tokens[k]
             core = text[a:b].strip(STRIP.replace("(", "").replace(")", ""))
@@ -112,21 +125,27 @@ class Graph:
             row[0] = 1
             for s, shape in enumerate(SHAPE_OF):
                 row[1 + s] = shape.search(core) is not None
-            base = 1 + len(SHAPES)
-            row[base + min(7, digits // 3)] = 1
-            for side, j in enumerate((k - 1, k - 2)):
-                if j >= 0:
-                    word = text[slice(*all_tokens[j])].strip(STRIP + "=").lower()
+            at = 1 + len(SHAPES)
+            row[at + min(7, digits // 3)] = 1
+            for side in range(CUED):
+                if k - side > 0:
+                    word = text[slice(*all_tokens[k - side - 1])].strip(STRIP + "=").lower()
                     if word in CUE_OF:
-                        row[base + 8 + side * len(CUES) + CUE_OF[word]] = 1
+                        row[at + 8 + side * len(CUES) + CUE_OF[word]] = 1
+            at += 8 + CUED * len(CUES)
+            row[at : at + 4] = k in spelled, k + 1 in spelled, k - 1 in spelled, k - 1 in spelled and "." in core
+            for j in range(max(0, bisect.bisect_left(starts, b) - 6), bisect.bisect_left(starts, b)):
+                if marked[j][1] > a:
+                    row[at + 4 + marked[j][2]] = 1
             row[-1] = digits == len(core) and digits >= 13 and luhn(core)
             if i and self.at[i - 1] == k - 1:
                 chain.append((i - 1, i))
             plain = "".join(c for c in core if "0" <= c <= "9")
             key = plain if len(plain) >= 7 and "@" not in core else core.lower()
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
+            if key in first:
+                skip.append((first[key], i))
+            else:
+                first[key] = i
         self.x, self.chain, self.skip = x, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
     def links(self, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +169,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def marginals(graph: Graph, weights: Weights, rounds: int = ROUNDS) -> np.ndarray:
-    """Label chances of each token after so many rounds of sum-product messages, damped by half."""
+    """Label chances of each token by sum-product messages, damped by half, until they stay the same or for so many rounds."""
     unary = graph.x @ weights.unary
     source, target, potential = graph.links(weights)
     m = len(source)
@@ -165,7 +184,11 @@ def marginals(graph: Graph, weights: Weights, rounds: int = ROUNDS) -> np.ndarra
         out = (belief[source] - message[back])[:, :, None] + potential
         top = out.max(1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        message = (message + new - new.max(1, keepdims=True)) / 2
+        new -= new.max(1, keepdims=True)
+        still = np.abs(new - message).max() < 1e-3
+        message = (message + new) / 2
+        if still:
+            break
     belief = unary.astype(float).copy()
     np.add.at(belief, target, message)
     return softmax(belief)
@@ -179,25 +202,34 @@ def training_text(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     said: list[tuple[str, int]] = []
 
     def card() -> str:
-        body = d(15)
+        n = rng.choice((16, 16, 16, 15, 18, 19))
+        body = d(n - 1)
         digits = next(body + str(k) for k in range(10) if luhn(body + str(k)))
-        return rng.choice((digits, digits, ".".join(digits[k : k + 4] for k in range(0, 16, 4)), " ".join(digits[k : k + 4] for k in range(0, 16, 4))))
+        return rng.choice((digits, digits, *(sign.join(digits[k : k + 4] for k in range(0, n, 4)) for sign in ". ")))
+
+    def phone() -> str:
+        a, b, c = d(3), d(3), d(4)
+        pairs = [d(2) for _ in range(4)]
+        return rng.choice((
+            f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d(11)}", f"0{d(1)} {' '.join(pairs)}", f"0{d(1)}.{'.'.join(pairs)}", f"0{d(1)}{''.join(pairs)}",
+            f"0{d(2)} {d(7)}", f"0{d(3)}/{d(6)}", f"{b}-{c}", f"{d(4)}-{c}", f"+{d(2)} {d(2)} {d(4)}-{c}", f"{a} {b} {d(3)}", f"{a} {d(2)} {d(2)} {d(2)}", f"00{d(2)} {d(3)} {d(7)}",
+        ))
 
     def entity() -> tuple[str, int]:
         kind = rng.randrange(4)
         octets = [str(rng.randint(0, 255)) for _ in range(4)]
-        a, b, c = d(3), d(3), d(4)
+        sign, dot = rng.choice((("[at]", "[dot]"), ("(at)", "(dot)"), ("{at}", "{dot}")))
         return (
-            lambda: rng.choice((f"{word()}.{d(2)}@{word()}.example.com", f"{word()}@{word()}.org", f"{word()}{d(3)}@{word()}", f"mailto:{word()}@{word()}.net")),
+            lambda: rng.choice((f"{word()}.{d(2)}@{word()}.example.com", f"{word()}@{word()}.org", f"{word()}{d(3)}@{word()}", f"mailto:{word()}@{word()}.net", f"{word()} {sign} {word()}.org", f"{word()}{sign}{word()}.com", f"{word()} {sign} {word()} {dot} com")),
             lambda: ".".join(octets) + rng.choice(("", "", ":" + d(4), "/24")),
             card,
-            lambda: rng.choice((f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d(11)}")),
+            phone,
         )[kind](), kind
 
     def other() -> str:
         return rng.choice((
             f"{rng.randint(1900, 2030)}", f"{rng.randint(1, 99)}", f"{d(4)}-{d(2)}-{d(2)}", f"{rng.randint(1, 31)}/{rng.randint(1, 12)}/{d(4)}", f"${d(3)}.{d(2)}", f"{d(2)}%", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}",
-            f"{word()}{d(3)}", d(rng.randint(5, 12)), d(16), f"{d(3)}.{d(2)}", f"@{word()}", f"{d(2)}:{d(2)}", f"{word()}-{d(4)}", f"{d(8)}-{d(4)}-{d(4)}", f"{d(3)}-{d(10)}", f"({d(4)})", f"{word()}={d(8)}", f"{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}", "".join(rng.choice("0123456789abcdef") for _ in range(32)), f"{d(3)}:{d(4)}",
+            f"{word()}{d(3)}", d(rng.randint(5, 12)), d(16), f"{d(3)}.{d(2)}", f"@{word()}", f"{d(2)}:{d(2)}", f"{word()}-{d(4)}", f"{d(8)}-{d(4)}-{d(4)}", f"{d(3)}-{d(10)}", f"({d(4)})", f"{word()}={d(8)}", f"{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}", "".join(rng.choice("0123456789abcdef") for _ in range(32)), f"{d(3)}:{d(4)}", f"{d(2)} {d(2)}", f"{d(3)} {d(3)}", f"{rng.randint(1, 31)} {word()} {d(4)}", f"[{d(2)}]", f"({word()})", f"{d(1)}-{d(2)}", f"{d(3)}-{d(4)}", f"{d(4)}-{d(4)}", f"{d(4)}-{d(5)}", f"{d(4)}-{d(3)}", f"{d(2)} {d(2)} {d(2)}", f"{d(4)} {d(4)}", "[at]", "(at)", f"{word()} {d(3)} {d(2)}", d(10), f"0{d(5)}", f"{d(3)} {d(3)} {d(3)}",
         ))
 
     for _ in range(rng.randint(1, 8)):
@@ -206,11 +238,15 @@ def training_text(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         if roll < 0.4:
             e = entity()
             said.append(e)
-            if rng.random() < 0.3:
+            # a value that other numbers look like is told by a word before it
+            if rng.random() < (0.3 if e[1] != 3 or e[0][0] in "+(" or len(e[0]) > 13 else 0.9):
                 parts.append((rng.choice(CUES[e[1]].split()) + rng.choice(("", ":")), -1))
+                parts += [(word(), -1) for _ in range(rng.choice((0, 0, 0, 1, 2, 3)))]
             parts.append(e)
-        elif roll < 0.5 and said:
-            parts.append(rng.choice(said))
+        elif roll < 0.6 and said:
+            value, kind = rng.choice(said)
+            tail = value.split()[-1]
+            parts += [(tail if kind == 3 and sum("0" <= c <= "9" for c in tail) >= 7 else value, kind)] * rng.choice((1, 1, 1, 2, 6))
         else:
             parts.append((other(), -1))
     text, spans = "", []
@@ -229,7 +265,7 @@ def trained(texts: int = TRAINING_TEXTS, seed: int = 11, steps: int = 300) -> We
     xs, ys, sums = [], [], [[], [], []]  # features, labels, counts of neighbours' labels before, after and by skip links
     for _ in range(texts):
         text, spans = training_text(rng)
-        graph = Graph(text)
+        graph = Graph(text, base_spans(text))
         n = len(graph.at)
         y = np.zeros(n, np.int64)
         for i, (a, b) in enumerate(graph.spans):
@@ -259,14 +295,12 @@ def trained(texts: int = TRAINING_TEXTS, seed: int = 11, steps: int = 300) -> We
     return Weights(w, c, s)
 
 
-#: What a span of the method needs: a pattern that it has throughout.
-NEEDS = (
-    re.compile(r"(?:mailto:)?[^\s@]+@[^\s@]+\.[A-Za-z]{2,}"), re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?::\d+|/\d+)?"), re.compile(r"\d{4}(?:[ .-]?\d{4}){3}"), re.compile(r"\+?\d{0,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}"),
-)
+#: Digits that a value of each kind has, at least and at most.
+DIGITS = ((0, 99), (4, 17), (13, 19), (6, 15))
 
 
 def model_spans(text: str, base: list[tuple[int, int, int]], weights: Weights) -> list[tuple[int, int, int]]:
-    graph = Graph(text)
+    graph = Graph(text, base)
     chance = marginals(graph, weights)
     best = chance.argmax(1)
     best[chance.max(1) < LEAST_MARGINAL] = 0
@@ -285,7 +319,8 @@ def model_spans(text: str, base: list[tuple[int, int, int]], weights: Weights) -
             while a < b and text[b - 1] in STRIP:
                 b -= 1
             under = np.searchsorted(taken[:, 0], b) if len(taken) else 0
-            if a < b and not (under and reach[under - 1] > a) and NEEDS[best[i] - 1].fullmatch(text, a, b) and (best[i] != 3 or luhn(re.sub(r"[ .-]", "", text[a:b]))):
+            least, most = DIGITS[best[i] - 1]
+            if a < b and not (under and reach[under - 1] > a) and least <= sum("0" <= c <= "9" for c in text[a:b]) <= most:
                 out.append((int(best[i]) - 1, a, b))
         i = j
     return out
@@ -294,7 +329,7 @@ def model_spans(text: str, base: list[tuple[int, int, int]], weights: Weights) -
 def find(text: str, weights: Weights) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and the method's."""
     base = base_spans(text)
-    return base, model_spans(text, base, weights) if HINT.search(text) else []
+    return base, model_spans(text, base, weights) if HINT.search(text) or any(x in text for x in ("at]", "at)", "at}")) else []
 
 
 def spans_of(df: DataFrame, text: Column) -> Column:
