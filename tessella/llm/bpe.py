@@ -27,15 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import ship_package, table
+from tessella.llm.common import releasing, ship_package, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A worker keeps up to twice so many pre-tokens with their ids, those in use lately, from task to task.
-CACHE_ENTRIES = 60_000
+CACHE_ENTRIES = 40_000
 #: Pre-tokens of up to so many bytes are merged together.
 SHORT = 64
 #: Characters of text that are encoded, and whose ids are passed on, at once; a longer text alone is one piece.
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 500_000
 
 
 class RankQueue:
@@ -324,7 +324,7 @@ def round_trip(df: DataFrame, text: str = "text", ids: bool = True, name: str =
                 digests = [pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (found, decoded)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int64()), *digests], names=names)
 
-    return df.select(*[F.col(f"`{f.name}`").alias(f"_{k}") for k, f in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`").alias(f"_{k}") for k, f in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(releasing(run), schema)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

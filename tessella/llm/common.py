@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +23,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Spark's switch for removing a query's shuffle files as soon as the query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its query's shuffle files go as soon as the query has ended, and tasks get rows in small batches.
+WHILE_WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read back: cuts the lineage and survives lost executors. What the write shuffled is removed at once."""
     spark, path = df.sparkSession, path or fresh_path(df.sparkSession, name)
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in WHILE_WRITTEN}
+    for key, value in WHILE_WRITTEN.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def releasing(run):
+    """run, a function of a task's batches, giving free memory back to the machine when the task ends: a worker outlives its tasks and keeps what it once needed."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table in the shared folder, through Spark's own access to it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ship_package, small_or_shuffled, table, text_or_empty, written
+from tessella.llm.common import releasing, ship_package, small_or_shuffled, table, text_or_empty, written
 from tessella.llm.shingles import U, mix, pieces, windows, words
 
 SIZE, LEAST_LITERAL, LEAST_WORDS, COVERAGE, WORDS_COVERED, RUN = 8, 4, 5, 0.5, 0.7, 13
@@ -128,7 +128,7 @@ def window_rows(texts: DataFrame, sizes: list[int], least_literal: int, known: n
                     columns = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0]))] + [pa.array(c, f.type) for c, f in zip(columns[1:], arrow)], names=["id", *arrow.names])
 
-    return texts.mapInArrow(run, f"id {id_field.dataType.simpleString()}, form int, size int, pos long, hash long, slots array<string>, tokens long")
+    return texts.mapInArrow(releasing(run), f"id {id_field.dataType.simpleString()}, form int, size int, pos long, hash long, slots array<string>, tokens long")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE,

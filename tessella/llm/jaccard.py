@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessella.llm.common import Scratch, ship_package, small_or_shuffled, table, text_or_empty, written
+from tessella.llm.common import Scratch, releasing, ship_package, small_or_shuffled, table, text_or_empty, written
 from tessella.llm.components import components
 from tessella.llm.shingles import U, mix, set_hash, shingle_sets
 
@@ -126,7 +126,7 @@ def profiles(docs: DataFrame, id_type: str, size: int) -> DataFrame:
         if kept:
             yield from counted(kept, arrow)
 
-    return docs.mapInArrow(run, f"id {id_type}, th long, n long, node long, second long, bucket long, token long, count long")
+    return docs.mapInArrow(releasing(run), f"id {id_type}, th long, n long, node long, second long, bucket long, token long, count long")
 
 
 def gathered_weights(rows: DataFrame) -> np.ndarray:
@@ -178,7 +178,7 @@ def prefix_rows(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
             if tokens:
                 yield batch_of(tokens, nodes, sizes)
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n long")
+    return docs.select("text").mapInArrow(releasing(run), "token long, node long, n long")
 
 
 def node_marks(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
@@ -198,7 +198,7 @@ def node_marks(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
             lists = [pa.array(maps, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["node", "n", "bitmap", "b", "c"])
 
-    return docs.select("text").mapInArrow(run, "node long, n long, bitmap array<long>, b array<int>, c array<int>")
+    return docs.select("text").mapInArrow(releasing(run), "node long, n long, bitmap array<long>, b array<int>, c array<int>")
 
 
 def node_texts(docs: DataFrame, shared, size: int) -> DataFrame:
@@ -215,7 +215,7 @@ def node_texts(docs: DataFrame, shared, size: int) -> DataFrame:
                     at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], names=["node", "text"])
 
-    return docs.select("text").mapInArrow(run, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    return docs.select("text").mapInArrow(releasing(run), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -282,7 +282,7 @@ def compared(pairs: DataFrame, names: DataFrame, docs: DataFrame, scratch: Scrat
                 none = [pa.nulls(sum(times), arrow.field(c).type) for c in (3, 4, 5, 6)]
                 yield pa.RecordBatch.from_arrays([*flat, *none, pa.array(np.concatenate([t for *_, t in more]))], schema=arrow)
 
-    return scratch.written(rows.mapInArrow(compare, "leader long, x long, n long, n_leader long, shared long, linked boolean, rest boolean, token long"), "compared")
+    return scratch.written(rows.mapInArrow(releasing(compare), "leader long, x long, n long, n_leader long, shared long, linked boolean, rest boolean, token long"), "compared")
 
 
 def candidate_lists(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
