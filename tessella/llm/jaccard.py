@@ -396,3 +396,23 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def op5_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: All pairs of sets of fitting size that share a shingle are compared, which only small tables allow.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w WHERE len(words) >= 5),
+g AS (SELECT DISTINCT doc_id, concat_ws(' ', word, w2, w3, w4, w5) AS shingle
+      FROM (SELECT doc_id, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4, lead(word, 4) OVER o AS w5 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE w5 IS NOT NULL
+      UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+s AS (SELECT doc_id, list(shingle ORDER BY shingle) AS shingles FROM g GROUP BY doc_id),
+k AS (SELECT shingles, min(doc_id) AS node, len(shingles) AS n FROM s GROUP BY shingles),
+t AS (SELECT node, n, unnest(shingles) AS shingle FROM k),
+l AS (SELECT a.node AS x, b.node AS y FROM t a JOIN t b ON a.shingle = b.shingle AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT node, node AS other FROM k UNION SELECT c.node, e.y FROM c JOIN e ON c.other = e.x),
+m AS (SELECT node, min(other) AS component_id FROM c GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(len(s.shingles), 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN k ON s.shingles = k.shingles LEFT JOIN m ON k.node = m.node
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, decontam, html_extract, jaccard, pii, quality, secret_scan, url_filter, warc
+from tessella.llm import bpe, chat, decontam, html_extract, jaccard, parts, pii, quality, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -20,5 +20,9 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
+    "op5_near_components": jaccard.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
 }
+
+#: Columns of op3, op4, op6 and op9 that SQL can express, and their SQL.
+PARTS, PARTS_SQL = parts.QUERIES, parts.ORACLE_SQL
