@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, decontam, html_extract, jaccard, parts, pii, quality, secret_scan, url_filter, warc
+from tessella.llm import bpe, chat, decontam, html_extract, jaccard, merkle, parts, pii, quality, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_pii": pii.op9_pii,
     "op10_main_text": html_extract.op10_main_text,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLE_SQL = {
@@ -22,6 +23,7 @@ ORACLE_SQL = {
     "op2_quality": quality.OP2_SQL,
     "op5_near_components": jaccard.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
 
 #: Columns of op3, op4, op6 and op9 that SQL can express, and their SQL.
