@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, decontam, html_extract, jaccard, merkle, parts, pii, quality, secret_scan, url_filter, warc
+from tessella.llm import bpe, chat, collocation, decontam, html_extract, jaccard, merkle, parts, pii, quality, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_main_text": html_extract.op10_main_text,
     "op11_merkle": merkle.op11_merkle,
+    "op13_collocations": collocation.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -24,6 +25,7 @@ ORACLE_SQL = {
     "op5_near_components": jaccard.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op13_collocations": collocation.OP13_SQL,
 }
 
 #: Columns of op3, op4, op6 and op9 that SQL can express, and their SQL.
