@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, collocation, decontam, html_extract, jaccard, merkle, parts, pii, quality, secret_scan, url_filter, warc
+from tessella.llm import bpe, chat, collocation, decontam, html_extract, jaccard, merkle, parts, pii, quality, secret_scan, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_main_text": html_extract.op10_main_text,
     "op11_merkle": merkle.op11_merkle,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_collocations": collocation.op13_collocations,
 }
 
