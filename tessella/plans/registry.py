@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import documents, text, values
 from tessella.operators import reconcile, retrieval, review, vector
+from tessella.session import shared_path, stored
 from tessella.sources import tables
 from tessella.sources.tables import table
-from tessella.streaming import progress
+from tessella.sources.versioned import Keyed
+from tessella.streaming import frames, machine, progress
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -290,15 +292,18 @@ def keyed_update(spark, d):
     return review.updated(orders, changes, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("""WITH l AS (SELECT l_orderkey, list(DISTINCT p_type) FILTER (l_linenumber % 2 = 1) AS a, list(DISTINCT p_type) FILTER (l_linenumber % 2 = 0) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
-SELECT l_orderkey, array_to_string(list_sort(list_intersect(a, b)), ',') AS both_sides, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS only_required, array_to_string(list_sort(list_distinct(a || b)), ',') AS either
-FROM l WHERE a IS NOT NULL AND b IS NOT NULL""")
+@query("""WITH l AS (SELECT l_orderkey, coalesce(list(DISTINCT p_type) FILTER (l_linenumber % 2 = 1), []) AS a, coalesce(list(DISTINCT p_type) FILTER (l_linenumber % 2 = 0), []) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_sort(list_intersect(a, b)), ',') AS both_sides, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS only_required,
+array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS only_received, array_to_string(list_sort(list_distinct(a || b)), ',') AS either FROM l""")
 def set_operations(spark, d):
+    """Required against received types of every order, also of those with one side only."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     side = lambda odd: F.collect_set(F.when(F.col("l_linenumber") % 2 == odd, F.col("p_type")))
-    sets = rows.groupBy("l_orderkey").agg(side(1).alias("a"), side(0).alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
+    sets = rows.groupBy("l_orderkey").agg(side(1).alias("a"), side(0).alias("b"))
     shown = lambda c: F.array_join(F.array_sort(c), ",")
-    return sets.select("l_orderkey", shown(F.array_intersect("a", "b")).alias("both_sides"), shown(F.array_except("a", "b")).alias("only_required"), shown(F.array_union("a", "b")).alias("either"))
+    return sets.select(
+        "l_orderkey", shown(F.array_intersect("a", "b")).alias("both_sides"), shown(F.array_except("a", "b")).alias("only_required"), shown(F.array_except("b", "a")).alias("only_received"), shown(F.array_union("a", "b")).alias("either")
+    )
 
 
 # --- aggregates and windows
@@ -399,7 +404,84 @@ def stream_progress(spark, d):
     source = table(spark, d, "events")
     events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parquet*")
     states = progress.latest_states(events, "user_id", "ts", "event_id", ["event_id", "event_type", "value"])
-    return progress.run_to_table(states, "latest")
+    return progress.run_to_table(states, "latest", "user_id")
+
+
+_KINDS = {"purchase": "start", "signup": "complete", "error": "fail"}
+_KEPT = 43_200.0
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT user_id, event_id AS seq, epoch_us(ts) AS us, CASE event_type WHEN 'purchase' THEN 'start' WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'update' END AS kind,
+  'p' || event_id % 2 AS pid, CAST(event_id % 100 AS INTEGER) AS told, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, 0 AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, false AS taken, NULL::VARCHAR AS pid, NULL::VARCHAR AS status, NULL::INTEGER AS progress, []::BIGINT[] AS timers FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, i, seq, kind, ok, CASE WHEN ok AND kind = 'start' THEN new_pid ELSE pid END,
+    CASE WHEN NOT ok OR kind = 'update' THEN status WHEN kind = 'start' THEN 'processing' WHEN kind = 'complete' THEN 'completed' ELSE 'error' END,
+    CASE WHEN NOT ok OR kind = 'fail' THEN progress WHEN kind = 'start' THEN 0 WHEN kind = 'complete' THEN 100 ELSE told END,
+    CASE WHEN ok AND kind IN ('complete', 'fail') THEN list_append(left_over, us + {int(_KEPT)}000000) ELSE left_over END
+  FROM (SELECT *, coalesce(kind = 'start' OR new_pid = pid, false) AS ok FROM
+    (SELECT s.user_id, c.i, c.seq, c.kind, c.us, c.told, c.pid AS new_pid, list_filter(timers, lambda t: t > c.us) AS left_over, len(list_filter(timers, lambda t: t <= c.us)) > 0 AS fired,
+       CASE WHEN fired THEN NULL ELSE s.pid END AS pid, CASE WHEN fired THEN NULL ELSE s.status END AS status, CASE WHEN fired THEN NULL ELSE s.progress END AS progress FROM s JOIN c ON c.user_id = s.user_id AND c.i = s.i + 1)))
+SELECT user_id, seq, kind, taken, pid AS process_id, status, coalesce(progress, -1) AS progress, CASE WHEN progress = 0 THEN 'upload' WHEN progress < 30 THEN 'ocr' WHEN progress < 60 THEN 'brnet' WHEN progress < 100 THEN 'validation' WHEN progress = 100 THEN 'completed' END AS stage FROM s WHERE i > 0""")
+def process_display(spark, d):
+    """The process machine as a stream over all events, each a command: what its session shows after it."""
+    source = table(spark, d, "events")
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])[F.col("event_type")], F.lit("update"))
+    commands = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*").select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"),
+        F.concat(F.lit("p"), F.col("event_id") % 2).alias("process_id"), (F.col("event_id") % 100).cast("int").alias("progress"),
+    )
+    rows = progress.run_to_rows(machine.displays(commands, _KEPT), "displays").filter("kind <> 'clear'")
+    return rows.select(F.col("session").cast("long").alias("user_id"), "seq", "kind", "taken", "process_id", "status", F.coalesce("progress", F.lit(-1)).alias("progress"), "stage")
+
+
+_FRAMES = """WITH a AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents)
+SELECT doc_id, CAST(i AS BIGINT) AS position, CAST(i AS BIGINT) AS seq, md5(line) AS message FROM (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM a)"""
+
+
+def _frame_chunks(spark, d):
+    """Each document's lines as events of one connection, its bytes cut into chunks of some hundred, wherever that falls."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" ")) != "")
+    event = lambda x, i: F.concat(F.lit("data: "), F.to_json(F.struct(i.alias("seq"), x.alias("message"))), F.lit("\r\n\r\n"))
+    rows = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(lines, event), "").alias("body"))
+    return frames.cut_in_chunks(rows, "doc_id", "body", F.col("doc_id") % 101 + 500)
+
+
+def _frame_events(framed: DataFrame) -> DataFrame:
+    parsed = F.from_json(F.substr("frame", F.lit(7)), "seq bigint, message string")
+    return framed.filter(F.startswith("frame", F.lit("data: "))).select(F.col("connection").cast("long").alias("doc_id"), "position", parsed.alias("e")).select("doc_id", "position", "e.seq", F.md5(F.col("e.message").cast("binary")).alias("message"))
+
+
+@query(_FRAMES)
+def framed_events(spark, d):
+    """Events of byte chunks cut anywhere, of a table."""
+    return _frame_events(frames.framed(_frame_chunks(spark, d)))
+
+
+@query(_FRAMES)
+def framed_stream(spark, d):
+    """The same by a stream of four batches that each have every fourth chunk, so most chunks wait for others."""
+    path = shared_path(spark, "chunks")
+    for k in range(4):
+        _frame_chunks(spark, d).filter(F.col("number") % 4 == 3 - k).coalesce(1).write.mode("append").parquet(path)
+    chunks = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _frame_events(progress.run_to_rows(frames.framed_stream(chunks), "frames"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderdate >= '1998-01-01' AND o_orderkey % 3 = 0 THEN 'rejected' WHEN o_orderkey % 50 = 0 THEN 'approved' ELSE o_orderstatus END AS state,
+CASE WHEN o_orderdate >= '1998-01-01' AND o_orderkey % 3 = 0 THEN o_orderpriority END AS reason FROM orders UNION ALL SELECT -o_orderkey, 'new', NULL FROM orders WHERE o_orderkey % 1000 = 1""")
+def keyed_upsert(spark, d):
+    """Approvals, then rejections with a reason, then new rows change a keyed table in place; the approvals come twice."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state"), F.lit(None).cast("string").alias("reason"), "o_orderdate", "o_orderpriority")
+    shown = lambda rows, state: rows.select("o_orderkey", F.lit(state).alias("state"), F.lit(None).cast("string").alias("reason"))
+    keyed = Keyed(spark, shared_path(spark, "reviews"), orders.select("o_orderkey", "state", "reason").schema, "o_orderkey", 16)
+    changed = lambda old, new: review.updated(old, new, "o_orderkey", ["state", "reason"]).unionByName(new.join(old, "o_orderkey", "left_anti"))
+    approved = shown(orders.filter("o_orderkey % 50 = 0"), "approved")
+    rejected = orders.filter("o_orderdate >= '1998-01-01' AND o_orderkey % 3 = 0").select("o_orderkey", F.lit("rejected").alias("state"), F.col("o_orderpriority").alias("reason"))
+    added = shown(orders.filter("o_orderkey % 1000 = 1").withColumn("o_orderkey", -F.col("o_orderkey")), "new")
+    for batch, rows in ((0, orders.select("o_orderkey", "state", "reason")), (1, approved), (2, rejected), (1, approved), (3, added)):
+        keyed.change(stored(rows, "changes"), changed, "review", batch)
+    return keyed.read()
 
 
 @query("SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1")

@@ -43,3 +43,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Keyed state with timers and lists needs a store with column families."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "RocksDBStateStoreProvider"
+    if not (spark.conf.get(key, None) or "").endswith(store):
+        spark.conf.set(key, f"org.apache.spark.sql.execution.streaming.state.{store}")

@@ -1,21 +1,13 @@
-"""Progress events as streams: latest state of each document, and processes as keyed state machines."""
+"""Progress events as streams: latest state of each document, and what processes come to."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tessella.functions.values import FIRST_PROGRESS, STAGES, stage_of
-from tessella.session import shared_path, ship_package
 
-PROCESS_OUT = "process_id string, status string, progress int, stage string, n_events bigint"
-PROCESS_STATE = "status string, progress int, stage string, n_events bigint"
-#: Milliseconds after its end in which a process is forgotten.
-KEPT = 5000
+from tessella.functions.values import stage_of
+from tessella.session import shared_path
+from tessella.sources.versioned import Keyed, latest_of
 
 
 def latest_states(events: DataFrame, by: str, ts: str, tie: str, columns: list[str]) -> DataFrame:
@@ -23,17 +15,30 @@ def latest_states(events: DataFrame, by: str, ts: str, tie: str, columns: list[s
     return events.groupBy(by).agg(F.max_by(F.struct(*columns), F.struct(ts, tie)).alias("s")).select(by, *[f"s.{c}" for c in columns])
 
 
-def run_to_table(states: DataFrame, name: str) -> DataFrame:
-    """The streaming aggregate run over all there is, as a table in the shared folder: each batch writes the whole result anew, from executors to storage."""
-    path = shared_path(states.sparkSession, name)
+def run_to_table(states: DataFrame, name: str, key: str, path: str | None = None, buckets: int = 16) -> DataFrame:
+    """The streaming aggregate run over all there is, as a keyed table in the shared folder, read back: each batch passes on the keys that changed,
+    and only their buckets are rewritten. With a path that a former run used, the stream goes on where that stopped."""
+    spark, path = states.sparkSession, path or shared_path(states.sparkSession, name)
+    keyed = lambda session: Keyed(session, f"{path}/table", states.schema, key, buckets)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes")
+        keyed(spark).change(spark.read.schema(states.schema).parquet(f"{path}/changes"), latest_of(key, []), name, number)
+
+    states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return keyed(spark).read()
+
+
+def run_to_rows(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """An append stream run over all there is, as a table in the shared folder, read back: each batch has its folder, so a repeated batch replaces itself."""
+    spark, path = rows.sparkSession, path or shared_path(rows.sparkSession, name)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    states.sparkSession.createDataFrame([], states.schema).write.parquet(f"{path}/table")  # stays where there is no batch
-    run = states.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return states.sparkSession.read.schema(states.schema).parquet(f"{path}/table")
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1")
+    rows.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows/batch=*")
 
 
 def staged(events: DataFrame) -> DataFrame:
@@ -47,35 +52,8 @@ def daily(events: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     return source.groupBy(F.window(ts, "1 day").alias("day")).agg(F.count("*").alias("n")).select(F.col("day.start").alias("day"), "n")
 
 
-def step_process(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One process: progress only grows, an error (-1) or completion is final until the timer clears the state."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    status, progress, _, n = state.get if state.exists else ("processing", 0, "upload", 0)
-    told = pd.concat(list(batches)).sort_values("seq", kind="stable")["progress"].to_numpy()
-    if status == "processing":
-        ends = ((told == -1) | (told >= 100)).nonzero()[0]
-        open_ = told[: ends[0] + 1] if len(ends) else told
-        progress = max(progress, int(open_.max()))
-        if len(ends):
-            status = "error" if open_[-1] == -1 else "completed"
-    stage = [name for least, name in zip(FIRST_PROGRESS, STAGES) if progress >= least][-1]
-    n += len(told)
-    state.update((status, progress, stage, n))
-    if status != "processing":
-        state.setTimeoutDuration(KEPT)
-    yield pd.DataFrame({"process_id": [key[0]], "status": [status], "progress": [progress], "stage": [stage], "n_events": [n]})
-
-
-def processes(events: DataFrame) -> DataFrame:
-    """Streaming (process_id, seq, progress) -> the state of each process that had events, in update mode; five seconds after its end a process is forgotten."""
-    ship_package(events.sparkSession)
-    return events.groupBy("process_id").applyInPandasWithState(step_process, PROCESS_OUT, PROCESS_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def process_states(events: DataFrame) -> DataFrame:
-    """What processes comes to over a whole table of events, without the timer; by aggregates only."""
+    """(process_id, status, progress, stage, n_events) of events (process_id, seq, progress): progress only grows, an error (-1) or completion is final. By aggregates only."""
     end = F.min(F.when((F.col("progress") == -1) | (F.col("progress") >= 100), F.col("seq")))
     ends = events.groupBy("process_id").agg(end.alias("end"), F.count("*").alias("n_events"))
     rows = events.join(ends, "process_id").filter(F.col("end").isNull() | (F.col("seq") <= F.col("end")))

@@ -1,41 +1,89 @@
-import time
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
 
 from tessella.plans import registry
 from tessella.sources import tables
-from tessella.streaming import progress
+from tessella.streaming import frames, machine, progress
 
 
-def test_process_states(spark, tmp_path):
+def test_process_states(spark):
     rows = [("a", i, p) for i, p in enumerate((0, 10, 30, 40, 60, 70, 90, 100))] + [("b", i, p) for i, p in enumerate((0, 45, 50, -1, 100))] + [("c", 0, 65), ("c", 1, 60)]
-    schema = "process_id string, seq bigint, progress int"
-    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
-    batch = progress.process_states(spark.createDataFrame(rows, schema))
+    got = progress.process_states(spark.createDataFrame(rows, "process_id string, seq bigint, progress int")).collect()
     want = {"a": ("completed", 100, "completed", 8), "b": ("error", 50, "brnet", 5), "c": ("processing", 65, "validation", 2)}
-    states = lambda df: {r["process_id"]: (r["status"], r["progress"], r["stage"], r["n_events"]) for r in df.collect()}
-    assert states(batch) == want
-    run = progress.processes(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("process_states").start()
-
-    def wait(n):  # a query with timers is never idle, so its sink is asked
-        for _ in range(120):
-            if spark.table("process_states").count() >= n:
-                return
-            time.sleep(0.5)
-        raise AssertionError("no rows in 60 s")
-
-    try:
-        wait(3)
-        assert states(spark.table("process_states")) == want
-        time.sleep(progress.KEPT / 1000 + 4)  # a and b are forgotten, c isn't
-        spark.createDataFrame([(p, 9, 70) for p in "abc"], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        wait(6)
-        later = sorted(tuple(r) for r in spark.table("process_states").collect())
-    finally:
-        run.stop()
-    assert [r for r in later if r[4] in (1, 3)] == [("a", "processing", 70, "validation", 1), ("b", "processing", 70, "validation", 1), ("c", "processing", 70, "validation", 3)]
+    assert {r["process_id"]: (r["status"], r["progress"], r["stage"], r["n_events"]) for r in got} == want
+
+
+def commands(spark, path, batches):
+    """Files of commands (session, seq, seconds, kind, process, progress), one for each batch, read as a stream file by file."""
+    schema = "session string, seq long, ts timestamp, kind string, process_id string, progress int"
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame([(s, n, t, k, p, g) for s, n, t, k, p, g in rows], schema.replace("ts timestamp", "ts long"))
+        df.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(f"{path}/{number}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{path}/*")
+
+
+def shown(rows):
+    return sorted(((r["session"], r["ts"].timestamp() % 1000, r["seq"] if r["seq"] is not None else -1, r["kind"], r["taken"], r["process_id"], r["status"], r["progress"]) for r in rows.collect()), key=str)
+
+
+STEPS = [
+    ("s", 1, 10, "update", "p", 30), ("s", 2, 11, "start", "p", None), ("s", 3, 12, "update", "q", 50), ("s", 4, 13, "update", "p", 50), ("s", 5, 14, "complete", "q", None), ("s", 6, 15, "complete", "p", None),
+    ("s", 7, 17, "start", "q", None), ("s", 8, 21, "update", "q", 70), ("s", 9, 22, "start", "r", None), ("s", 10, 23, "fail", "r", None), ("s", 11, 23, None, "r", 5), ("t", 12, 24, "start", "p", None), ("t", 13, 40, "update", "p", 10),
+]
+#: By hand: the timer of 15 + 5 s clears q, which was started meanwhile; r is cleared 5 s after its failure.
+SHOWN = [
+    ("s", 10, 1, "update", False, None, None, None), ("s", 11, 2, "start", True, "p", "processing", 0), ("s", 12, 3, "update", False, "p", "processing", 0), ("s", 13, 4, "update", True, "p", "processing", 50),
+    ("s", 14, 5, "complete", False, "p", "processing", 50), ("s", 15, 6, "complete", True, "p", "completed", 100), ("s", 17, 7, "start", True, "q", "processing", 0), ("s", 20, -1, "clear", True, "q", "processing", 0),
+    ("s", 21, 8, "update", False, None, None, None), ("s", 22, 9, "start", True, "r", "processing", 0), ("s", 23, 10, "fail", True, "r", "error", 0), ("s", 23, 11, None, False, "r", "error", 0),
+    ("s", 28, -1, "clear", True, "r", "error", 0), ("t", 24, 12, "start", True, "p", "processing", 0), ("t", 40, 13, "update", True, "p", "processing", 10),
+]
+
+
+@pytest.mark.parametrize("cuts", [[], [6, 8], [5, 9]])
+def test_what_a_session_shows(spark, tmp_path, cuts):
+    """The same rows however the commands are cut into batches; the session without more commands is cleared by the watermark."""
+    ends = [0, *cuts, len(STEPS)]
+    stream = commands(spark, tmp_path / "in", [STEPS[a:b] for a, b in zip(ends, ends[1:])])
+    assert shown(progress.run_to_rows(machine.displays(stream), "shown")) == sorted(SHOWN, key=str)
+
+
+def events_text(k):
+    body = "".join(f'data: {{"seq": {i}, "message": "é\U0001f642 {k} {i}"}}' + ("\n\n", "\r\n\r\n", "\r\r")[i % 3] for i in range(k))
+    return body + ': note\n\ndata: {"seq": 99, "message": "without an end"}'
+
+
+def plain_frames(text):
+    parts = re.split("\n\n|\r\n\r\n|\r\r", text)[:-1]
+    return list(enumerate(parts))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_frames_of_chunks_cut_anywhere(spark, size):
+    texts = {f"c{k}": events_text(k) for k in range(6)} | {"empty": ""}
+    chunks = frames.cut_in_chunks(spark.createDataFrame(list(texts.items()), "connection string, text string"), "connection", "text", F.lit(size))
+    again = chunks.union(chunks.filter("number % 3 = 1"))  # some come twice
+    got = frames.framed(again.repartition(3)).collect()
+    assert sorted((r["connection"], r["position"], r["frame"]) for r in got) == sorted((c, i, f) for c, t in texts.items() for i, f in plain_frames(t))
+
+
+def test_frames_over_batches_and_gaps(spark, tmp_path):
+    """Chunks in any order over several batches; after a missing chunk a connection gives nothing more."""
+    texts = {f"c{k}": events_text(k) for k in range(5)}
+    rows = [(c, n, t.encode()[n * 5 : n * 5 + 5]) for c, t in texts.items() for n in range(-(-len(t.encode()) // 5))]
+    rows = [r for r in rows if r[:2] != ("c4", 20)] + [(None, 0, b"x\n\n"), ("odd", 0, b"\xff\n"), ("odd", 1, None), ("odd", 2, b"\n")]
+    for k in range(3):
+        spark.createDataFrame([r for i, r in enumerate(rows) if i * 7 % 3 == k], "connection string, number long, chunk binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("connection string, number long, chunk binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r["connection"], r["position"], r["frame"]) for r in progress.run_to_rows(frames.framed_stream(stream), "frames").collect())
+    want = [(c, i, f) for c in ("c0", "c1", "c2", "c3") for i, f in plain_frames(texts[c])] + [("odd", 0, "\ufffd")]
+    kept = texts["c4"].encode()[:100].decode("utf-8", "ignore")
+    assert got == sorted(want + [("c4", i, f) for i, f in plain_frames(kept)])
+    table = spark.read.parquet(str(tmp_path / "in"))
+    assert sorted((r["connection"], r["position"], r["frame"]) for r in frames.framed(table).collect()) == got
 
 
 def test_events_are_written_batch_by_batch(spark, tmp_path):
@@ -63,10 +111,10 @@ def test_latest_states_go_to_storage(spark, tmp_path):
     (tmp_path / "none").mkdir()
     stream = lambda name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
     states = lambda name: progress.latest_states(stream(name), "user_id", "ts", "event_id", ["event_id", "value"])
-    got = progress.run_to_table(states("in"), "latest")
+    got = progress.run_to_table(states("in"), "latest", "user_id")
     want = {u: max((t, e, v) for w, t, e, v in rows if w == u)[1:] for u in range(7)}
     assert sorted((r["user_id"], (r["event_id"], r["value"])) for r in got.collect()) == sorted(want.items())
-    assert progress.run_to_table(states("none"), "latest").count() == 0
+    assert progress.run_to_table(states("none"), "latest", "user_id").count() == 0
 
 
 def test_stream_progress_reads_the_shared_folder(spark):
