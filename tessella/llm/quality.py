@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import BROADCAST_ROWS, SPACE, small_or_shuffled, table, text_or_empty, written
+from tessella.llm.common import BROADCAST_ROWS, SPACE, let, small_or_shuffled, table, text_or_empty, written
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 LINE_DOCUMENTS, LEAST_SHARE = 20, 0.2
@@ -62,7 +62,9 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
 def line_rows(docs: DataFrame) -> DataFrame:
     """For docs (id, host, text): a row for each document and line that isn't blank: id, host, doc (hash of host and text), pos, line (hash of host and normalised line), words."""
     spaces = f"[{SPACE}]+"
-    rows = docs.select("id", F.xxhash64("host").alias("host"), F.xxhash64("host", "text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    # hashed before the lines are dealt out: beside posexplode a whole text would be hashed for each of its lines
+    hashed = docs.select("id", F.xxhash64("host").alias("host"), F.xxhash64("host", "text").alias("doc"), F.split("text", "\n", -1).alias("lines"))
+    rows = hashed.select("id", "host", "doc", F.posexplode("lines").alias("pos", "raw"))
     rows = rows.withColumn("raw", F.btrim(F.lower("raw"), F.lit(BLANKS))).filter(F.col("raw") != "")
     n = F.size(F.split("raw", spaces))
     rows = rows.select("id", "host", "doc", "pos", F.xxhash64("host", F.regexp_replace("raw", spaces, " ")).alias("line"), n.alias("words"))
@@ -110,8 +112,10 @@ def clean_good(documents: DataFrame, doc_id: str = "doc_id", host: str = "source
     doc = F.xxhash64(F.col(host).cast("string"), text_or_empty(text))
     rows = documents.select(F.struct("*").alias("row"), doc.alias("doc"))
     rows = rows.join(F.broadcast(changes) if numbers <= BROADCAST_ROWS else changes, F.col("doc") == F.col("_doc"), "left").filter(F.coalesce("_kept", F.lit(True)))
-    lines = F.filter(F.split(F.col(f"row.`{text}`").cast("string"), "\n", -1), lambda x, i: ~F.array_contains("_at", i))
-    cleaned = F.when(F.col("_at").isNotNull(), F.array_join(lines, "\n"))
+    lines = F.split(F.col(f"row.`{text}`").cast("string"), "\n", -1)
+    # the places that are left: a difference by hashes, in the lines' order
+    left = lambda v: F.array_except(F.sequence(F.lit(0), F.size(v) - 1), F.col("_at"))
+    cleaned = F.when(F.col("_at").isNotNull(), let(lines, lambda v: F.array_join(F.transform(left(v), lambda i: F.get(v, i)), "\n")))
 
     def column(name: str) -> Column:
         was = F.col(f"row.`{name}`")

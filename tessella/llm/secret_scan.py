@@ -4,7 +4,10 @@ Base kinds, leftmost and without overlap within a kind: ``assign`` (a name such
 value of six characters or more), ``access`` (AKIA keys of 20 characters or more), ``hex`` (24 or more digits).
 
 Method: runs of ``least_chars`` or more characters of ``A-Za-z0-9+/_=-``, outside base spans, are candidates; the
-parts of a run beside a base span are runs of their own. Under that length no test could tell a key from a word.
+parts of a run beside a base span are runs of their own. Those of fewer than ``LONG`` characters are candidates only if they have
+digits and letters, or small letters and a capital that isn't the first character: of random base-64 keys of ten characters
+one in some thousands has neither, while nearly all long words have neither. Nine in ten random keys of
+ten characters are found, 97 in a hundred of 16; a short name that changes its case often (iPhone15ProMax) may be taken for one.
 The encoding is inferred (hexadecimal, base 32, else base 64) and the characters become numbers of its alphabet.
 Three tests must not reject that they are random: chi-squared for uniform use of the alphabet (Wilson-Hilferty),
 number of runs above and below the middle, and serial correlation, together at ``alpha`` (Bonferroni). Against
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table, text_or_empty
+from tessella.llm.common import let, running, table, text_or_empty
 
 MARK, OTHER = "\ue000", "\ue001"
 KINDS = ("assign", "access", "hex", "random")
@@ -36,37 +39,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: A run of the pattern's characters is one match, so a bound on its length drops the same matches as a look at each.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 RUN = "A-Za-z0-9+/_=-"
-LEAST_CHARS, ALPHA, Q = 16, 0.001, 0.001
+LEAST_CHARS, LONG, ALPHA, Q = 10, 16, 0.001, 0.001
 #: Shares of a to z in English text, in percent.
 LETTERS = (8.17, 1.49, 2.78, 4.25, 12.70, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.10, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.07)
 SPANS = "array<struct<start:int,end:int,found:string>>"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-#: Items of a list that are gone through at once; see running.
-BLOCK = 512
-
-
-def running(items: Column, op, kind: str = "bigint") -> Column:
-    """The results of op over all leading parts of a list, such as running sums. A list that grows by one item at a time is
-    copied each time, so this is done for blocks and then for the blocks' ends."""
-    none = F.array().cast(f"array<{kind}>")
-
-    def grown(values: Column) -> Column:
-        return F.aggregate(values, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(op(F.get(acc, F.size(acc) - 1), x), x))))
-
-    def whole(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: grown(F.slice(v, b * BLOCK + 1, BLOCK)))
-        ends = lambda parts: grown(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
-        return let(blocks, lambda parts: let(ends(parts), lambda e: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda x: F.coalesce(op(F.get(e, b - 1), x), x))))))
-
-    return let(items.cast(f"array<{kind}>"), lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
-
-
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>> of the leftmost non-overlapping matches; text has no MARK."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)  # every other one is a match
@@ -167,6 +145,13 @@ def tested(candidates: Column, average: Column, alpha: float) -> Column:
     return F.filter(F.transform(candidates, judge), lambda c: c["random"] >= alpha)
 
 
+def candidates_of(least: int) -> str:
+    """The pattern of runs that are tested."""
+    mixed = rf"(?=[{RUN}]*[0-9])(?=[{RUN}]*[A-Za-z])|(?=[{RUN}]+[A-Z])(?=[{RUN}]*[a-z])"
+    short = rf"|(?<![{RUN}])(?:{mixed})[{RUN}]{{{least},{LONG - 1}}}(?![{RUN}])" if least < LONG else ""
+    return rf"[{RUN}]{{{max(least, LONG)},}}{short}"
+
+
 def scan(df: DataFrame, text: str = "text", out: str = "secrets", least_chars: int = LEAST_CHARS, alpha: float = ALPHA, q: float = Q) -> DataFrame:
     """df with out: array<struct<start, rank, end>> by start, then kind; rank is the kind's place in KINDS."""
     others = [c for c in df.columns if c != out]
@@ -181,7 +166,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets", least_chars: i
     kept = lambda name, rank, keep: F.transform(F.filter(name, keep), lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
     value = lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 6
     df = df.withColumn("_base", F.array_sort(F.concat(kept("_assign", 0, value), kept("_access", 1, lambda m: F.lit(True)), kept("_hex", 2, lambda m: F.lit(True)))))
-    run = rf"[{RUN}]{{{least_chars},}}"
+    run = candidates_of(least_chars)
     rest = lambda: rebuilt(t, F.col("_base"), lambda n: F.repeat(F.lit(OTHER), n))
     df = df.withColumn("_rest", F.when(t.rlike(run), rest()))
     found = F.filter(matches(F.col("_rest"), run), lambda m: F.length(F.rtrim(m["found"], F.lit("="))) >= least_chars)

@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 from test_registry import rows
 
@@ -77,3 +79,14 @@ def test_pipeline_stage_removes_frequent_lines(spark):
     df = spark.createDataFrame([(d, t, s, len(t or "")) for d, t, s in documents()], "doc_id long, text string, source string, n_chars long")
     got = {r["doc_id"]: r for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
     assert NOTICE in got[0]["text"] and all(NOTICE.lower() not in got[k]["text"].lower() and got[k]["n_chars"] == len(got[k]["text"]) for k in range(1, 40))
+
+
+def test_very_many_removed_lines(spark):
+    """Texts of 40,000 lines, every other one frequent, in seconds, and what is left of them."""
+    n = 40_000
+    text = lambda d: "\n".join(f"own {k} of {d}" if k % 2 else f"frequent {k}" for k in range(n))
+    docs = spark.createDataFrame([(d, "h", text(d)) for d in range(22)], "doc_id long, source string, text string").repartition(4)
+    began = time.monotonic()
+    got = {r["doc_id"]: r["text"].split("\n") for r in quality.clean_good(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert len(got[0]) == n and all(got[d] == [f"own {k} of {d}" for k in range(1, n, 2)] for d in range(1, 22))
