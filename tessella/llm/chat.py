@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import let, running, table
 
 TURN, END = "<|turn|>", "<|end|>\n"
 MEDIA = ("image", "audio", "document")
@@ -68,17 +68,12 @@ def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
     grouped = rows.groupBy(conv).agg(F.sort_array(F.collect_list("t")).alias("turns"))
     head = lambda t: F.concat(F.lit(TURN), escape(t["role"], role=True), F.lit("\n"))
     shown = grouped.select(conv, "turns", F.transform("turns", lambda t: F.concat(head(t), t["content"], F.lit(END))).alias("shown"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        first = acc["at"] + F.length(head(t))
-        last = first + F.length(t["content"])
-        span = F.array(F.struct(first.cast("long").alias("start"), last.cast("long").alias("end")))
-        return F.struct((last + len(END)).cast("long").alias("at"), F.when(t["role"] == learned, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
+    ends = running(F.transform("shown", lambda t: F.length(t).cast("long")), lambda a, b: a + b)
+    span = lambda e, t, i: F.struct((F.get(e, i) - len(END) - F.length(t["content"])).alias("start"), (F.get(e, i) - len(END)).alias("end"))
+    spans = let(ends, lambda e: F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == learned, span(e, t, i))), lambda x: x.isNotNull()))
     listed = F.flatten(F.transform("turns", lambda t, i: F.transform(t["attachments"], lambda a: F.struct(i.alias("turn"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     return shown.select(
-        conv, F.array_join("shown", "").alias("formatted"), F.aggregate("turns", start, step, lambda acc: acc["spans"]).alias("loss"), listed.alias("attachments"),
+        conv, F.array_join("shown", "").alias("formatted"), spans.alias("loss"), listed.alias("attachments"),
         F.aggregate("turns", F.lit(0).cast("long"), lambda s, t: s + t["tokens"]).alias("media_tokens"),
     )
 

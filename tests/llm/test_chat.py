@@ -1,4 +1,6 @@
+import hashlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -40,3 +42,14 @@ def test_edges(spark):
     head = len("<|turn|>assistant\n")
     assert [(s["start"], s["end"]) for s in got[2]["loss"]] == [(head, head + 250_000)]
     assert chat.format_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_many_turns(spark):
+    """200,000 turns of one conversation, in seconds."""
+    n = 200_000
+    rows = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), chat.text_parts(F.concat(F.lit("t"), F.col("id") % 7)).alias("parts"))
+    began = time.monotonic()
+    out = chat.format_conversations(rows).select(F.size("loss").alias("n"), F.sha2(chat.read_loss(F.col("formatted"), F.slice("loss", n // 2 - 9, 10)).cast("binary"), 256).alias("last"), F.element_at("loss", -1).alias("end"), F.length("formatted").alias("chars")).first()
+    assert time.monotonic() - began < 60
+    assert out["n"] == n // 2 and out["end"]["end"] == out["chars"] - len(chat.END)
+    assert out["last"] == hashlib.sha256("".join(f"t{k % 7}" for k in range(n - 19, n, 2)).encode()).hexdigest()
