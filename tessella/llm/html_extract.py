@@ -26,6 +26,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,7 @@ class Page:
         self.runs: list[tuple[int, str, int]] = []
         self._parts: list[str] = []
         self._links = 0
+        self._open: Counter[str] = Counter()  # open elements by name, but the outermost
         stack: list[tuple[str, int]] = [("html", 0)]
         at = open_links = foreign = 0
         for m in iter(lambda: TOKEN.search(source, at), None):
@@ -92,10 +94,12 @@ class Page:
             if slash:
                 if name == "a":
                     open_links = max(0, open_links - 1)
-                if name in BLOCKS and any(t == name for t, _ in reversed(stack[1:])):
+                if name in BLOCKS and self._open[name]:
                     self._flush(stack[-1][1])
-                    while stack.pop()[0] != name:
-                        pass
+                    k = len(stack) - 1
+                    while stack[k][0] != name:
+                        k -= 1
+                    self._cut(stack, k)
                 continue
             if name in RAW:
                 if foreign and closed:  # only inside these can a tag close itself
@@ -122,14 +126,21 @@ class Page:
             self.parents.append(stack[-1][1])
             self.words.append(found)
             stack.append((name, len(self.tags) - 1))
+            self._open[name] += 1
         self._text(source[at:], open_links)
         self._flush(stack[-1][1])
 
-    @staticmethod
-    def _end(stack: list[tuple[str, int]], names: tuple[str, ...]) -> None:
+    def _cut(self, stack: list[tuple[str, int]], k: int) -> None:
+        for name, _ in stack[k:]:
+            self._open[name] -= 1
+        del stack[k:]
+
+    def _end(self, stack: list[tuple[str, int]], names: tuple[str, ...]) -> None:
+        if not any(self._open[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
-                del stack[k:]
+                self._cut(stack, k)
                 if len(names) == 1:
                     return
             elif stack[k][0] in SCOPES:

@@ -153,13 +153,18 @@ def battery(codes: list[int], a: int) -> float:
     return min(1, 3 * min(uniform, by_runs, 2 * tail(abs(serial))))
 
 
-def secrets(text: str | None, least: int = 16, alpha: float = 0.001, q: float = 0.001) -> list[tuple[int, int, int]]:
+def mixes(run: str) -> bool:
+    digits, small = any(c.isdigit() for c in run), any(c.islower() for c in run)
+    return digits and any(c.isalpha() for c in run) or small and any(c.isupper() for c in run[1:])
+
+
+def secrets(text: str | None, least: int = 10, alpha: float = 0.001, q: float = 0.001) -> list[tuple[int, int, int]]:
     """Sorted (start, rank of the kind, end)."""
     text = text or ""
     base = base_secrets(text)
     inside = {k for a, _, e in base for k in range(a, e)}
     bare = "".join("\ue001" if k in inside else c for k, c in enumerate(text))
-    runs = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]+", bare) if len(m[0].rstrip("=")) >= least]
+    runs = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]+", bare) if len(m[0].rstrip("=")) >= least and (len(m[0]) >= 16 or mixes(m[0]))]
     tested = []
     for m in runs:
         body = m[0].rstrip("=")

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -80,3 +81,11 @@ def test_elements_that_close_themselves_and_content_elements():
 def test_column_with_a_dot(spark):
     df = spark.createDataFrame([(1, "<article><p>Some text of a page, long enough.</p></article>", "v")], "page_id long, html string, `a.b` string")
     assert hx.extract(df).columns == ["page_id", "a.b", "text", "n_chars"]
+
+
+def test_deep_nesting_closed_again():
+    """100,000 open elements, all closed, in seconds."""
+    n, began = 100_000, time.monotonic()
+    page = hx.Page("<div>" * n + "<p>within" + "</div>" * n + "<p>after</p>")
+    assert time.monotonic() - began < 20
+    assert [r[1] for r in page.runs] == ["within", "after"] and len(page.tags) == n + 3 and page.parents[-1] == 0

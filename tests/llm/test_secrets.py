@@ -87,3 +87,15 @@ def test_redaction(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r["x"] for r in secret_scan.without_secrets(df.withColumn("was", F.col("text"))).select(F.struct("was", "text").alias("x")).collect()]
     assert {tuple(x) for x in got} == {(t, brute.covered(t)) for t in texts}
+
+
+def test_short_keys(spark):
+    """Of random keys of 10 to 15 characters nine in ten are found at least; of names and words of these lengths one, whose case changes four times."""
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = [(n, "".join(rng.choice(letters) for _ in range(n))) for n in range(10, 16) for _ in range(100)]
+    names = "iPhone15ProMax covid-19-test 2024-01-01T00 McDonalds2024 JavaScript3 some_name_2 section-12-4 Windows11Pro order2024-117 getElementById en/articles/42 page_title_x2 chapter10part2 PowerPoint2019".split()
+    got = scanned(spark, [f"the {k} is here" for _, k in keys] + [f"the {n} is here" for n in names])
+    for size in range(10, 16):
+        assert sum(bool(got[k]) for k, (n, _) in enumerate(keys) if n == size) >= 90, size
+    assert [n for k, n in enumerate(names) if got[len(keys) + k]] == ["iPhone15ProMax"]
