@@ -4,8 +4,8 @@ A required item is matched by the first rule that holds: equal keys; a common al
 earliest received item); one key inside the other (earliest received item, both keys non-empty); a coverage rule
 whose specific items were all received. Each rule only sees what the ones before left, so the costly containment
 join gets few rows. A received item may serve several required ones. Extras are received items that serve none, one
-for each key, the first in order. Joins are on the document and a key; only containment compares all items within
-one document, which has few.
+for each key, the first in order. Joins are on the document and a key; containment compares all keys
+of a document only where they are few, and goes by signatures (``substring``) elsewhere.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import normalize_key
 from tessella.functions.values import share_percent
+from tessella.operators import substring
 from tessella.session import stored
 
 #: Names that mean the same, each with its other names (fixed values; a name can stand in several groups).
@@ -50,6 +51,10 @@ ALIASES = {
 }
 
 
+#: Pairs of keys up to which a document's containment is found by comparing all.
+FEW_PAIRS = 4096
+
+
 def alias_table(spark: SparkSession, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """(group_ord, member_ord, name); member 0 is the group's own name."""
     groups = (ALIASES if aliases is None else aliases).items()
@@ -86,12 +91,25 @@ def alias_match(required: DataFrame, received: DataFrame, aliases: DataFrame) ->
     return left.join(right, ["doc_id", "group_ord"]).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "group_ord")
 
 
-def containment_match(required: DataFrame, received: DataFrame) -> DataFrame:
-    """As alias_match: one key inside the other, both non-empty, earliest received item."""
-    right = received.select("doc_id", F.col("pos").alias("match_pos"), F.col("name").alias("match"), F.col("key").alias("other")).filter("other <> ''")
+def containment_match(required: DataFrame, received: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
+    """As alias_match: one key inside the other, both non-empty, earliest received item.
+
+    Keys of a document count once on each side. A document with up to ``few`` pairs of keys compares them; a larger one finds
+    its pairs by signatures, so its rows are those that match and not the product of its sides.
+    """
+    earliest = F.min(F.struct(F.col("pos").alias("match_pos"), F.col("name").alias("match"))).alias("m")
+    right = received.filter("key <> ''").groupBy("doc_id", F.col("key").alias("other")).agg(earliest)
+    left = required.filter("key <> ''").select("doc_id", "key").distinct()
+    size = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    large = stored(size(left, "a").join(size(right, "b"), "doc_id").filter(F.col("a") * F.col("b") > few).select("doc_id"), "large")
     inside = F.contains("key", F.col("other")) | F.contains(F.col("other"), F.col("key"))
-    both = required.filter("key <> ''").join(right, "doc_id").filter(inside)
-    return both.groupBy("doc_id", "pos", "name", "key").agg(F.min(F.struct("match_pos", "match")).alias("m")).select("doc_id", "pos", "name", "key", "m.match_pos", "m.match")
+    pairs = left.join(large, "doc_id", "left_anti").join(right.drop("m"), "doc_id").filter(inside)
+    if not large.isEmpty():
+        keys, others = stored(left.join(large, "doc_id", "left_semi"), "keys"), stored(right.join(large, "doc_id", "left_semi").drop("m"), "others")
+        within = lambda outer, o, inner, i: substring.inside(outer.select("doc_id", F.col(o).alias("text_id"), F.col(o).alias("text")), inner.select("doc_id", F.col(i).alias("name")), ["doc_id"]).withColumnsRenamed({"text_id": o, "name": i})
+        pairs = pairs.unionByName(within(keys, "key", others, "other")).unionByName(within(others, "other", keys, "key"))
+    best = pairs.join(right, ["doc_id", "other"]).groupBy("doc_id", "key").agg(F.min("m").alias("m"))
+    return required.join(best, ["doc_id", "key"]).select("doc_id", "pos", "name", "key", "m.match_pos", "m.match")
 
 
 def covered(required: DataFrame, received: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import documents, text, values
-from tessella.operators import metric_index, reconcile, retrieval, review, vector
+from tessella.operators import metric_index, reconcile, retrieval, review, substring, vector
 from tessella.session import shared_path, stored
 from tessella.sources import tables
 from tessella.sources.tables import table
@@ -209,6 +209,20 @@ def containment_join(spark, d):
     return reconcile.containment_match(reconcile.keyed(required), reconcile.keyed(received)).drop("key")
 
 
+_WORDS = "SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS name FROM benchmark UNION SELECT lower(p_name) FROM part UNION SELECT unnest(string_split(lower(p_name), ' ')) FROM part"
+
+
+@query(f"SELECT doc_id, count(*) AS n_names, md5(string_agg(name, ' ' ORDER BY name)) AS names FROM documents JOIN ({_WORDS}) n ON name <> '' AND contains(lower(text), name) GROUP BY doc_id")
+def catalogue_names(spark, d):
+    """The names of a catalogue (words of benchmark texts, names of parts and their words) that stand anywhere in each document's text."""
+    parts = table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
+    words = lambda df, c: df.select(F.explode(F.split(F.lower(c), " ")).alias("name"))
+    names = stored(words(table(spark, d, "benchmark"), "text").union(parts).union(words(parts, "name")).filter("name <> ''").distinct(), "catalogue")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
+    found = substring.inside(texts, names).groupBy(F.col("text_id").alias("doc_id")).agg(F.sort_array(F.collect_list("name")).alias("a"))
+    return found.select("doc_id", F.size("a").cast("long").alias("n_names"), F.md5(F.array_join("a", " ").cast("binary")).alias("names"))
+
+
 @query(f"""WITH {_LINES.format('p_type')}, u(general, specific) AS (VALUES {_RULE_ROWS}), n AS (SELECT lower(general) AS general, count(*) AS parts FROM u GROUP BY 1),
 h AS (SELECT doc_id, lower(general) AS general, count(DISTINCT specific) AS found FROM rc JOIN u ON rc.key = lower(specific) GROUP BY 1, 2)
 SELECT rq.doc_id, rq.pos FROM rq JOIN h ON rq.doc_id = h.doc_id AND rq.key = h.general JOIN n ON n.general = h.general WHERE found = parts""")
