@@ -10,6 +10,8 @@ of a document only where they are few, and goes by signatures (``substring``) el
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +175,37 @@ def required_items(documents: DataFrame, guides: DataFrame, by: str, candidates:
     first = hits.groupBy(by).agg(F.min_by(F.struct("_candidate", "_items"), "_pos").alias("_hit"))
     out = documents.select(by).join(first, by, "left")
     return out.select(by, F.col("_hit._candidate").alias("identifier"), F.col("_hit._items").alias("items"), F.when(F.col("_hit").isNull(), "falha").otherwise("ok").alias("status"))
+
+
+def required_in_rounds(documents: DataFrame, lookup: Callable[[DataFrame], DataFrame], by: str, candidates: str) -> DataFrame:
+    """As required_items, for a lookup that is costly: round k asks for the k-th candidates of documents that no earlier round solved, and of them only for
+    identifiers that weren't asked for before; no round comes after all are solved. lookup gets (identifier) rows, each once, and returns (identifier, items), a
+    row for each that it knows. Rounds are as many as the longest list of candidates; each is stored, so no lookup is repeated, and the driver sees only
+    whether anything is left. Null candidates are skipped; a document with a null or empty list is a ``falha``; rows with the same ``by`` are one document, that of the longest list."""
+    tried = documents.filter(F.size(candidates) > 0).groupBy(by).agg(F.max_by(candidates, F.size(candidates)).alias("_c"))
+    left, answers, asked, solved = stored(tried, "unsolved"), [], None, []
+    place = 0
+    while not left.isEmpty():
+        wanted = left.select(by, F.get("_c", F.lit(place)).alias("identifier"))
+        new = wanted.select("identifier").filter("identifier is not null").distinct()
+        new = stored(new if asked is None else new.join(asked, "identifier", "left_anti"), "asked")
+        asked = new if asked is None else asked.union(new)
+        answers.append(stored(lookup(new).select("identifier", "items"), "answers"))
+        known = answers[0]
+        for a in answers[1:]:
+            known = known.union(a)
+        solved.append(stored(wanted.join(known, "identifier").select(by, "identifier", "items"), "solved"))
+        place += 1
+        left = stored(left.join(solved[-1], by, "left_anti").filter(F.size("_c") > place), "unsolved")
+    everyone = documents.select(by).distinct()
+    if not solved:
+        return everyone.withColumns({"identifier": F.lit(None).cast(_element(documents, candidates)), "items": F.lit(None).cast("string"), "status": F.lit("falha")})
+    found = solved[0]
+    for s in solved[1:]:
+        found = found.union(s)
+    out = everyone.join(found.withColumn("_hit", F.lit(True)), by, "left")
+    return out.select(by, "identifier", "items", F.when(F.col("_hit"), "ok").otherwise("falha").alias("status"))
+
+
+def _element(df: DataFrame, column: str):
+    return df.schema[column].dataType.elementType

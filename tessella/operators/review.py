@@ -60,6 +60,27 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("f.facet", F.explode("f.values").alias("value")).groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def facets_under(df: DataFrame, filters: dict[str, Column], columns: list[str]) -> DataFrame:
+    """(facet, value, n) as of facets, where each facet counts the rows that meet all filters but the one on its own column, as a table does
+    that offers other values of a filtered column. filters has a condition for each filtered column, which needn't be a facet.
+
+    One scan: a row's failed filters are a bit mask, and it counts for a facet whose own bit is all that is left of it.
+    A condition that is null fails. A value that other filters leave no row isn't listed.
+    """
+    if len(filters) > 62:
+        raise ValueError("at most 62 filters")
+    bits = {c: 1 << i for i, c in enumerate(filters)}
+    failed = F.lit(0).cast("long")
+    for c, met in filters.items():
+        failed = failed + F.when(F.coalesce(met, F.lit(False)), 0).otherwise(bits[c])
+    kinds = dict(df.dtypes)
+    cell = lambda c: F.transform(F.col(c), lambda x: x.cast("string")) if kinds[c].startswith("array") else F.array(F.col(c).cast("string"))
+    counted = lambda c: F.col("_failed").bitwiseAND(~bits.get(c, 0)) == 0
+    rows = df.withColumn("_failed", failed).filter(F.greatest(F.lit(False), *[counted(c) for c in columns]))
+    cells = F.array(*[F.struct(F.lit(c).alias("facet"), F.when(counted(c), cell(c)).alias("values")) for c in columns])
+    return rows.select(F.explode(cells).alias("f")).select("f.facet", F.explode("f.values").alias("value")).groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
 def value_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import documents, text, values
-from tessella.operators import metric_index, reconcile, retrieval, review, substring, vector
+from tessella.operators import metric_index, pages, reconcile, retrieval, review, substring, vector
 from tessella.session import shared_path, stored
 from tessella.sources import tables
 from tessella.sources.tables import table
@@ -287,6 +287,16 @@ def required_lookup(spark, d):
     return found.withColumn("identifier", F.col("identifier").cast("string"))
 
 
+@query(ORACLE_SQL["required_lookup"])
+def required_rounds(spark, d):
+    """As required_lookup, candidate by candidate: later ones are asked only for orders without a hit."""
+    k = F.col("o_custkey")
+    orders = table(spark, d, "orders").select("o_orderkey", F.array(k + 10_000_000, k, F.when(F.col("o_orderkey") % 2 == 0, k + 4)).alias("candidates"))
+    guides = table(spark, d, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("identifier"), F.col("c_mktsegment").alias("items"))
+    found = reconcile.required_in_rounds(orders, lambda asked: asked.join(guides, "identifier"), "o_orderkey", "candidates")
+    return found.withColumn("identifier", F.col("identifier").cast("string"))
+
+
 # --- joins and sets
 
 
@@ -353,6 +363,22 @@ def facets(spark, d):
     return review.facets(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
+_FILTERED = {"o_orderstatus": "o_orderstatus IN ('F', 'P')", "o_orderpriority": "o_orderpriority <> '1-URGENT'", "o_totalprice": "o_totalprice BETWEEN 50000 AND 200000"}
+_FACETS = ["o_orderstatus", "o_orderpriority", "year"]
+
+
+def _facet_sql(facet: str) -> str:
+    rest = " AND ".join(c for k, c in _FILTERED.items() if k != facet)
+    return f"SELECT '{facet}' AS facet, CAST({facet} AS VARCHAR) AS value, count(*) AS n FROM (SELECT *, year(o_orderdate) AS year FROM orders) WHERE {rest} GROUP BY 2"
+
+
+@query(" UNION ALL ".join(map(_facet_sql, _FACETS)))
+def filtered_facets(spark, d):
+    """Facets under three filters, each without its own; one of the filters is on no facet and one facet has no filter."""
+    rows = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    return review.facets_under(rows, {c: F.expr(e) for c, e in _FILTERED.items()}, _FACETS)
+
+
 @query("SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
 def facet_range(spark, d):
     return review.value_range(table(spark, d, "orders"), "o_totalprice")
@@ -374,6 +400,19 @@ def page_slice(spark, d):
     return review.page_of(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.asc("o_orderkey")], 3)
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS place, count(*) OVER () AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, place FROM r WHERE place // 10 IN (0, (n - 1) // 20, (n - 1) // 10)""")
+def deep_pages(spark, d):
+    """The first page, the one in the middle and the last one of all order lines, by an index of pages."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    order = [F.desc("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]
+    index = pages.build(rows, order, shared_path(spark, "pages"), 32)
+    out = index.page(1)
+    for page in sorted({(index.rows() - 1) // 20 + 1, index.pages()} - {0, 1}):
+        out = out.unionByName(index.page(page))
+    return out
+
+
 @query("SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM orders")
 def page_count(spark, d):
     return review.page_count(table(spark, d, "orders"))
@@ -645,6 +684,16 @@ def scores_ids_turns(spark, d):
     return rows.select("event_id", values.score_shown(F.col("value")).alias("score"), values.stable_id(F.col("user_id"), F.col("event_id")).alias("id"), F.col("turn").cast("long").alias("turn"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS a, CASE WHEN event_type = 'error' THEN 0 ELSE CAST(value * 60000000 AS BIGINT) END AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, event_id, i, a AS start, a + d AS "end" FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, greatest(e.a, s."end"), greatest(e.a, s."end") + e.d FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, event_id, start, "end" FROM s""")
+def display_queue(spark, d):
+    """When each user's notifications are shown, one at a time, each for as many minutes as its value says; errors take no time."""
+    duration = F.when(F.col("event_type") == "error", 0).otherwise(F.round(F.col("value") * 60_000_000).cast("long"))
+    rows = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), duration.alias("lasts"))
+    return progress.display_times(rows, "user_id", "at", "event_id", "lasts").select("user_id", "event_id", "start", "end")
+
+
 @query("""WITH t AS (SELECT c_custkey, ['', '-', 'abc', '12.5', '-3', '250', '7x', '.5'][c_custkey % 8 + 1] AS t FROM customer)
 SELECT c_custkey, t IN ('', '-', '12.5', '-3', '250', '.5') AS numeric, CASE WHEN t IN ('', '-') THEN 0 WHEN t = 'abc' THEN 42 ELSE least(greatest(least(CASE t WHEN '12.5' THEN 12.5 WHEN '-3' THEN -3 WHEN '250' THEN 250 WHEN '7x' THEN 7 ELSE 0.5 END, 100), 0), 60) END::DOUBLE AS low,
 CASE WHEN t IN ('', '-') THEN 0 WHEN t = 'abc' THEN 42 ELSE greatest(least(greatest(CASE t WHEN '12.5' THEN 12.5 WHEN '-3' THEN -3 WHEN '250' THEN 250 WHEN '7x' THEN 7 ELSE 0.5 END, 0), 100), 10) END::DOUBLE AS high FROM t""")

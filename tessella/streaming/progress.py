@@ -67,6 +67,29 @@ def display_order(notifications: DataFrame, by: str, arrival: str, tie: str) ->
     return notifications.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(arrival, tie)))
 
 
+def display_times(notifications: DataFrame, by: str, arrival: str, tie: str, duration: str, block: int = 3_600_000_000) -> DataFrame:
+    """With start and end: each queue shows one at a time, first come first shown, so a notification starts when it has arrived and the one before has ended.
+
+    arrival and duration are integers of one unit (microseconds by default), durations not negative. start_i = max(arrival_i, end_(i-1)) unrolls to the greatest, over
+    j up to i, of arrival_j plus the durations from j to i - 1: a running sum and a running maximum. A queue is cut into blocks of arrival times, each one group of the
+    window; what a block does to those after it is two numbers, its sum and its maximum, so a queue that has a third of all rows is as many groups
+    as it has blocks. Null arrivals and durations count as 0; null queues are one queue; rows with equal arrival and tie may come in either order.
+    """
+    rows = notifications.withColumns({"_a": F.coalesce(F.col(arrival).cast("long"), F.lit(0)), "_d": F.coalesce(F.col(duration).cast("long"), F.lit(0))})
+    rows = rows.withColumn("_b", F.floor(F.col("_a") / block))
+    inner = Window.partitionBy(by, "_b").orderBy("_a", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_sum", F.sum("_d").over(inner))  # durations of the block up to this one
+    rows = rows.withColumn("_most", F.max(F.col("_a") - F.col("_sum") + F.col("_d")).over(inner))
+    blocks = rows.groupBy(by, "_b").agg(F.max("_sum").alias("_total"), F.max("_most").alias("_top"))
+    earlier = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("_top", F.max(F.col("_top") - F.col("_before")).over(earlier))  # as times less all durations from the queue's beginning
+    blocks = blocks.select(F.col(by).alias("_by"), F.col("_b").alias("_block"), "_before", "_top")
+    both = rows.join(blocks, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_block")))
+    end = F.greatest(F.col("_most"), F.col("_top") + F.col("_before")) + F.col("_sum")
+    return both.select(*notifications.columns, (end - F.col("_d")).alias("start"), end.alias("end"))
+
+
 def write_events(events: DataFrame, path: str):
     """A stream of events as server-sent lines ``data: {...}``, appended to text files in path batch by batch; each batch has its folder, so a repeated batch replaces itself."""
 
