@@ -11,7 +11,7 @@ from tessella.session import shared_path, stored
 from tessella.sources import tables
 from tessella.sources.tables import table
 from tessella.sources.versioned import Keyed
-from tessella.streaming import frames, machine, progress
+from tessella.streaming import frames, inbox, machine, progress
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -497,6 +497,15 @@ def process_display(spark, d):
     return rows.select(F.col("session").cast("long").alias("user_id"), "seq", "kind", "taken", "process_id", "status", F.coalesce("progress", F.lit(-1)).alias("progress"), "stage")
 
 
+@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY) WHERE n <= 20""")
+def inbox_stream(spark, d):
+    """What each user keeps of seven days, at most twenty, by a stream with a list of entries as state and event-time timers."""
+    source = table(spark, d, "events")
+    events = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*").select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    kept = inbox.current(progress.run_to_rows(inbox.changes(events, 7, 20), "inbox"))
+    return kept.select(F.col("user").cast("long").alias("user_id"), F.col("seq").alias("event_id"))
+
+
 _FRAMES = """WITH a AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents)
 SELECT doc_id, CAST(i AS BIGINT) AS position, CAST(i AS BIGINT) AS seq, md5(line) AS message FROM (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM a)"""
 
