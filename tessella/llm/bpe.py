@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import releasing, ship_package, table
+from tessella.llm.common import keeps, releasing, ship_package, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A worker keeps up to twice so many pre-tokens with their ids, those in use lately, from task to task.
@@ -312,6 +312,7 @@ def round_trip(df: DataFrame, text: str = "text", ids: bool = True, name: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
+        keeps("bpe", vocabulary.cache_clear)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
             for begin, end in runs(texts):
@@ -324,7 +325,7 @@ def round_trip(df: DataFrame, text: str = "text", ids: bool = True, name: str =
                 digests = [pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (found, decoded)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int64()), *digests], names=names)
 
-    return df.select(*[F.col(f"`{f.name}`").alias(f"_{k}") for k, f in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(releasing(run), schema)
+    return df.select(*[F.col(f"`{f.name}`").alias(f"_{k}") for k, f in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(releasing(run, "bpe"), schema)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +41,22 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def releasing(run):
-    """run, a function of a task's batches, giving free memory back to the machine when the task ends: a worker outlives its tasks and keeps what it once needed."""
+#: What a worker keeps from task to task, by its owner: functions that forget it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Says within a task that owner keeps something in the worker for its next tasks; forget drops it before a task of someone else."""
+    _kept[owner] = forget
+
+
+def releasing(run, owner: str | None = None):
+    """run, a function of a task's batches, giving free memory back to the machine when the task ends: a worker outlives its tasks and keeps what it once needed.
+    Before it, what others than owner keep in the worker is forgotten."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        for other in [k for k in _kept if k != owner]:
+            _kept.pop(other)()
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -66,3 +66,14 @@ def test_pieces_of_batches(spark, monkeypatch):
     monkeypatch.setattr(bpe, "PIECE_CHARS", 100)
     got = {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip(df, ids=False).collect()}
     assert got == {k: len(brute.encoding().encode_ordinary(t)) for k, t in rows}
+
+
+def test_workers_forget_the_vocabulary_for_others():
+    from tessella.llm import common
+
+    run = common.releasing(lambda batches: iter(batches), "bpe")
+    v = bpe.vocabulary()
+    common.keeps("bpe", bpe.vocabulary.cache_clear)
+    assert list(run(iter([1, 2]))) == [1, 2] and bpe.vocabulary() is v
+    assert list(common.releasing(lambda batches: iter(batches))(iter([3]))) == [3]
+    assert bpe.vocabulary.cache_info().currsize == 0
