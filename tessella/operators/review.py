@@ -44,7 +44,13 @@ def batch_message(total: Column, failed: Column) -> Column:
 
 
 def mean_progress(df: DataFrame, progress: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(round_half_up(F.avg(progress)).cast("long").alias("progress"))
+    """The mean, halves up. Sums of doubles depend on the order of the rows in their last bits, so a mean of exactly one half would fall either way:
+    groups whose values have at most ten decimals are added as decimals and divided as whole numbers; others stay doubles."""
+    p, exact = F.col(progress), F.col(progress).try_cast("decimal(24,10)")
+    same = F.coalesce(exact.cast("double") == p.cast("double"), p.isNull())
+    sums = df.groupBy(*by).agg(F.avg(progress).alias("_mean"), F.bool_and(same).alias("_exact"), F.sum(exact).alias("_sum"), F.count(progress).alias("_n"))
+    whole = F.expr("(2 * _sum + _n - pmod(2 * _sum + _n, 2 * _n)) div (2 * _n)")  # floor(sum / n + 1 / 2)
+    return sums.select(*by, F.when(F.col("_exact") & (F.col("_n") > 0), whole).otherwise(round_half_up(F.col("_mean")).cast("long")).alias("progress"))
 
 
 def all_complete(df: DataFrame, done: Column, by: list[str]) -> DataFrame:

@@ -129,3 +129,13 @@ def test_updates_to_null_and_blank_searches(spark):
     values = lambda **o: {r["k"]: r["v"] for r in review.updated(df, changes, "k", ["v"], **o).collect()}
     assert values() == {1: "a", 2: None} and values(nulls=True) == {1: None, 2: None}
     assert df.filter(review.text_filter("v", " ")).count() == 2
+
+
+def test_mean_of_exactly_one_half_rounds_up(spark):
+    """Added as doubles, each of the first three is below its half in every order."""
+    groups = {
+        1: ([33.91, 18.52, 72.07], 42), 2: ([35.05, 64.57, 18.88], 40), 3: ([-69.46, -33.05, -21.99, None], -41), 4: ([49.49999999999999], 49), 5: ([49.499999999, 49.5], 49), 6: ([None], None),
+        7: ([-0.5], 0), 8: ([-0.51], -1), 9: ([1e15, 1e15 + 2], 10**15 + 1), 10: ([2.5, 1 / 3], 1), 11: ([0.0], 0),
+    }
+    df = spark.createDataFrame([(k, v) for k, (values, _) in groups.items() for v in values], "k int, p double").repartition(3)
+    assert {r["k"]: r["progress"] for r in review.mean_progress(df, "p", ["k"]).collect()} == {k: want for k, (_, want) in groups.items()}
