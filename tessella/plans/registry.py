@@ -219,7 +219,7 @@ def catalogue_names(spark, d):
     words = lambda df, c: df.select(F.explode(F.split(F.lower(c), " ")).alias("name"))
     names = stored(words(table(spark, d, "benchmark"), "text").union(parts).union(words(parts, "name")).filter("name <> ''").distinct(), "catalogue")
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
-    found = substring.inside(texts, names).groupBy(F.col("text_id").alias("doc_id")).agg(F.sort_array(F.collect_list("name")).alias("a"))
+    found = substring.names_of(texts, names).select(F.col("text_id").alias("doc_id"), F.sort_array("names").alias("a"))
     return found.select("doc_id", F.size("a").cast("long").alias("n_names"), F.md5(F.array_join("a", " ").cast("binary")).alias("names"))
 
 
