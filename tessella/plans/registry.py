@@ -531,12 +531,13 @@ def framed_events(spark, d):
 
 @query(_FRAMES)
 def framed_stream(spark, d):
-    """The same by a stream of four batches that each have every fourth chunk, so most chunks wait for others."""
-    path = shared_path(spark, "chunks")
+    """The same by a stream of four batches that each have every fourth chunk, so most chunks wait for others: it runs again whenever a quarter has come."""
+    path, state = shared_path(spark, "chunks"), shared_path(spark, "frames")
+    every = _frame_chunks(spark, d)
     for k in range(4):
-        _frame_chunks(spark, d).filter(F.col("number") % 4 == 3 - k).coalesce(1).write.mode("append").parquet(path)
-    chunks = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return _frame_events(progress.run_to_rows(frames.framed_stream(chunks), "frames"))
+        every.filter(F.col("number") % 4 == 3 - k).write.mode("append").parquet(path)
+        out = progress.run_to_rows(frames.framed_stream(spark.readStream.schema(every.schema).parquet(path)), "frames", state)
+    return _frame_events(out)
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderdate >= '1998-01-01' AND o_orderkey % 3 = 0 THEN 'rejected' WHEN o_orderkey % 50 = 0 THEN 'approved' ELSE o_orderstatus END AS state,

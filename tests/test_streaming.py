@@ -122,3 +122,14 @@ def test_stream_progress_reads_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     assert got.inputFiles() and all(shared in f for f in got.inputFiles())
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, registry.latest_state(spark, SF).select(got.columns).collect()))
+
+
+def test_stream_of_frames_writes_chunks_where_texts_are(spark, tmp_path, monkeypatch):
+    """A table of three files is cut by three tasks in each of the four quarters, and each quarter is one batch of the stream."""
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    paths, shared_path = {}, registry.shared_path
+    monkeypatch.setattr(registry, "shared_path", lambda session, name: paths.setdefault(name, shared_path(session, name)))
+    got = registry.framed_stream(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, registry.framed_events(spark, SF).select(got.columns).collect()))
+    assert len(spark.read.parquet(paths["chunks"]).inputFiles()) == 12
+    assert [r["batch"] for r in spark.read.parquet(f"{paths['frames']}/rows").select("batch").distinct().orderBy("batch").collect()] == [3]
