@@ -27,11 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WHILE_WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts the lineage and survives lost executors. What the write shuffled is removed at once."""
+#: For tasks that get whole texts: batches of rows are bounded in bytes, however long the texts.
+LONG_TEXTS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def written(df: DataFrame, name: str, path: str | None = None, more: dict[str, str] | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the lineage and survives lost executors. What the write shuffled is removed at once. more: settings for the write."""
     spark, path = df.sparkSession, path or fresh_path(df.sparkSession, name)
-    before = {key: spark.conf.get(key, None) for key in WHILE_WRITTEN}
-    for key, value in WHILE_WRITTEN.items():
+    settings = WHILE_WRITTEN | (more or {})
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         df.write.parquet(path)

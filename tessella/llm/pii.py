@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ship_package, table
+from tessella.llm.common import LONG_TEXTS, releasing, ship_package, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_TEXTS, ROUNDS, LEAST_MARGINAL = 4000, 60, 0.8
@@ -336,8 +336,7 @@ def spans_of(df: DataFrame, text: Column) -> Column:
     """array<struct<kind, start, end, base>> by kind, then start."""
     shared = ship_package(df.sparkSession).sparkContext.broadcast(trained())
 
-    @F.pandas_udf("array<struct<kind:string,start:int,end:int,base:boolean>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
             for t in texts:
@@ -346,6 +345,10 @@ def spans_of(df: DataFrame, text: Column) -> Column:
                 out.append([{"kind": KINDS[k], "start": a, "end": b, "base": z} for k, a, b, z in rows])
             yield pd.Series(out, dtype=object)
 
+    @F.pandas_udf("array<struct<kind:string,start:int,end:int,base:boolean>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from releasing(found)(batches)
+
     return run(text)
 
 
@@ -358,7 +361,8 @@ def span_string(spans: Column) -> Column:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mark(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    """Spans are stored first: while they are, tasks get texts in batches of few bytes, so a worker's memory doesn't grow with the table or its texts."""
+    found = written(mark(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii"), "pii", more=LONG_TEXTS)
     base = F.filter("pii", lambda s: s["base"])
     n = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(n, KINDS), F.sha2(span_string(base).cast("binary"), 256).alias("base_sha256"), span_string(F.col("pii")).alias("spans"))

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.llm import pii
@@ -119,3 +121,22 @@ def test_edges(spark):
     by = {r["kind"]: r for r in got}
     assert by["a"]["n"] == by["b"]["n"] == 0 and by["c"]["s"] == "email:5:12" and by["d"]["s"] == "ip:3:11" and "email:200000:200006" in by["e"]["s"]
     assert pii.mark(df.limit(0)).count() == 0
+
+
+def test_tasks_get_long_texts_in_batches_of_few_bytes(spark, tmp_path, monkeypatch):
+    """300 texts of 100,000 characters in one file, as batches that say how many characters came at once."""
+    spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 10_000).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(df, text):
+        @F.pandas_udf("array<struct<kind:string,start:int,end:int,base:boolean>>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([[{"kind": "ip", "start": int(texts.str.len().sum()), "end": 0, "base": True}]] * len(texts), dtype=object)
+
+        return run(text)
+
+    monkeypatch.setattr(pii, "spans_of", sizes)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    got = [int(r["spans"].split(":")[1]) for r in pii.op9_pii(spark, str(tmp_path)).collect()]
+    assert len(got) == 300 and max(got) < 5_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
