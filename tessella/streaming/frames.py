@@ -26,6 +26,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEPARATOR = re.compile(rb"\n\n|\r\n\r\n|\r\r")
 OUT = "connection string, position bigint, frame string"
+#: Groups of connections of a stream, the same for as long as its state lives.
+BUCKETS = 8192
+#: What is saved of a framer: apart counts the chunks that wait in entries of their own.
+FRAMER = {"following": "bigint", "position": "bigint", "tail": "binary", "numbers": "array<bigint>", "chunks": "array<binary>", "apart": "bigint"}
+#: Bytes above which what waits is saved apart; connections and chunks count as some more than they hold.
+HEAVY = 4_000_000
+
+
+def weight(entry: tuple) -> int:
+    return 500 + len(entry[2]) + sum(len(c) + 50 for c in entry[4])
 
 
 class Framer:
@@ -47,39 +57,68 @@ class Framer:
         return out
 
 
-def frame(connection: str, found: list[tuple[int, str]]) -> pd.DataFrame:
-    return pd.DataFrame({"connection": pd.Series([connection] * len(found), dtype=object), "position": pd.Series([p for p, _ in found], dtype="int64"), "frame": pd.Series([t for _, t in found], dtype=object)})
+def frame(found: list[tuple[str, int, str]]) -> pd.DataFrame:
+    connections, positions, texts = zip(*found) if found else ((), (), ())
+    return pd.DataFrame({"connection": pd.Series(connections, dtype=object), "position": pd.Series(positions, dtype="int64"), "frame": pd.Series(texts, dtype=object)})
 
 
 class Carry(StatefulProcessor):
-    """The framer of each connection as state: a tail, and chunks that wait for their turn."""
+    """The framers of a bucket's connections as state, each with its tail and the chunks that wait for their turn.
+
+    They are in one value of the bucket, which is read and written once for all chunks that came together: a call for each connection or chunk costs more
+    than the work on it. When the value gets too large they go to entries of their own, and chunks that are too many for one entry likewise."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("framer", "following bigint, position bigint, tail binary")
-        self.waiting = handle.getMapState("waiting", "number bigint", "chunk binary")
+        self.near = handle.getValueState("near", "connection array<string>, " + ", ".join(f"{c} array<{kind}>" for c, kind in FRAMER.items()) + ", more boolean")
+        self.framers = handle.getMapState("framers", "connection string", ", ".join(f"{c} {kind}" for c, kind in FRAMER.items()))
+        self.waiting = handle.getMapState("waiting", "connection string, number bigint", "chunk binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        framer = Framer(*self.state.get()) if self.state.exists() else Framer()
-        came: dict[int, bytes] = {}
+        connections, *columns, more = self.near.get() or (*[[]] * (1 + len(FRAMER)), False)
+        near = dict(zip(connections, zip(*columns)))
         for pdf in rows:
-            for n, chunk in zip(pdf["number"], pdf["chunk"]):
-                came.setdefault(int(n), bytes(chunk or b""))
-        out, behind = [], self.waiting.exists()
+            came: dict[str, dict[int, bytes]] = {}
+            for connection, n, chunk in zip(pdf["connection"], pdf["number"], pdf["chunk"]):
+                came.setdefault(connection, {}).setdefault(int(n), bytes(chunk or b""))
+            found: list[tuple[str, int, str]] = []
+            for connection, chunks in came.items():
+                entry = near.get(connection) or more and self.framers.getValue((connection,)) or (0, 0, b"", [], [], 0)
+                near[connection] = self.fed(connection, entry, chunks, found)
+            if sum(map(weight, near.values())) > HEAVY:
+                self.put_apart(near)
+                near, more = {}, True
+            if found:
+                yield frame(found)
+        columns = [list(c) for c in zip(*near.values())] or [[]] * len(FRAMER)
+        self.near.update(([*near], *columns, more))
+
+    def fed(self, connection: str, entry: tuple, came: dict[int, bytes], found: list[tuple[str, int, str]]) -> tuple:
+        """The entry after a connection's chunks; found gets the frames that they end."""
+        following, position, tail, numbers, chunks, apart = entry
+        framer, waits = Framer(following, position, tail), dict(zip(numbers, chunks))
+        for n, chunk in came.items():
+            if n >= following and n not in waits and not (apart and self.waiting.containsKey((connection, n))):
+                waits[n] = chunk
         while True:
             n = framer.following
-            if n in came:
-                chunk = came.pop(n)
-            elif behind and self.waiting.containsKey((n,)):
-                chunk = self.waiting.getValue((n,))[0]
-                self.waiting.removeKey((n,))
+            if n in waits:
+                chunk = waits.pop(n)
+            elif apart and (saved := self.waiting.getValue((connection, n))):
+                chunk, apart = saved[0], apart - 1
+                self.waiting.removeKey((connection, n))
             else:
                 break
-            out += framer.feed(bytes(chunk))
-        for n, chunk in came.items():
-            if n > framer.following and not (behind and self.waiting.containsKey((n,))):
-                self.waiting.updateValue((n,), (chunk,))
-        self.state.update((framer.following, framer.position, bytes(framer.tail)))
-        yield frame(key[0], out)
+            found += [(connection, *f) for f in framer.feed(bytes(chunk))]
+        return framer.following, framer.position, bytes(framer.tail), [*waits], [bytes(c) for c in waits.values()], apart
+
+    def put_apart(self, near: dict[str, tuple]) -> None:
+        for connection, entry in near.items():
+            following, position, tail, numbers, chunks, apart = entry
+            if weight(entry) > HEAVY:
+                for n, chunk in zip(numbers, chunks):
+                    self.waiting.updateValue((connection, n), (bytes(chunk),))
+                numbers, chunks, apart = [], [], apart + len(numbers)
+            self.framers.updateValue((connection,), (following, position, bytes(tail), list(numbers), [bytes(c) for c in chunks], apart))
 
     def close(self) -> None:
         pass
@@ -94,7 +133,8 @@ def framed_stream(chunks: DataFrame) -> DataFrame:
     """(connection, position, frame) of a stream of chunks, in append mode."""
     ship_package(chunks.sparkSession)
     keyed_state(chunks.sparkSession)
-    return chunk_rows(chunks).groupBy("connection").transformWithStateInPandas(Carry(), OUT, "append", "None")
+    rows = chunk_rows(chunks).withColumn("bucket", F.pmod(F.xxhash64("connection"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(Carry(), OUT, "append", "None")
 
 
 def framed(chunks: DataFrame) -> DataFrame:
@@ -111,7 +151,7 @@ def framed(chunks: DataFrame) -> DataFrame:
                 for n, chunk in zip(rows["number"], rows["chunk"]):
                     if n == framer.following:
                         found += framer.feed(bytes(chunk or b""))
-                yield frame(connection, found)
+                yield frame([(connection, *f) for f in found])
 
     return chunk_rows(chunks).repartition("connection").sortWithinPartitions("connection", "number").mapInPandas(run, OUT)
 

@@ -1,5 +1,6 @@
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,76 @@ def test_frames_over_batches_and_gaps(spark, tmp_path):
     assert sorted((r["connection"], r["position"], r["frame"]) for r in frames.framed(table).collect()) == got
 
 
+class Values:
+    """A state variable in plain Python; calls counts what would be calls to the store."""
+
+    def __init__(self, calls):
+        self.kept, self.calls = {}, calls
+
+    def getValue(self, key=()):  # noqa: N802
+        self.calls.append(key)
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls.append(key)
+        self.kept[key] = value
+
+    def containsKey(self, key):  # noqa: N802
+        return self.getValue(key) is not None
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls.append(key)
+        del self.kept[key]
+
+    get, exists = getValue, containsKey
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.made = [], {}
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return self.made.setdefault(name, Values(self.calls))
+
+    getMapState = getValueState  # noqa: N815
+
+
+@pytest.mark.parametrize("heavy", [None, 3000, 600])
+def test_a_bucket_is_read_and_written_once(monkeypatch, heavy):
+    """Sixty connections of one bucket come in four batches, each with every fourth chunk: two calls to the store a batch, however many connections
+    and chunks; with a low limit what waits is saved apart and the frames are the same. A chunk that comes again with other bytes is ignored."""
+    monkeypatch.setattr(frames, "HEAVY", heavy or frames.HEAVY)
+    texts = {f"c{k}": events_text(k % 9) for k in range(60)}
+    rows = [(c, n, t.encode()[n * 5 : n * 5 + 5]) for c, t in texts.items() for n in range(-(-len(t.encode()) // 5))]
+    handle, carry, got = Handle(), frames.Carry(), []
+    carry.init(handle)
+    for k in (3, 2, 1, 0):
+        handle.calls.clear()
+        some = [r for r in rows if r[1] % 4 == k] + [(c, n, b"other") for c, n, _ in rows if n % 4 > k]
+        for part in (some,) if heavy is None else (some[::2], some[1::2]):
+            for pdf in carry.handleInputRows((0,), iter([pd.DataFrame(part, columns=["connection", "number", "chunk"])]), None):
+                got += pdf.itertuples(index=False, name=None)
+        assert heavy or len(handle.calls) <= 2
+    assert sorted(got) == sorted((c, i, f) for c, t in texts.items() for i, f in plain_frames(t))
+    assert bool(handle.made["framers"].kept) == bool(heavy) and not handle.made["waiting"].kept
+
+
+def test_frames_that_wait_apart(spark, tmp_path, monkeypatch):
+    """With a low limit framers and chunks go to entries of their own in the store, and come back over several batches."""
+    monkeypatch.setattr(frames, "HEAVY", 800)
+    monkeypatch.setattr(frames, "BUCKETS", 2)
+    texts = {f"c{k}": events_text(k) for k in range(6)}
+    rows = [(c, n, t.encode()[n * 9 : n * 9 + 9]) for c, t in texts.items() for n in range(-(-len(t.encode()) // 9))]
+    for k in (2, 1, 0):
+        spark.createDataFrame([r for r in rows if r[1] % 3 == k], "connection string, number long, chunk binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("connection string, number long, chunk binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = progress.run_to_rows(frames.framed_stream(stream), "frames").collect()
+    assert sorted((r["connection"], r["position"], r["frame"]) for r in got) == sorted((c, i, f) for c, t in texts.items() for i, f in plain_frames(t))
+
+
 def test_events_are_written_batch_by_batch(spark, tmp_path):
     df = spark.createDataFrame([("d", k, 10 * k) for k in range(5)], "doc_id string, seq bigint, progress int")
     df.repartition(2).write.json(str(tmp_path / "in"))
