@@ -350,7 +350,7 @@ def status_counts(spark, d):
 
 @query("SELECT user_id, CAST(floor(avg(least(value, 100)) + 0.5) AS BIGINT) AS progress FROM events GROUP BY 1")
 def avg_progress_round(spark, d):
-    return review.mean_progress(table(spark, d, "events").select("user_id", F.least("value", F.lit(100.0)).alias("p")), "p", ["user_id"])
+    return review.mean_progress(table(spark, d, "events").select("user_id", "event_id", F.least("value", F.lit(100.0)).alias("p")), "p", ["user_id"], "event_id")
 
 
 @query("SELECT o_custkey, bool_and(o_orderstatus IN ('F', 'P')) AS all_complete, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS n_done, count(*) AS n_all FROM orders GROUP BY 1")

@@ -1,7 +1,12 @@
+import random
+
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import reconcile, retrieval, review, vector
+from tessella.plans import registry
 from tessella.sources import tables
 
 CASES = {  # required, received, released, missing
@@ -139,3 +144,24 @@ def test_mean_of_exactly_one_half_rounds_up(spark):
     }
     df = spark.createDataFrame([(k, v) for k, (values, _) in groups.items() for v in values], "k int, p double").repartition(3)
     assert {r["k"]: r["progress"] for r in review.mean_progress(df, "p", ["k"]).collect()} == {k: want for k, (_, want) in groups.items()}
+
+
+def test_mean_progress_adds_in_order_as_its_sql_does(spark, tmp_path):
+    """Users whose mean is a half, in exact numbers: the query is its SQL, which one thread of DuckDB reads in the order of the events, however the files are cut."""
+    draw, rows = random.Random(3), []
+    for user in [None, *range(200)]:
+        values = [draw.randrange(0, 12000) for _ in range(draw.choice((2, 6, 20, 66)))]
+        n = len(values) + 1
+        last = next((v for v in range(10001) if (2 * (sum(min(x, 10000) for x in values) + v)) % (200 * n) == 100 * n), 50)
+        rows += [(user, v / 100) for v in [*values, last]]
+    rows += [(900, None), (901, 33.91), (901, 18.52), (901, 72.07), (902, -0.5), (903, -1e15), (903, 0.5)]
+    draw.shuffle(rows)
+    pd.DataFrame([(i, u, v) for i, (u, v) in enumerate(rows)], columns=["event_id", "user_id", "value"]).astype({"user_id": "Int64"}).to_parquet(tmp_path / "in_order.parquet")
+    spark.read.parquet(str(tmp_path / "in_order.parquet")).repartition(5, F.hash("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    duck = duckdb.connect(config={"threads": 1})
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/in_order.parquet'")
+    want = dict(duck.sql(registry.ORACLE_SQL["avg_progress_round"]).fetchall())
+    exact = {r["user_id"]: r["progress"] for r in review.mean_progress(spark.read.parquet(str(tmp_path / "in_order.parquet")).withColumn("p", F.least("value", F.lit(100.0))), "p", ["user_id"]).collect()}
+    got = [tuple(r) for r in registry.avg_progress_round(spark, str(tmp_path)).select("user_id", "progress").collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert want[901] == 41 and sum(want[u] != exact[u] for u in want) > 20
