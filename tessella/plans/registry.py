@@ -531,12 +531,15 @@ def framed_events(spark, d):
 
 @query(_FRAMES)
 def framed_stream(spark, d):
-    """The same by a stream of four batches that each have every fourth chunk, so most chunks wait for others: it runs again whenever a quarter has come."""
-    path, state = shared_path(spark, "chunks"), shared_path(spark, "frames")
+    """The same by a stream of four batches that each have every fourth chunk, so most chunks wait for others. One run goes through all: its state stays where it is between batches."""
+    path, state, written = shared_path(spark, "chunks"), shared_path(spark, "frames"), [0]
     every = _frame_chunks(spark, d)
     for k in range(4):
         every.filter(F.col("number") % 4 == 3 - k).write.mode("append").parquet(path)
-        out = progress.run_to_rows(frames.framed_stream(spark.readStream.schema(every.schema).parquet(path)), "frames", state)
+        written.append(len(spark.read.schema(every.schema).parquet(path).inputFiles()))
+    quarter = max(1, *(b - a for a, b in zip(written, written[1:])))
+    chunks = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", quarter).parquet(path)
+    out = progress.run_to_rows(frames.framed_stream(chunks), "frames", state)
     return _frame_events(out)
 
 
